@@ -210,6 +210,43 @@ VIEWS["fx_phrase"] = """
   FROM fx_bench_words, unnest(range(1, len(words) - 2)) AS t(i)"""
 
 
+VIEWS["fx_scope"] = """
+  SELECT l.* FROM fx_line l
+  WHERE release = 'rel:P'
+    AND curator IN (SELECT 'E:'||s_suppkey FROM supplier WHERE s_acctbal >= 0)
+    AND subject NOT IN (SELECT 'C:'||c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')"""
+VIEWS["fx_rare_scope"] = """
+  SELECT l.* FROM fx_line l WHERE release = 'rel:F' OR (release = 'rel:O' AND family IN ('1-URGENT', '2-HIGH'))"""
+VIEWS["fx_universe"] = """
+  SELECT DISTINCT subject FROM fx_line
+  WHERE subject IN (SELECT concept_id FROM fx_concept WHERE kind = 'condition' AND status = 'active')"""
+VIEWS["fx_general_match"] = """
+  SELECT DISTINCT o.case_id, s.subject FROM fx_obs o JOIN fx_scope s ON s.finding = o.finding
+    AND s.relation = 'has_symptom' JOIN fx_universe USING (subject)
+  WHERE o.status IN ('present', 'absent')"""
+VIEWS["fx_variation"] = """
+  SELECT case_id, finding, documented, matched, least(documented, matched - documented) AS variation,
+    row_number() OVER (PARTITION BY case_id ORDER BY least(documented, matched - documented) DESC,
+      documented DESC, finding) AS step
+  FROM (SELECT m.case_id, s.finding, count(*) AS documented, any_value(m.matched) AS matched
+    FROM (SELECT *, count(*) OVER (PARTITION BY case_id) AS matched FROM fx_general_match) m
+    JOIN (SELECT DISTINCT subject, finding FROM fx_scope WHERE polarity = 'present') s USING (subject)
+    GROUP BY 1, 2)
+  WHERE documented < matched AND (case_id, finding) NOT IN (SELECT (case_id, finding) FROM fx_obs)"""
+VIEWS["fx_statement_vote"] = """
+  SELECT r.case_id, r.subject, f.family, f.finding, f.relation, f.polarity, o.status,
+    CASE WHEN o.status IS NULL THEN 'finding_not_observed'
+      WHEN o.relation <> f.relation THEN 'observation_relation_mismatch'
+      WHEN o.status = 'unknown' THEN 'finding_unknown_or_not_assessable'
+      WHEN (f.polarity = 'present') = (o.status = 'present') THEN 'explicit_polarity_match'
+      ELSE 'explicit_polarity_conflict' END AS reason,
+    CASE WHEN o.status IN ('present', 'absent') AND o.relation = f.relation THEN
+      CASE WHEN (f.polarity = 'present') = (o.status = 'present') THEN 1.0 ELSE -1.0 END END AS value
+  FROM fx_family_ranked r JOIN fx_statement_family f USING (subject)
+    LEFT JOIN fx_obs o ON o.case_id = r.case_id AND o.finding = f.finding
+  WHERE r.rank <= 5 AND f.family IN (SELECT family FROM fx_family WHERE dependency_type <> 'unknown')"""
+
+
 def compose(sql: str) -> str:
     """Prefix ``sql`` with the views it uses, dependencies first."""
     ordered: list[str] = []
