@@ -199,11 +199,11 @@ VIEWS["fx_review"] = """
   FROM events"""
 VIEWS["fx_doc_words"] = """
   SELECT doc_id, lang, source, list_filter(string_split(trim(regexp_replace(
-    strip_accents(lower(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')), ' '), x -> x <> '') AS words
+    strip_accents(lower(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS words
   FROM documents"""
 VIEWS["fx_bench_words"] = """
   SELECT item_id, list_filter(string_split(trim(regexp_replace(
-    strip_accents(lower(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')), ' '), x -> x <> '') AS words
+    strip_accents(lower(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS words
   FROM benchmark"""
 VIEWS["fx_phrase"] = """
   SELECT DISTINCT 'I:'||item_id AS concept_id, array_to_string(words[i:i+3], ' ') AS phrase

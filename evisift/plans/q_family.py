@@ -283,7 +283,7 @@ def m22(spark, sf):
 
 @query(
     "m23_run_receipts",
-    """WITH i AS (SELECT case_id, sha256(string_agg(finding||'='||status, '|' ORDER BY finding)) AS input_sha256
+    """WITH i AS (SELECT case_id, sha256(string_agg(finding||'='||status, '|' ORDER BY finding||'='||status)) AS input_sha256
         FROM fx_obs GROUP BY 1),
       u AS (SELECT DISTINCT r.case_id, l.release, l.family FROM fx_statement_vote r
         JOIN fx_line l ON l.subject = r.subject AND l.finding = r.finding AND l.relation = r.relation
