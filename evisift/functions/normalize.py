@@ -42,12 +42,24 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), expansions
 
 
+def _ranges(points: list[int]) -> str:
+    """Code points as regex character ranges."""
+    spans: list[list[int]] = []
+    for point in points:
+        if spans and point == spans[-1][1] + 1:
+            spans[-1][1] = point
+        else:
+            spans.append([point, point])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans)
+
+
 def fold(text: Column) -> Column:
     """Lower-case ASCII folding; one-to-many characters only cost anything where they occur."""
     source, target, expansions = _folding()
     simple = F.translate(F.lower(F.regexp_replace(text, r"\p{Mn}+", "")), source, target)
     table = F.create_map(*[F.lit(x) for pair in expansions.items() for x in pair])
-    rare = "[" + "".join(expansions) + "]"
+    # the range test comes first, so plain characters never reach the long class
+    rare = r"[\x{80}-\x{1FFFF}&&[" + _ranges(sorted(map(ord, expansions))) + "]]"
     expanded = F.array_join(
         F.transform(F.split(simple, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""
     )
