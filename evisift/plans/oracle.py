@@ -191,12 +191,35 @@ VIEWS["fx_candidate"] = """
     coalesce(toxic, 0) AS toxic
   FROM documents d LEFT JOIN labels USING (doc_id)"""
 VIEWS["fx_review"] = """
-  SELECT strftime(ts, '%Y-%m-%dT%H') AS item, 'R:'||user_id AS reviewer,
-    CASE WHEN event_type = 'error' THEN 'adjudication' ELSE 'review' END AS stage,
-    CASE event_type WHEN 'view' THEN 'reject' WHEN 'signup' THEN 'defer' ELSE 'approve' END AS decision,
-    CASE WHEN value < 10 THEN 'minor' ELSE 'major' END AS category,
-    event_id AS sequence, md5(concat_ws('|', event_id, user_id, event_type)) AS event_hash
-  FROM events"""
+  SELECT *, CASE WHEN stage = 'adjudication' AND lag(stage) OVER w = 'review'
+      THEN [lag(event_hash) OVER w] ELSE CAST([] AS VARCHAR[]) END AS basis
+  FROM (SELECT strftime(ts, '%Y-%m-%d')||':'||(user_id // 10) AS item, 'R:'||user_id AS reviewer,
+      CASE WHEN event_type = 'error' THEN 'adjudication' ELSE 'review' END AS stage,
+      CASE event_type WHEN 'view' THEN 'reject' WHEN 'signup' THEN 'defer' ELSE 'approve' END AS decision,
+      CASE WHEN value < 10 THEN 'minor' ELSE 'major' END AS category,
+      CASE WHEN event_type = 'purchase' THEN 'exact' END AS mapping,
+      event_id AS sequence, md5(concat_ws('|', event_id, user_id, event_type)) AS event_hash FROM events)
+  WINDOW w AS (PARTITION BY item ORDER BY sequence)"""
+VIEWS["fx_latest"] = """
+  SELECT item, reviewer, decision, category, mapping, event_hash, sequence FROM (
+    SELECT *, row_number() OVER (PARTITION BY item, reviewer ORDER BY sequence DESC) AS n
+    FROM fx_review WHERE stage = 'review') WHERE n = 1"""
+VIEWS["fx_agreement"] = """
+  SELECT item, coalesce(reviewers, 0) AS reviewers, coalesce(reviewers, 0) > 0 AS reviewed,
+    coalesce(agreed, false) AS agreement,
+    coalesce(reviewers, 0) >= 2 AND NOT coalesce(agreed, false) AND NOT coalesce(open, false) AS disagreement,
+    coalesce(open, false) OR coalesce(final IN ('defer', 'needs_second_review'), false) AS deferred,
+    final IS NOT NULL AS adjudicated,
+    NOT coalesce(agreed, false) AND (final IS NULL OR final IN ('defer', 'needs_second_review')) AS unresolved
+  FROM (SELECT DISTINCT item FROM fx_review) LEFT JOIN (
+    SELECT item, count(*) AS reviewers, bool_or(decision = 'defer') AS open,
+      count(*) >= 2 AND count(DISTINCT decision) = 1 AND count(DISTINCT category) = 1
+        AND count(DISTINCT coalesce(mapping, '-')) = 1 AND NOT bool_or(decision = 'defer') AS agreed
+    FROM fx_latest GROUP BY 1) USING (item) LEFT JOIN (
+    SELECT a.item, arg_max(a.decision, a.sequence) AS final FROM fx_review a
+    LEFT JOIN (SELECT item, list_sort(list(event_hash)) AS hashes FROM fx_latest GROUP BY 1) h ON h.item = a.item
+    WHERE a.stage = 'adjudication' AND list_sort(a.basis) = coalesce(h.hashes, CAST([] AS VARCHAR[]))
+    GROUP BY 1) USING (item)"""
 VIEWS["fx_doc_words"] = """
   SELECT doc_id, lang, source, list_filter(string_split(trim(regexp_replace(
     strip_accents(lower(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS words

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from evisift.functions import frequency, normalize
 from evisift.operators import hierarchy, resolve
@@ -283,19 +284,26 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def review_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Append-only review log: an item is one user's hour of activity, read by several reviewers."""
+    """Append-only review log: an item is one day of ten users, who review it.
+
+    An adjudication cites the review it directly follows, so it counts exactly where that
+    review is the only current one.
+    """
     event = table(spark, sf, "events")
-    return event.select(
-        F.date_format("ts", "yyyy-MM-dd'T'HH").alias("item"),
+    kind = F.col("event_type")
+    rows = event.select(
+        F.concat_ws(":", F.date_format("ts", "yyyy-MM-dd"), F.floor(F.col("user_id") / 10).cast("bigint")).alias("item"),
         F.concat(F.lit("R:"), "user_id").alias("reviewer"),
-        F.when(F.col("event_type") == "error", "adjudication").otherwise("review").alias("stage"),
-        F.when(F.col("event_type") == "click", "approve")
-        .when(F.col("event_type") == "purchase", "approve")
-        .when(F.col("event_type") == "view", "reject")
-        .when(F.col("event_type") == "signup", "defer")
-        .otherwise("approve")
-        .alias("decision"),
+        F.when(kind == "error", "adjudication").otherwise("review").alias("stage"),
+        F.when(kind == "view", "reject").when(kind == "signup", "defer").otherwise("approve").alias("decision"),
         F.when(F.col("value") < 10, "minor").otherwise("major").alias("category"),
+        F.when(kind == "purchase", "exact").alias("mapping"),
         F.col("event_id").alias("sequence"),
         F.md5(F.concat_ws("|", "event_id", "user_id", "event_type")).alias("event_hash"),
     )
+    before = W.partitionBy("item").orderBy("sequence")
+    cited = F.when(
+        (F.col("stage") == "adjudication") & (F.lag("stage").over(before) == "review"),
+        F.array(F.lag("event_hash").over(before)),
+    ).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("basis", cited)
