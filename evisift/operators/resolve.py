@@ -302,13 +302,16 @@ def rejection_reason(subject: Column, obj: Column) -> Column:
 # --- canonical statements and families ----------------------------------------------------
 
 
-def with_canonical_id(assertions: DataFrame) -> DataFrame:
-    """Add ``canonical_id`` from (subject, relation, finding, polarity)."""
+def with_canonical_id(assertions: DataFrame, *, frequency: str | None = None) -> DataFrame:
+    """Add ``canonical_id`` from (subject, relation, finding, polarity and optionally frequency)."""
     obj = F.struct(F.col("finding").alias("concept_id"), F.lit("concept").alias("kind"))
     fields = {
         "polarity": F.col("polarity"),
         "population": F.array().cast("array<string>"),
     }
+    if frequency:
+        names = "category denominator kind lower numerator raw upper".split()
+        fields["frequency"] = F.struct(*[F.col(f"{frequency}.{n}").alias(n) for n in names])
     qualifiers = F.struct(
         *[fields.get(n, F.lit(None).cast("string")).alias(n) for n in QUALIFIER_FIELDS]
     )
