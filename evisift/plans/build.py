@@ -92,7 +92,7 @@ def canonicalize_package(package: dict[str, DataFrame], *, assertions_sha256: st
         return keyed.join(known.withColumnRenamed("concept_id", name), "key", "left").drop("key")
 
     release = sources.select(
-        F.col("artifact_id").alias("source_artifact_id"), F.concat_ws(":", "artifact_id", "release").alias("source_release"),
+        F.col("artifact_id").alias("source_artifact_id"), F.concat_ws(":", "artifact_id", "release").alias("release_id"),
         F.col("sha256").alias("artifact_sha256"), F.col("release").alias("artifact_release"),
     )
     mapped = pick(package["mappings"], "source", "source_concept_id").join(release, "source_artifact_id", "left")
@@ -105,9 +105,9 @@ def canonicalize_package(package: dict[str, DataFrame], *, assertions_sha256: st
             F.array(F.col("artifact_sha256"), F.lit(assertions_sha256)), F.col("record_locator"), F.col("assertion_id"),
         ).alias("source_id"),
         F.col("subject_id").alias("subject"), "relation", F.col("finding_id").alias("finding"), "polarity",
-        F.col("source_release").alias("release"), F.col("evidence_family_id").alias("family"),
+        F.col("release_id").alias("release"), F.col("evidence_family_id").alias("family"),
         "dependency_type", "upstream_reference", "review_status",
-        ids.stable_id("source_record", F.col("source_release"), F.col("assertion_id")).alias("source_record_id"),
+        ids.stable_id("source_record", F.col("release_id"), F.col("assertion_id")).alias("source_record_id"),
     )
     bridged = resolve.with_canonical_id(sourced)
     family = resolve.pending_family_dependency(bridged).join(
@@ -138,7 +138,7 @@ def canonicalize_package(package: dict[str, DataFrame], *, assertions_sha256: st
             "mapping_id", "source_concept_id",
             F.when(F.col("resolution_status") == "resolved", F.col("source_concept_id")).alias("target_concept_id"),
             F.col("target.system").alias("target_system"), F.col("target.code").alias("target_code"), "relation",
-            "resolution_status", "review_status", F.col("source_release").alias("release"),
+            "resolution_status", "review_status", F.col("release_id").alias("release"),
         ),
         "source_assertion": bridged,
         "canonical_assertion": resolve.canonical_assertions(bridged),
