@@ -205,14 +205,17 @@ def phrase_matches(texts: DataFrame, index: DataFrame, key: str, *, max_words: i
     Every run of 1..``max_words`` words becomes a join key, so the work is one hash join and
     never a text-by-phrase comparison. Only the sizes the dictionary holds need expanding.
     """
-    sizes = sorted(r.words for r in index.select("words").distinct().collect() if r.words <= max_words)
-    if not sizes:
-        sizes = [1]
     words = texts.select(
-        key, normalize.tokens(normalize.normalize_label(F.col("text"))).alias("_words")
+        key, normalize.tokens(normalize.normalize_label(F.col("text"))).alias("words")
     )
-    runs = F.flatten(F.array(*[normalize.word_ngrams(F.col("_words"), n) for n in sizes]))
-    spans = words.select(key, F.explode(F.array_distinct(runs)).alias("phrase"))
+    return word_run_matches(words, index, key, max_words=max_words)
+
+
+def word_run_matches(texts: DataFrame, index: DataFrame, key: str, *, max_words: int = 8) -> DataFrame:
+    """As :func:`phrase_matches` for texts already split into ``words``."""
+    sizes = sorted(r.words for r in index.select("words").distinct().collect() if r.words <= max_words)
+    runs = F.flatten(F.array(*[normalize.word_ngrams(F.col("words"), n) for n in sizes or [1]]))
+    spans = texts.select(key, F.explode(F.array_distinct(runs)).alias("phrase"))
     return spans.join(index.select("phrase", "words", "concept_ids"), "phrase")
 
 

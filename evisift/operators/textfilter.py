@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evisift.functions import normalize
-from evisift.operators.resolve import phrase_matches
+from evisift.operators.resolve import word_run_matches
 
 # Term lists of the filter.
 TEMPORAL = "acute chronic recurrent episodic intermittent persistent progressive".split()
@@ -170,21 +170,58 @@ def sentences(blocks: DataFrame, keys: list[str]) -> DataFrame:
         symptom_list, F.concat(F.lit("Symptoms list: "), F.left("lead_in", F.lit(120)))
     ).otherwise(F.col("section"))
     split = F.split("block", r"(?<=[.!?;])\s+")
-    return blocks.select(
+    context = F.when(F.col("tag") == "li", F.col("block")).otherwise(F.btrim("sentence"))
+    rows = blocks.select(
         *keys, "ordinal", "tag", "block", effective.alias("section"),
         F.posexplode(split).alias("sentence_no", "sentence"),
+    ).select(
+        *keys, "ordinal", "sentence_no", "section", context.alias("context"),
+        normalize.normalize_label(F.col("sentence")).alias("sentence_text"),
+        normalize.normalize_label(context).alias("context_text"),
+        normalize.normalize_label(F.col("section")).alias("section_text"),
     )
+    return _sentence_cues(rows)
+
+
+def _sentence_cues(rows: DataFrame) -> DataFrame:
+    """Cues that depend on the sentence alone, found once per sentence rather than per phrase."""
+    text, section = F.col("context_text"), F.col("section_text")
+    in_section = F.when(section.rlike(CUES["classification"]), "classification_section")
+    for name, words in SECTION_WORDS:
+        in_section = in_section.when(_has_any(section, words), name)
+    in_section = in_section.when(section.rlike(CUES["manifestation_heading"]), "manifestation_section")
+    cues = F.array_compact(
+        F.array(
+            F.when(
+                text.rlike(CUES["family_history"]) | F.contains(section, F.lit("family history")),
+                "family_history_context",
+            ),
+            F.when(
+                text.rlike(CUES["differential"]) | F.contains(section, F.lit("differential")),
+                "differential_context",
+            ),
+            in_section,
+            F.when(text.rlike(CUES["procedure"]), "procedure_sentence"),
+            F.when(text.rlike(CUES["treatment"]), "treatment_sentence"),
+            F.when(text.rlike(CUES["risk"]), "risk_sentence"),
+            F.when(text.rlike(CUES["manifestation"]), "manifestation_sentence"),
+        )
+    )
+    return rows.withColumn("cues", cues).withColumn(
+        "example", text.rlike(CUES["example_or_subtype"])
+    ).withColumn("has_negation", text.rlike(CUES["negation"])).drop("section_text")
 
 
 def occurrences(sentence_rows: DataFrame, keys: list[str], index: DataFrame) -> DataFrame:
     """Whole-term occurrences of dictionary phrases, keyed by sentence."""
     rows = sentence_rows.withColumn("_k", F.struct(*keys, "ordinal", "sentence_no"))
-    hits = phrase_matches(
-        rows.select("_k", F.col("sentence").alias("text")), index, "_k", max_words=MAX_PHRASE_WORDS
+    hits = word_run_matches(
+        rows.select("_k", normalize.tokens(F.col("sentence_text")).alias("words")), index, "_k",
+        max_words=MAX_PHRASE_WORDS,
     ).select("_k", "phrase")
     return hits.join(rows, "_k").select(
-        *keys, "phrase", "ordinal", "sentence_no", "section",
-        F.when(F.col("tag") == "li", F.col("block")).otherwise(F.btrim("sentence")).alias("context"),
+        *keys, "phrase", "ordinal", "sentence_no", "section", "context", "context_text", "cues", "example",
+        "has_negation",
     )
 
 
@@ -212,36 +249,10 @@ def near_negation(text: Column, phrase: Column) -> Column:
 
 
 def context_flags(rows: DataFrame) -> DataFrame:
-    """Add ``flags``: the context cues of each occurrence (columns ``context, section, phrase``)."""
-    rows = rows.withColumn("_t", normalize.normalize_label(F.col("context"))).withColumn(
-        "_s", normalize.normalize_label(F.col("section"))
-    )
-    text, section = F.col("_t"), F.col("_s")
-    in_section = F.when(section.rlike(CUES["classification"]), "classification_section")
-    for name, words in SECTION_WORDS:
-        in_section = in_section.when(_has_any(section, words), name)
-    in_section = in_section.when(section.rlike(CUES["manifestation_heading"]), "manifestation_section")
-    flags = F.array_compact(
-        F.array(
-            F.when(near_negation(text, F.col("phrase")), "negation_context"),
-            F.when(
-                text.rlike(CUES["family_history"]) | F.contains(section, F.lit("family history")),
-                "family_history_context",
-            ),
-            F.when(
-                text.rlike(CUES["differential"]) | F.contains(section, F.lit("differential")),
-                "differential_context",
-            ),
-            in_section,
-            F.when(text.rlike(CUES["procedure"]), "procedure_sentence"),
-            F.when(text.rlike(CUES["treatment"]), "treatment_sentence"),
-            F.when(text.rlike(CUES["risk"]), "risk_sentence"),
-            F.when(text.rlike(CUES["manifestation"]), "manifestation_sentence"),
-        )
-    )
-    return rows.withColumn("flags", flags).withColumn(
-        "example", text.rlike(CUES["example_or_subtype"])
-    ).drop("_t", "_s")
+    """Add ``flags``: all context cues of each occurrence; only negation depends on the phrase."""
+    negated = F.when(F.col("has_negation"), near_negation(F.col("context_text"), F.col("phrase")))
+    flags = F.concat(F.array_compact(F.array(F.when(negated, "negation_context"))), "cues")
+    return rows.withColumn("flags", flags).drop("cues", "context_text", "has_negation")
 
 
 def term_flags(candidates: DataFrame, condition_terms: DataFrame) -> DataFrame:

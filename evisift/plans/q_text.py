@@ -9,6 +9,7 @@ from evisift.operators import resolve, textfilter
 from evisift.plans import oracle
 from evisift.plans import testbed as tb
 from evisift.plans.registry import query
+from evisift.session import materialize
 
 oracle.VIEWS["fx_doc_runs"] = """
   SELECT DISTINCT doc_id, lang, array_to_string(words[i:i+3], ' ') AS phrase
@@ -181,7 +182,7 @@ def page_dictionary(spark, sf):
 
 def flagged(spark, sf):
     def build():
-        rows = textfilter.sentences(blocks(spark, sf), ["page_id"])
+        rows = materialize(textfilter.sentences(blocks(spark, sf), ["page_id"]), "sentences")
         return textfilter.context_flags(
             textfilter.occurrences(rows, ["page_id"], page_dictionary(spark, sf))
         )
