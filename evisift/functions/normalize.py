@@ -56,7 +56,9 @@ def _ranges(points: list[int]) -> str:
 def fold(text: Column) -> Column:
     """Lower-case ASCII folding; one-to-many characters only cost anything where they occur."""
     source, target, expansions = _folding()
-    simple = F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), source, target)
+    lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    simple = F.translate(F.regexp_replace(lowered, r"\p{Mn}+", ""), source, target)
+    expansions = {char: plain for char, plain in expansions.items() if char not in "ßẞ"}
     table = F.create_map(*[F.lit(x) for pair in expansions.items() for x in pair])
     # the range test comes first, so plain characters never reach the long class
     rare = r"[\x{80}-\x{1FFFF}&&[" + _ranges(sorted(map(ord, expansions))) + "]]"
