@@ -140,58 +140,60 @@ def normalise_mapping(mappings: DataFrame, concepts: DataFrame) -> DataFrame:
 def subject_label_index(
     designations: DataFrame, concepts: DataFrame, preferred: str, fallback: str
 ) -> DataFrame:
-    """``(label, concept_ids)``: ids of the preferred vocabulary, else of the fallback, per label."""
+    """``(label, concepts, first, last)`` of the preferred vocabulary, else of the fallback, per label.
+
+    The smallest and largest id tell one concept from several, so no id list is built for a label
+    that many concepts share.
+    """
     active = concepts.filter((F.col("kind") == "condition") & (F.col("status") == "active"))
     rows = designations.join(active.select("concept_id", "primary_code"), "concept_id").select(
         normalize.normalize_label(F.col("text")).alias("label"), "concept_id", "primary_code"
     )
     first = F.col("primary_code").startswith(preferred)
     second = F.col("primary_code").startswith(fallback)
+    a, b = F.when(first, F.col("concept_id")), F.when(second & ~first, F.col("concept_id"))
     grouped = rows.filter(first | second).groupBy("label").agg(
-        F.collect_set(F.when(first, F.col("concept_id"))).alias("a"),
-        F.collect_set(F.when(second & ~first, F.col("concept_id"))).alias("b"),
+        F.count_distinct(a).alias("na"), F.min(a).alias("a0"), F.max(a).alias("a1"),
+        F.count_distinct(b).alias("nb"), F.min(b).alias("b0"), F.max(b).alias("b1"),
     )
+    has = F.col("na") > 0
     return grouped.select(
         "label",
-        F.array_sort(F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("b"))).alias("concept_ids"),
+        F.when(has, F.col("na")).otherwise(F.col("nb")).alias("concepts"),
+        F.when(has, F.col("a0")).otherwise(F.col("b0")).alias("first"),
+        F.when(has, F.col("a1")).otherwise(F.col("b1")).alias("last"),
     )
 
 
 def phrase_index(terms: DataFrame, *, max_words: int = 8, min_chars: int = 4) -> DataFrame:
-    """``(phrase, words, concept_ids)`` from ``terms(concept_id, text)``."""
+    """``(phrase, words, concepts, first)`` from ``terms(concept_id, text)``."""
     phrase = normalize.normalize_label(F.col("text"))
     return (
         terms.select("concept_id", phrase.alias("phrase"))
         .withColumn("words", F.size(normalize.tokens(F.col("phrase"))))
         .filter(F.col("words").between(1, max_words) & (F.length("phrase") >= min_chars))
         .groupBy("phrase", "words")
-        .agg(F.array_sort(F.collect_set("concept_id")).alias("concept_ids"))
+        .agg(F.count_distinct("concept_id").alias("concepts"), F.min("concept_id").alias("first"))
     )
 
 
 def propose_mapping(labels: DataFrame, index: DataFrame) -> DataFrame:
-    """Subject proposals: ``labels(topic_id, label)`` against ``index(label, concept_ids)``.
+    """Subject proposals: ``labels(topic_id, label)`` against :func:`subject_label_index`.
 
     One match over all labels of a topic resolves it, several are ambiguous, none unresolved.
     """
     hits = (
         labels.select("topic_id", normalize.normalize_label(F.col("label")).alias("label"))
-        .distinct()
         .join(index, "label", "left")
-        .select("topic_id", F.explode_outer("concept_ids").alias("concept_id"))
+        .groupBy("topic_id")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
     )
-    return (
-        hits.groupBy("topic_id")
-        .agg(
-            F.count_distinct("concept_id").alias("matches"),
-            F.min("concept_id").alias("first"),
-        )
-        .select(
-            "topic_id",
-            F.when(F.col("matches") == 1, F.col("first")).alias("concept_id"),
-            F.when(F.col("matches") == 1, "exact").otherwise("unresolved").alias("relation"),
-            mapping_status(F.col("matches")).alias("status"),
-        )
+    matches = F.when(F.col("first").isNull(), 0).when(F.col("first") == F.col("last"), 1).otherwise(2)
+    return hits.select(
+        "topic_id",
+        F.when(matches == 1, F.col("first")).alias("concept_id"),
+        F.when(matches == 1, "exact").otherwise("unresolved").alias("relation"),
+        mapping_status(matches).alias("status"),
     )
 
 
@@ -216,7 +218,7 @@ def word_run_matches(texts: DataFrame, index: DataFrame, key: str, *, max_words:
     sizes = sorted(r.words for r in index.select("words").distinct().collect() if r.words <= max_words)
     runs = F.flatten(F.array(*[normalize.word_ngrams(F.col("words"), n) for n in sizes or [1]]))
     spans = texts.select(key, F.explode(F.array_distinct(runs)).alias("phrase"))
-    return spans.join(index.select("phrase", "words", "concept_ids"), "phrase")
+    return spans.join(index.select("phrase", "words", "concepts", "first"), "phrase")
 
 
 def extract_candidates(
@@ -232,11 +234,11 @@ def extract_candidates(
     hits = phrase_matches(texts, index, "_k").select(
         F.col("_k.topic_id").alias("topic_id"),
         F.col("_k.summary_index").alias("summary_index"),
-        "phrase",
-        "concept_ids",
+        "phrase", "concepts", "first",
     )
     first = hits.groupBy("topic_id", "phrase").agg(
-        F.min("summary_index").alias("summary_index"), F.first("concept_ids").alias("concept_ids")
+        F.min("summary_index").alias("summary_index"), F.min("concepts").alias("concepts"),
+        F.min("first").alias("first"),
     )
     order = W.partitionBy("topic_id").orderBy("summary_index", "phrase")
     heads = chosen.groupBy("topic_id").agg(
@@ -247,7 +249,7 @@ def extract_candidates(
         "topic_id",
         F.struct("concept_id", "relation", "status").alias("subject_mapping"),
     )
-    matches = F.size("concept_ids")
+    matches = F.col("concepts")
     out = (
         first.withColumn("ordinal", F.row_number().over(order) - 1)
         .join(heads, "topic_id")
@@ -255,7 +257,7 @@ def extract_candidates(
         .withColumn(
             "object_mapping",
             F.struct(
-                F.when(matches == 1, F.col("concept_ids")[0]).alias("concept_id"),
+                F.when(matches == 1, F.col("first")).alias("concept_id"),
                 F.when(matches == 1, "exact").otherwise("unresolved").alias("relation"),
                 mapping_status(matches).alias("status"),
             ),

@@ -13,7 +13,7 @@ ROW_GROUP_BYTES = 64 * 1024 * 1024
 MEMBERSHIP_LIMIT = 5000
 # Redistribution terms from least to most restrictive.
 REDISTRIBUTION = ("allowed_with_attribution", "restricted", "prohibited")
-HASH_BUCKETS = 4096
+HASH_PREFIXES = (6, 3, 0)
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, keys: dict[str, str]) -> None:
@@ -43,25 +43,22 @@ def read_tables(
     return tables
 
 
-def table_hash(df: DataFrame, key: str, buckets: int = HASH_BUCKETS) -> DataFrame:
+def table_hash(df: DataFrame, key: str, prefixes: tuple[int, ...] = HASH_PREFIXES) -> DataFrame:
     """Row count and logical hash, independent of file layout.
 
-    Rows are digested one by one, digests are sorted and joined inside fixed buckets of the
-    digest, and the bucket digests are joined in order. A bucket's list grows with the table,
-    so ``buckets`` is raised for larger ones; the hash depends on it.
+    Rows are digested one by one and the digests combined as a tree over their leading hex
+    digits. Every level joins at most 16**3 sorted child digests, the lowest one the rows that
+    share six digits, so no group grows with the table beyond rows / 16**6.
     """
     columns = sorted(df.columns)
-    rows = df.select(ids.row_sha(*columns).alias("sha"))
-    bucket = F.conv(F.left("sha", F.lit(8)), 16, 10).cast("bigint") % buckets
-    per_bucket = rows.groupBy(bucket.alias("b")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("sha")), ""), 256).alias("h"), F.count("*").alias("n")
-    )
-    return per_bucket.agg(
-        F.sum("n").cast("bigint").alias("rows"),
-        F.sha2(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256
-        ).alias("logical_sha256"),
-    )
+    level = df.select(ids.row_sha(*columns).alias("h"), F.lit(1).cast("bigint").alias("n")).withColumn("at", F.col("h"))
+    for length in prefixes:
+        level = level.groupBy(F.left("at", F.lit(length)).alias("at")).agg(
+            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), ""), 256)
+            .alias("h"),
+            F.sum("n").alias("n"),
+        )
+    return level.select(F.col("n").alias("rows"), F.col("h").alias("logical_sha256"))
 
 
 def content_hash(hashes: DataFrame, scope: str, rules: str) -> DataFrame:
