@@ -5,10 +5,52 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evisift.operators import family, questions, resolve
+from evisift.plans import oracle
 from evisift.plans import testbed as tb
 from evisift.plans.q_semantic import index, r9, ranked as semantic_ranked
 from evisift.plans.registry import query
 
+oracle.VIEWS["fx_gain"] = """
+    WITH w AS (SELECT case_id, subject, exp(score - max(score) OVER (PARTITION BY case_id)) AS raw,
+        count(*) OVER (PARTITION BY case_id) AS n FROM fx_ranked WHERE rank <= 10),
+      w2 AS (SELECT case_id, subject, raw / sum(raw) OVER (PARTITION BY case_id) AS w FROM w WHERE n >= 2),
+      first AS (SELECT subject, finding, arg_min(source_id, source_id) AS sid FROM fx_assertion GROUP BY 1, 2),
+      freq AS (SELECT a.subject, a.finding, a.estimate AS v FROM first JOIN fx_assertion a
+          ON a.source_id = first.sid AND a.subject = first.subject AND a.finding = first.finding
+        WHERE a.estimate IS NOT NULL
+          AND (a.subject, a.finding) NOT IN (SELECT (subject, finding) FROM fx_conflict)),
+      k AS (SELECT case_id, finding, w, v FROM w2 JOIN freq USING (subject)),
+      m AS (SELECT case_id, finding, sum(w) AS coverage, sum(w * v) / sum(w) AS yes FROM k GROUP BY 1, 2
+        HAVING sum(w) >= 0.6),
+      h AS (SELECT case_id, -sum(w * log2(w)) AS entropy FROM w2 GROUP BY 1),
+      post AS (SELECT m.case_id, m.finding, any_value(coverage) AS coverage, any_value(yes) AS yes,
+          -sum(CASE WHEN w2.w * coalesce(v, yes) / yes > 0
+            THEN w2.w * coalesce(v, yes) / yes * log2(w2.w * coalesce(v, yes) / yes) ELSE 0 END) AS hy,
+          -sum(CASE WHEN w2.w * (1 - coalesce(v, yes)) / (1 - yes) > 0
+            THEN w2.w * (1 - coalesce(v, yes)) / (1 - yes) * log2(w2.w * (1 - coalesce(v, yes)) / (1 - yes))
+            ELSE 0 END) AS hn
+        FROM m JOIN w2 USING (case_id) LEFT JOIN freq f ON f.subject = w2.subject AND f.finding = m.finding
+        WHERE yes > 0 AND yes < 1 GROUP BY 1, 2),
+      g AS (SELECT case_id, finding, entropy - yes * hy - (1 - yes) * hn AS gain, coverage
+        FROM post JOIN h USING (case_id)),
+      ok AS (SELECT g.*, round(coalesce(i.ic, 0.0), 9) AS ic FROM g LEFT JOIN fx_ic i ON i.node = g.finding
+        WHERE gain > 1e-12 AND (case_id, finding) NOT IN (SELECT (case_id, finding) FROM fx_obs)
+          AND (case_id, finding) NOT IN (SELECT (case_id, ancestor) FROM fx_present JOIN fx_closure ON node = query)
+          AND (case_id, finding) NOT IN (SELECT (case_id, node) FROM fx_absent JOIN fx_closure ON ancestor = query)),
+      o AS (SELECT case_id, finding, round(gain, 9) AS gain, round(coverage, 9) AS coverage, ic,
+        row_number() OVER (PARTITION BY case_id ORDER BY round(gain, 9) DESC, round(coverage, 9) DESC, ic DESC,
+          finding) AS n FROM ok)
+    SELECT case_id, finding, gain, coverage, ic FROM o WHERE n = 1"""
+oracle.VIEWS["fx_plan"] = """
+    WITH head AS (SELECT case_id, subject FROM fx_family_ranked WHERE rank <= 5),
+      size AS (SELECT case_id, count(*) AS leaders FROM head GROUP BY 1),
+      m AS (SELECT case_id, finding, count(DISTINCT subject) AS mentions FROM fx_statement_vote
+        WHERE reason = 'finding_not_observed' AND polarity = 'present' GROUP BY 1, 2),
+      o AS (SELECT case_id, finding, mentions, leaders, row_number() OVER (PARTITION BY case_id
+          ORDER BY least(mentions, leaders - mentions) DESC, finding) AS position
+        FROM m JOIN size USING (case_id) WHERE mentions < leaders)
+    SELECT case_id, position, finding, mentions, leaders FROM o WHERE position <= 6"""
+
 MIN_FINDINGS = 2
 MIN_COVERAGE = 0.5
 
@@ -446,36 +488,7 @@ def m30(spark, sf):
 
 @query(
     "q1_information_gain",
-    """WITH w AS (SELECT case_id, subject, exp(score - max(score) OVER (PARTITION BY case_id)) AS raw,
-        count(*) OVER (PARTITION BY case_id) AS n FROM fx_ranked WHERE rank <= 10),
-      w2 AS (SELECT case_id, subject, raw / sum(raw) OVER (PARTITION BY case_id) AS w FROM w WHERE n >= 2),
-      first AS (SELECT subject, finding, arg_min(source_id, source_id) AS sid FROM fx_assertion GROUP BY 1, 2),
-      freq AS (SELECT a.subject, a.finding, a.estimate AS v FROM first JOIN fx_assertion a
-          ON a.source_id = first.sid AND a.subject = first.subject AND a.finding = first.finding
-        WHERE a.estimate IS NOT NULL
-          AND (a.subject, a.finding) NOT IN (SELECT (subject, finding) FROM fx_conflict)),
-      k AS (SELECT case_id, finding, w, v FROM w2 JOIN freq USING (subject)),
-      m AS (SELECT case_id, finding, sum(w) AS coverage, sum(w * v) / sum(w) AS yes FROM k GROUP BY 1, 2
-        HAVING sum(w) >= 0.6),
-      h AS (SELECT case_id, -sum(w * log2(w)) AS entropy FROM w2 GROUP BY 1),
-      post AS (SELECT m.case_id, m.finding, any_value(coverage) AS coverage, any_value(yes) AS yes,
-          -sum(CASE WHEN w2.w * coalesce(v, yes) / yes > 0
-            THEN w2.w * coalesce(v, yes) / yes * log2(w2.w * coalesce(v, yes) / yes) ELSE 0 END) AS hy,
-          -sum(CASE WHEN w2.w * (1 - coalesce(v, yes)) / (1 - yes) > 0
-            THEN w2.w * (1 - coalesce(v, yes)) / (1 - yes) * log2(w2.w * (1 - coalesce(v, yes)) / (1 - yes))
-            ELSE 0 END) AS hn
-        FROM m JOIN w2 USING (case_id) LEFT JOIN freq f ON f.subject = w2.subject AND f.finding = m.finding
-        WHERE yes > 0 AND yes < 1 GROUP BY 1, 2),
-      g AS (SELECT case_id, finding, entropy - yes * hy - (1 - yes) * hn AS gain, coverage
-        FROM post JOIN h USING (case_id)),
-      ok AS (SELECT g.*, round(coalesce(i.ic, 0.0), 9) AS ic FROM g LEFT JOIN fx_ic i ON i.node = g.finding
-        WHERE gain > 1e-12 AND (case_id, finding) NOT IN (SELECT (case_id, finding) FROM fx_obs)
-          AND (case_id, finding) NOT IN (SELECT (case_id, ancestor) FROM fx_present JOIN fx_closure ON node = query)
-          AND (case_id, finding) NOT IN (SELECT (case_id, node) FROM fx_absent JOIN fx_closure ON ancestor = query)),
-      o AS (SELECT case_id, finding, round(gain, 9) AS gain, round(coverage, 9) AS coverage, ic,
-        row_number() OVER (PARTITION BY case_id ORDER BY round(gain, 9) DESC, round(coverage, 9) DESC, ic DESC,
-          finding) AS n FROM ok)
-    SELECT case_id, finding, gain, coverage, ic FROM o WHERE n = 1""",
+    "SELECT case_id, finding, gain, coverage, ic FROM fx_gain",
 )
 def q1(spark, sf):
     """Most informative open finding of every case."""
@@ -491,15 +504,27 @@ def gains(spark, sf):
     )
 
 
-@query("q2_question_status")
+@query(
+    "q2_question_status",
+    """WITH c AS (SELECT case_id, count(*) FILTER (status = 'unknown') AS answered FROM fx_obs GROUP BY 1),
+      n AS (SELECT case_id, any_value(candidate_count) AS n FROM fx_ranked GROUP BY 1),
+      r AS (SELECT case_id, answered, g.finding, CASE WHEN answered >= 12 THEN 'question_limit'
+          WHEN coalesce(n, 0) < 2 THEN 'insufficient_candidates'
+          WHEN g.finding IS NULL THEN 'no_admissible_informative_question' END AS reason
+        FROM c LEFT JOIN n USING (case_id) LEFT JOIN fx_gain g USING (case_id))
+    SELECT case_id, CASE WHEN reason IS NULL THEN 'question' ELSE 'stopped' END AS status, reason,
+      CASE WHEN reason IS NULL THEN finding END AS finding,
+      CASE WHEN reason IS NULL THEN answered + 1 ELSE 0 END AS question_number FROM r""",
+)
 def q2(spark, sf):
     """Question or stop reason of every case."""
     obs = tb.observations(spark, sf)
     counts = semantic_ranked(spark, sf).groupBy("case_id").agg(F.max("candidate_count").alias("candidate_count"))
     answers = obs.filter(F.col("status") == "unknown").select("case_id", "finding")
-    return questions.question_status(
+    out = questions.question_status(
         obs.select("case_id").distinct(), answers, counts, gains(spark, sf).select("case_id", "finding")
     )
+    return out.withColumn("question_number", F.coalesce("question_number", F.lit(0)))
 
 
 _OPPOSING = """o AS (SELECT finding, least(count(DISTINCT subject) FILTER (polarity = 'present'),
@@ -595,14 +620,7 @@ def q7(spark, sf):
 
 @query(
     "q8_verification_plan",
-    """WITH head AS (SELECT case_id, subject FROM fx_family_ranked WHERE rank <= 5),
-      size AS (SELECT case_id, count(*) AS leaders FROM head GROUP BY 1),
-      m AS (SELECT case_id, finding, count(DISTINCT subject) AS mentions FROM fx_statement_vote
-        WHERE reason = 'finding_not_observed' AND polarity = 'present' GROUP BY 1, 2),
-      o AS (SELECT case_id, finding, mentions, leaders, row_number() OVER (PARTITION BY case_id
-          ORDER BY least(mentions, leaders - mentions) DESC, finding) AS position
-        FROM m JOIN size USING (case_id) WHERE mentions < leaders)
-    SELECT case_id, position, finding, mentions, leaders FROM o WHERE position <= 6""",
+    "SELECT case_id, position, finding, mentions, leaders FROM fx_plan",
 )
 def q8(spark, sf):
     return plan(spark, sf)
@@ -618,7 +636,13 @@ def plan(spark, sf):
     return tb._memo(spark, sf, "verification_plan", build)
 
 
-@query("q9_next_plan_item")
+@query(
+    "q9_next_plan_item",
+    """WITH k AS (SELECT case_id, finding FROM fx_obs UNION SELECT v.case_id, v.finding FROM fx_statement_vote v
+        JOIN fx_family_ranked r USING (case_id, subject) WHERE r.rank = 1)
+    SELECT case_id, arg_min(finding, position) AS finding, min(position) AS position FROM fx_plan
+    WHERE (case_id, finding) NOT IN (SELECT (case_id, finding) FROM k) GROUP BY 1""",
+)
 def q9(spark, sf):
     """First plan item still open when every finding the leading subject states counts as recorded."""
     known = leader_rows(spark, sf).select("case_id", "finding", "subject").join(
