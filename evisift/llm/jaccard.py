@@ -321,3 +321,13 @@ def similar_documents(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
     )
+
+
+def drop_similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: those whose id is its smallest.
+
+    Rows without an id stay, as do all rows of an id that stands for a component with one of them.
+    """
+    found = similar_documents(docs, key=key, text=text)
+    rest = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("drop")).filter("drop")
+    return docs.join(rest.select(F.col("doc_id").alias("_similar_id")), F.col(key).cast("long") == F.col("_similar_id"), "left_anti")

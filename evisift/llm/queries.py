@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evisift.llm import decontaminate, exact_dedup, jaccard, tokens
+from evisift.llm import decontaminate, exact_dedup, jaccard, quality, tokens
 from evisift.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -88,3 +88,9 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_i
 @query("op1_ngram_jaccard_join", OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
