@@ -98,6 +98,10 @@ class Words:
         symbols = LOWER[self.data] if lower else self.data
         return span_hashes(BYTE_VALUES[symbols], self.start, self.end)
 
+    def characters(self) -> np.ndarray:
+        """Number of characters before every byte of ``data`` and at its end."""
+        return np.append(0, np.cumsum((self.data & 0xC0) != 0x80))
+
 
 def byte_class(*spans: tuple[int, int]) -> np.ndarray:
     """Lookup table that is True for bytes outside the given closed spans."""

@@ -142,10 +142,12 @@ def find_passages(
         for rows, texts in arrays.slices(batches, "body", SHARD_BYTES):
             found = Found(texts, phrases)
             items, spans = [], []
-            for doc, raw in enumerate(texts):
+            before = found.words.characters()
+            for doc in range(len(texts)):
                 own = sorted(found.items.get(doc, ()))
                 items.append(own)
-                spans.append([{"start": len(raw[:a].decode()), "end": len(raw[:b].decode())} for a, b in found.spans(doc)] if own else [])
+                offset = found.words.text_start[doc]
+                spans.append([{"start": int(before[offset + a] - before[offset]), "end": int(before[offset + b] - before[offset])} for a, b in found.spans(doc)] if own else [])
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(found.words.count), pa.array(found.n_hit), pa.array([len(x) for x in items], pa.int64()),
