@@ -6,10 +6,12 @@ share with them. Heavy sets scan inverted lists of single shingles: two sets tha
 widespread passages and edited copies of one text hardly open lists. A set is light up to the size where
 enumeration would emit more keys than its lists cost.
 
-Lists are resolved without all pairs. Each list names a pivot, the member whose common shingle comes earliest;
-members that may link by size and place are verified against it, and the links give first components. Only pairs of
-different components are left, and only those that may link by size and place are verified. A pair inside
-one component can't change the components, so none that matters is left out.
+Short lists, of a fixed number of members at most, pair their members directly. Sets that link share a certain
+number of leading shingles, so pairs are counted over all lists, and the few that reach it are verified exactly.
+Long lists are resolved without all pairs. Each names a pivot, the member whose common shingle comes earliest; members
+that may link by size and place are verified against it, and all links so far give first components. Of what is left,
+pairs of different components that may link by size and place are verified. A pair inside one component
+can't change the components, so none that matters is left out.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ SCAN_COST = 8
 # They only decide the order of shingles; any order gives the same result.
 FREQUENT_FROM = 16
 FREQUENT_MOST = 1 << 20
+# Members of a list that is paired directly.
+SHORT = 64
 # Sets whose keys a task has sent already; copies of these send none again.
 SEEN_SETS = 1 << 18
 _U = np.uint64
@@ -54,8 +58,8 @@ def partners(n: int, similarity: int = SIMILARITY) -> range:
 
 
 def prefix(n, similarity: int = SIMILARITY):
-    """Leading shingles of a set of which any partner has one among its own."""
-    return n - (-(-similarity * n // 100)) + 1
+    """Leading shingles of a set of which any partner has n // 20 + 1 among its own; one would do for a candidate."""
+    return n - (-(-similarity * n // 100)) + 1 + n // 20
 
 
 @cache
@@ -203,11 +207,15 @@ def _may_link(n: Column, i: Column, m: Column, j: Column, similarity: int) -> Co
     return F.least(n - i, m - j) >= _needed(n, m, similarity)
 
 
+def _prefix(n: Column, similarity: int) -> Column:
+    return n - F.ceil(n * similarity / 100 - 1e-9) + 1 + F.floor(n / 20)
+
+
 def candidate_lists(keyed: DataFrame, similarity: int) -> DataFrame:
-    """Members of all lists in which a pair may link: key, set, size, place, and the list's pivot.
+    """Members of all lists of two sets or more: key, set, size, place, length of the list and its pivot.
 
-    Lists of rare shingles and of subsets are short and are windows. Frequent shingles may stand in a third
-    of all sets; their pivots are found by map-side aggregation and joined back, which splits hot keys.
+    Lists of rare shingles and of subsets are windows. Frequent shingles may stand in a third of all sets;
+    their pivots are found by map-side aggregation and joined back, which splits hot keys.
     """
     place = F.col("pos").cast("long")
 
@@ -216,23 +224,45 @@ def candidate_lists(keyed: DataFrame, similarity: int) -> DataFrame:
         return rows.select("key", "set_id", "n", (place + F.col("start") if column != "subsets" else F.lit(0).cast("long")).alias("pos"))
 
     lead = F.min(F.struct((F.col("pos") / F.col("n")).alias("at"), "set_id", "n", "pos"))
-    facts = {"low": F.min("set_id"), "high": F.max("set_id"), "pivot": lead}
+    facts = {"low": F.min("set_id"), "high": F.max("set_id"), "members": F.count(F.lit(1)), "pivot": lead}
     short = members("rare", F.lit(0)).unionByName(members("subsets", F.lit(0)))
     window = W.partitionBy("key")
     short = short.select("*", *(f.over(window).alias(name) for name, f in facts.items()))
     often = members("frequent", F.size("rare"))
     pivots = materialize(often.groupBy("key").agg(*(f.alias(name) for name, f in facts.items())).filter("low < high"), "frequent_pivots")
     rows = short.filter("low < high").unionByName(often.join(pivots, "key"))
-    # The smaller set of a pair has the shingle among its first n - overlap(n, n): if not even the pivot has, no pair may link.
-    share = 1 - 2 * similarity / (100 + similarity)
     return materialize(
-        rows.filter(F.col("pivot.at") <= share).select(
-            "key", "set_id", "n", "pos", F.col("pivot.set_id").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.pos").alias("pivot_pos")
+        rows.select(
+            "key", "set_id", "n", "pos", "members", F.col("pivot.at").alias("lead"),
+            F.col("pivot.set_id").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.pos").alias("pivot_pos"),
         ),
         "lists",
     )
 
 
+def counted_pairs(lists: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of short lists that share enough leading shingles to link.
+
+    Of a set's leading shingles at most n - overlap are missing in a partner, so the pair shares at least as many as
+    the shorter of both bounds says; shingles whose lists are long may all be shared.
+    """
+    short = lists.filter(F.col("members") <= SHORT)
+    sides = [short.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("set_id", "n", "pos"))) for x in "ab"]
+    a, n, i, b, m, j = (F.col(f"{x}_{c}") for x in "ab" for c in ("set_id", "n", "pos"))
+    alike = (100 * F.least(n, m) >= similarity * F.greatest(n, m)) & (a < b)
+    pairs = sides[0].join(sides[1], "key").filter(alike).groupBy(a.alias("a"), b.alias("b"), n.alias("n"), m.alias("m")).agg(
+        F.count(F.lit(1)).alias("shared"), F.max(_may_link(n, i, m, j, similarity)).alias("may")
+    ).filter("may")
+    long = lists.filter(F.col("members") > SHORT).groupBy("set_id").agg(F.count(F.lit(1)).alias("more"))
+    for side in "ab":
+        pairs = pairs.join(long.select(F.col("set_id").alias(side), F.col("more").alias(f"more_{side}")), side, "left")
+    more = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    n, m = F.col("n"), F.col("m")
+    least = _needed(n, m, similarity) + F.least(_prefix(n, similarity) - n, _prefix(m, similarity) - m)
+    light = F.greatest(n, m) <= light_limit(similarity)  # their keys are subsets, not shingles
+    return materialize(pairs.filter(light | (F.col("shared") + more >= least)).select("a", "b"), "counted_pairs")
+
+
 def shingle_sets(docs: DataFrame, keyed: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """The shingles of the wanted sets, each from one document that has it."""
     owners = keyed.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("owner"))
@@ -266,14 +296,19 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 def linked_sets(docs: DataFrame, keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """Set ids that link with another, and the smallest id reachable from each."""
     lists = candidate_lists(keyed, similarity)
+    pairs = counted_pairs(lists, similarity)
+    # The smaller set of a pair has a shingle of both among its first n - overlap(n, n): if not even the pivot has, no pair may link.
+    share = 1 - 2 * similarity / (100 + similarity)
+    lists = lists.filter((F.col("members") > SHORT) & (F.col("lead") <= share))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(lists.select("set_id")).distinct()
+    sets = shingle_sets(docs, keyed, wanted, shingle)
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return materialize(verified(pairs.distinct(), sets, similarity), "links")
+    def links(found: DataFrame) -> DataFrame:
+        return materialize(verified(found.distinct(), sets, similarity), "links")
 
-    sets = shingle_sets(docs, keyed, lists.select("set_id"), shingle)
     size, at = F.col("n"), F.col("pos")
     first = lists.filter((F.col("set_id") != F.col("pivot")) & _may_link(size, at, F.col("pivot_n"), F.col("pivot_pos"), similarity))
-    edges = links(first.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")))
+    edges = links(pairs.union(first.select(F.col("pivot").alias("a"), F.col("set_id").alias("b"))))
     label = min_labels(edges, "a", "b")
 
     def labelled(rows: DataFrame, name: str, out: str) -> DataFrame:
@@ -330,4 +365,5 @@ def drop_similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     """
     found = similar_documents(docs, key=key, text=text)
     rest = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("drop")).filter("drop")
-    return docs.join(rest.select(F.col("doc_id").alias("_similar_id")), F.col(key).cast("long") == F.col("_similar_id"), "left_anti")
+    rest = rest.select(F.col("doc_id").alias("_similar_id"))
+    return docs.join(rest, docs[key].cast("long") == rest["_similar_id"], "left_anti")
