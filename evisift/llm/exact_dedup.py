@@ -107,5 +107,5 @@ def drop_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     dropped = exact_groups(docs, key=key, text=text).filter(~F.col("kept")).select(
         F.col("doc_id").alias("_copy_id"), F.col("text_sha256").alias("_copy_sha")
     ).distinct()
-    sha = F.sha2(F.array_join(words(F.col(text).cast("string")), " "), 256)
-    return docs.join(dropped, (F.col(key).cast("long") == F.col("_copy_id")) & (sha == F.col("_copy_sha")), "left_anti")
+    sha = F.sha2(F.array_join(words(docs[text].cast("string")), " "), 256)
+    return docs.join(dropped, (docs[key].cast("long") == dropped["_copy_id"]) & (sha == dropped["_copy_sha"]), "left_anti")

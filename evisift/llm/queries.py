@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evisift.llm import decontaminate, exact_dedup, jaccard, personal, quality, secret_scan, tokens, toxicity
+from evisift.llm import decontaminate, exact_dedup, jaccard, line_dedup, personal, quality, secret_scan, tokens, toxicity
 from evisift.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -112,3 +112,27 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.find_secrets(docs, secret_scan.word_dictionary(docs))
+
+
+OP9 = """
+WITH l AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), u AS (SELECT r, doc_id, i, lines[i] AS line, len(lines) AS n FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l)),
+h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, length(line) >= 200 AS long FROM u),
+c AS (
+  SELECT *, i = n OR long OR coalesce(lead(long) OVER w, false) OR (coalesce(lag(h) OVER w, 0) * 31 + h) % 3 = 0 AS cut
+  FROM h WINDOW w AS (PARTITION BY r ORDER BY i)
+), g AS (SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM c),
+k AS (SELECT r, any_value(doc_id) AS doc_id, pos, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body FROM g GROUP BY r, pos),
+o AS (
+  SELECT *, (lines > 1 OR length(body) >= 200) AND row_number() OVER (PARTITION BY body, lines > 1 OR length(body) >= 200 ORDER BY doc_id, pos) > 1 AS gone FROM k
+)
+SELECT doc_id, CAST(sum(lines) AS BIGINT) AS n_lines, CAST(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS removed_lines,
+  coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+FROM o GROUP BY r, doc_id
+"""
+
+
+@query("op9_line_dedup", OP9)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
