@@ -265,7 +265,7 @@ def counted_pairs(lists: DataFrame, similarity: int) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, keyed: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """The shingles of the wanted sets, each from one document that has it."""
-    owners = keyed.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("owner"))
+    owners = keyed.groupBy("set_id").agg(F.min("doc_id").alias("owner")).join(wanted, "set_id", "left_semi")
     texts = docs.join(owners.withColumnRenamed("set_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("owner"))).select("wanted", "body")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

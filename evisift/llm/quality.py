@@ -174,7 +174,8 @@ class AdditiveModel:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         margin = np.full(len(x), self.base)
-        for table, edges, column in zip(self.tables, self.edges, x.T, strict=True):
+        for i, (table, edges) in enumerate(zip(self.tables, self.edges, strict=True)):
+            column = x[:, i]
             margin += table[np.searchsorted(edges, column, side="right")]
         for i, j, table in self.pairs:
             a, b = (np.searchsorted(self.pair_edges[k], x[:, k], side="right") for k in (i, j))
