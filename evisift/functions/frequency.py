@@ -27,13 +27,15 @@ NUMERIC_FREQUENCY = {
 }
 
 FREQUENCY_TYPE = (
-    "struct<kind:string,raw:string,numerator:int,denominator:int,"
+    "struct<kind:string,raw:string,numerator:bigint,denominator:bigint,"
     "lower:double,upper:double,category:string>"
 )
 
-_COUNT = r"^(\d+)\s*/\s*([1-9]\d*)$"
-_PERCENT = r"^(\d+(?:\.\d+)?)\s*%$"
-_RANGE = r"^(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)\s*%$"
+# A share is digits with an optional decimal part; blanks may stand between the parts of a frequency.
+_SHARE = r"([0-9]+(?:\.[0-9]+)?)"
+_COUNT = r"\A([0-9]+)\s*/\s*(0*[1-9][0-9]*)\z"
+_PERCENT = rf"\A{_SHARE}\s*%\z"
+_RANGE = rf"\A{_SHARE}\s*[-\x{{2013}}]\s*{_SHARE}\s*%\z"
 
 
 def _bounds(category: Column, index: int) -> Column:
@@ -48,19 +50,24 @@ def _struct(kind, raw, numerator=None, denominator=None, lower=None, upper=None,
     return F.struct(
         F.lit(kind).alias("kind"),
         raw.alias("raw"),
-        (null if numerator is None else numerator).cast("int").alias("numerator"),
-        (null if denominator is None else denominator).cast("int").alias("denominator"),
+        (null if numerator is None else numerator).cast("bigint").alias("numerator"),
+        (null if denominator is None else denominator).cast("bigint").alias("denominator"),
         (null if lower is None else lower).cast("double").alias("lower"),
         (null if upper is None else upper).cast("double").alias("upper"),
         (null if category is None else category).cast("string").alias("category"),
     )
 
 
+def strip_blanks(text: Column) -> Column:
+    """Text without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def parse_frequency(raw: Column) -> Column:
-    """Struct for a frequency string; kind ``invalid`` marks text that must be refused."""
-    value = F.btrim(raw)
-    k = F.regexp_extract(value, _COUNT, 1).try_cast("int")
-    n = F.regexp_extract(value, _COUNT, 2).try_cast("int")
+    """Struct for a frequency string; kind ``invalid`` marks text that must be refused, counts beyond 64 bits among it."""
+    value = strip_blanks(raw)
+    k = F.regexp_extract(value, _COUNT, 1).try_cast("bigint")
+    n = F.regexp_extract(value, _COUNT, 2).try_cast("bigint")
     ratio = F.try_divide(k.cast("double"), n.cast("double"))
     point = F.regexp_extract(value, _PERCENT, 1).try_cast("double") / 100
     low = F.regexp_extract(value, _RANGE, 1).try_cast("double") / 100
@@ -76,7 +83,7 @@ def parse_frequency(raw: Column) -> Column:
             category,
             _struct("category", raw, lower=_bounds(value, 0), upper=_bounds(value, 1), category=value),
         )
-        .when(value.rlike(_COUNT), _struct("count", raw, k, n, ratio, ratio))
+        .when(value.rlike(_COUNT) & k.isNotNull() & n.isNotNull(), _struct("count", raw, k, n, ratio, ratio))
         .when(value.rlike(_PERCENT), _struct("percentage", raw, lower=point, upper=point))
         .when(value.rlike(_RANGE), _struct("interval", raw, lower=low, upper=high))
         .otherwise(_struct("invalid", raw))

@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 
 # Query words that block a search, and words that carry no search meaning.
 NEGATION_WORDS = (
-    "pas sans aucun aucune absence nicht kein keine keinen no not without"
-).split()
+    "pas", "sans", "aucun", "aucune", "absence", "nicht", "kein", "keine", "keinen", "no", "not", "without",
+)
 FILLER_WORDS = (
-    "je j ai me mon ma mes le la les de des du au aux a est il qui quand "
-    "ich mir ist beim der die das und the an my when i have"
-).split()
-
-QUERY_TOKEN_LIMIT = 10
+    "je", "j", "ai", "me", "mon", "ma", "mes", "le", "la", "les", "de", "des", "du", "au", "aux", "a", "est", "il", "qui", "quand",
+    "ich", "mir", "ist", "beim", "der", "die", "das", "und", "the", "an", "my", "when", "i", "have",
+)
 
 
 @lru_cache(maxsize=1)
@@ -87,17 +85,18 @@ def tokens(normalized: Column) -> Column:
 
 
 def query_tokens(normalized: Column) -> Column:
-    """Meaningful tokens of a search phrase: empty when a negation word is among the first ten."""
-    first = F.slice(tokens(normalized), 1, QUERY_TOKEN_LIMIT)
+    """Meaningful tokens of a search phrase: empty when a negation word is among them."""
+    first = tokens(normalized)
     negation = F.array(*[F.lit(w) for w in NEGATION_WORDS])
     filler = F.array(*[F.lit(w) for w in FILLER_WORDS])
     kept = F.filter(first, lambda t: ~F.array_contains(filler, t) & (F.length(t) >= 2))
     return F.when(F.arrays_overlap(first, negation), F.array().cast("array<string>")).otherwise(kept)
 
 
-def word_ngrams(words: Column, size: int) -> Column:
+def word_ngrams(words: Column, size: int | Column) -> Column:
     """All runs of ``size`` words."""
-    last = F.size(words) - F.lit(size - 1)
+    size = F.lit(size)
+    last = F.size(words) - size + 1
     return F.when(
         last >= 1,
         F.transform(

@@ -70,14 +70,14 @@ def cross_counts(rows: DataFrame, domains: DataFrame) -> DataFrame:
 
 
 def opposing_findings(statements: DataFrame) -> DataFrame:
-    """Findings stated with both polarities and how evenly they divide the subjects."""
+    """Findings a relation states with both polarities, and how evenly they divide the subjects."""
     polarity = F.col("polarity")
-    per = statements.groupBy("finding", "subject").agg(
+    per = statements.groupBy("finding", "relation", "subject").agg(
         F.max((polarity == "present").cast("int")).alias("p"),
         F.max((polarity == "excluded").cast("int")).alias("x"),
     )
     return (
-        per.groupBy("finding")
+        per.groupBy("finding", "relation")
         .agg(F.sum("p").alias("present"), F.sum("x").alias("excluded"))
         .filter((F.col("present") > 0) & (F.col("excluded") > 0))
         .withColumn("separation", F.least("present", "excluded"))
@@ -90,7 +90,7 @@ def top_k(df: DataFrame, k: int, *order) -> DataFrame:
 
 def subjects_with_discriminant(statements: DataFrame, opposing: DataFrame) -> DataFrame:
     return (
-        statements.join(opposing.select("finding"), "finding", "left_semi")
+        statements.join(opposing.select("finding", "relation"), ["finding", "relation"], "left_semi")
         .agg(F.count_distinct("subject").alias("subjects"))
     )
 

@@ -8,25 +8,21 @@ from pyspark.sql import Window as W
 
 from evisift.session import materialize
 
-MAX_DEPTH = 200
 
 
-def ancestor_closure(edges: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Reflexive ``(node, ancestor)`` pairs of a multi-parent DAG.
+def proper_closure(edges: DataFrame) -> DataFrame:
+    """``(node, ancestor)`` pairs over one edge or more; a node on a cycle is its own ancestor.
 
-    Each round joins only the newly found pairs with the edges and drops pairs already
-    known, so shared ancestors are not re-expanded per path. Rounds are written out,
-    which keeps the plan short and lets a lost executor resume from files.
+    A round joins the pairs found last with all pairs known, which doubles the length of the paths covered, and
+    drops pairs already known, so shared ancestors are not re-expanded per path. Rounds are written out,
+    which keeps the plan short and lets a lost executor resume from files. It ends when a round finds nothing.
     """
-    parents = edges.select(F.col("child").alias("via"), F.col("parent")).distinct()
-    nodes = edges.select("child").union(edges.select("parent")).distinct()
-    known = nodes.select(F.col("child").alias("node"), F.col("child").alias("ancestor"))
-    delta = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
-    known = known.unionByName(delta)
-    for _ in range(max_depth):
+    known = delta = materialize(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct(), "closure")
+    while True:
+        ahead = known.select(F.col("node").alias("via"), F.col("ancestor").alias("further"))
         step = (
-            delta.join(parents, delta.ancestor == parents.via)
-            .select("node", F.col("parent").alias("ancestor"))
+            delta.join(ahead, delta.ancestor == ahead.via)
+            .select("node", F.col("further").alias("ancestor"))
             .distinct()
             .join(known, ["node", "ancestor"], "left_anti")
         )
@@ -34,7 +30,15 @@ def ancestor_closure(edges: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFra
         if delta.isEmpty():
             return known
         known = known.unionByName(delta)
-    raise ValueError(f"hierarchy deeper than {max_depth}, or cyclic")
+
+
+def ancestor_closure(edges: DataFrame) -> DataFrame:
+    """Reflexive ``(node, ancestor)`` pairs of a multi-parent DAG of any depth; a cycle is an error."""
+    known = proper_closure(edges)
+    if not known.filter(F.col("node") == F.col("ancestor")).isEmpty():
+        raise ValueError("the hierarchy has a cycle")
+    nodes = edges.select("child").union(edges.select("parent")).distinct()
+    return known.unionByName(nodes.select(F.col("child").alias("node"), F.col("child").alias("ancestor")))
 
 
 def descendants(closure: DataFrame, roots: DataFrame) -> DataFrame:
@@ -44,22 +48,11 @@ def descendants(closure: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def cyclic_nodes(edges: DataFrame, *, max_rounds: int = MAX_DEPTH) -> DataFrame:
-    """Nodes that lie on or below a cycle: what is left after peeling nodes without parents."""
-    left = edges.select("child", "parent").distinct()
-    for _ in range(max_rounds):
-        # an edge survives while its parent still has a parent of its own
-        open_parents = left.select(F.col("child").alias("parent")).distinct()
-        kept = materialize(left.join(open_parents, "parent", "left_semi"), "cycle-peel")
-        if kept.isEmpty():
-            break
-        if kept.count() == left.count():
-            left = kept
-            break
-        left = kept
-    else:
-        raise ValueError("hierarchy too deep to check")
-    return kept.select(F.col("child").alias("node")).distinct()
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes that lie on or below a cycle: those that have a node on a cycle among their ancestors."""
+    known = proper_closure(edges)
+    on_cycle = known.filter(F.col("node") == F.col("ancestor")).select("ancestor")
+    return known.join(on_cycle, "ancestor", "left_semi").select("node").distinct()
 
 
 def propagate(assertions: DataFrame, closure: DataFrame) -> DataFrame:

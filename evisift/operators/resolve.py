@@ -10,76 +10,68 @@ from evisift.functions import ids, normalize
 from evisift.operators.hierarchy import best_per_key
 from evisift.session import materialize
 
+# Qualifiers of a statement.
 QUALIFIER_FIELDS = (
-    "age clinical_context evidence_level evidence_type frequency laterality location "
-    "polarity population severity sex temporal_context"
-).split()
+    "age", "clinical_context", "evidence_level", "evidence_type", "frequency", "laterality", "location",
+    "polarity", "population", "severity", "sex", "temporal_context",
+)
 
 
 # --- keyed inserts and obsolete ids -------------------------------------------------------
 
 
 def keyed_insert(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``(kept, violations)``: equal repeats of a key collapse, differing repeats are errors."""
-    hashed = rows.withColumn("_sha", ids.row_sha(*[F.col(c) for c in rows.columns]))
-    violations = (
-        hashed.groupBy(key)
-        .agg(F.count_distinct("_sha").alias("variants"))
-        .filter(F.col("variants") > 1)
+    """``(kept, violations)``: equal repeats of a key collapse, differing repeats are errors and none of them is kept."""
+    columns = [c for c in rows.columns if c != key]
+    per_key = rows.groupBy(key).agg(
+        F.count_distinct(ids.row_sha(*[F.col(c) for c in rows.columns])).alias("variants"),
+        F.min(F.struct(*columns)).alias("_row"),
     )
-    return rows.dropDuplicates([key]), violations
+    kept = per_key.filter(F.col("variants") == 1).select(*[F.col(f"_row.{c}").alias(c) if c != key else F.col(c) for c in rows.columns])
+    return kept, per_key.filter(F.col("variants") > 1).select(key, "variants")
 
 
-def resolve_obsolete(
-    concepts: DataFrame, replacements: DataFrame, *, max_depth: int = 50
-) -> DataFrame:
+def resolve_obsolete(concepts: DataFrame, replacements: DataFrame) -> DataFrame:
     """Follow the unique replaced-by chain of every obsolete concept to an active one.
 
     ``concepts(concept_id, obsolete)``, ``replacements(concept_id, replacement)``.
     Result ``(concept_id, resolved, outcome)`` with outcome active / replaced / retired /
-    ambiguous / unknown / cycle.
+    ambiguous / unknown / cycle, one row per concept.
+
+    Every round lets each concept point where its target points, so a chain of n links takes log2(n)
+    rounds. What still points at a link after that many rounds runs in a cycle.
     """
     targets = replacements.distinct().groupBy("concept_id").agg(
         F.count("replacement").alias("n"), F.min("replacement").alias("next")
     )
-    state = concepts.join(targets, "concept_id", "left").select(
-        "concept_id", "obsolete", F.coalesce("n", F.lit(0)).alias("n"), "next"
-    )
-    step = state.select(
-        F.col("concept_id").alias("at"), F.col("obsolete").alias("at_obsolete"),
-        F.col("n").alias("at_n"), F.col("next").alias("at_next"),
-    )
-    walk = state.select(
-        "concept_id", F.col("concept_id").alias("at"),
-        F.array("concept_id").alias("seen"), F.lit(None).cast("string").alias("outcome"),
-    )
-    done = None
-    for _ in range(max_depth):
-        moved = walk.join(step, "at", "left").select(
-            "concept_id",
-            "at",
-            "seen",
-            F.when(F.col("at_obsolete").isNull(), "unknown")
-            .when(~F.col("at_obsolete"), F.when(F.size("seen") == 1, "active").otherwise("replaced"))
-            .when((F.col("at_n") == 0) & (F.size("seen") == 1), "retired")
-            .when(F.col("at_n") == 0, "unknown")
-            .when(F.col("at_n") > 1, "ambiguous")
-            .when(F.array_contains("seen", F.col("at_next")), "cycle")
-            .alias("outcome"),
-            "at_next",
-        )
-        moved = materialize(moved, "replaced-by")
-        settled = moved.filter(F.col("outcome").isNotNull()).select("concept_id", "at", "outcome")
-        done = settled if done is None else done.unionByName(settled)
-        walk = moved.filter(F.col("outcome").isNull()).select(
-            "concept_id",
-            F.col("at_next").alias("at"),
-            F.concat("seen", F.array("at_next")).alias("seen"),
-            F.lit(None).cast("string").alias("outcome"),
+    state = materialize(
+        concepts.join(targets, "concept_id", "left").select(
+            "concept_id", "obsolete", F.coalesce("n", F.lit(0)).alias("n"), "next"
+        ),
+        "replaced-by",
+    )
+    is_link = F.col("obsolete") & (F.col("n") == 1)
+    links = state.filter(is_link)
+    walk = links.select("concept_id", F.col("next").alias("at"))
+    for _ in range(links.count().bit_length()):
+        ahead = walk.select(F.col("concept_id").alias("at"), F.col("at").alias("further"))
+        walk = materialize(
+            walk.join(ahead, "at", "left").select("concept_id", F.coalesce("further", "at").alias("at")), "replaced-by"
         )
-        if walk.isEmpty():
-            break
-    return done.select(
+    ends = state.select(
+        F.col("concept_id").alias("at"), F.col("obsolete").alias("at_obsolete"), F.col("n").alias("at_n")
+    )
+    reached = state.join(walk, "concept_id", "left").select("concept_id", F.coalesce("at", "concept_id").alias("at"))
+    own = F.col("at") == F.col("concept_id")
+    outcome = (
+        F.when(F.col("at_obsolete").isNull(), "unknown")
+        .when(~F.col("at_obsolete"), F.when(own, "active").otherwise("replaced"))
+        .when(F.col("at_n") == 1, "cycle")
+        .when(F.col("at_n") > 1, "ambiguous")
+        .when(own, "retired")
+        .otherwise("unknown")
+    )
+    return reached.join(ends, "at", "left").withColumn("outcome", outcome).select(
         "concept_id",
         F.when(F.col("outcome").isin("active", "replaced"), F.col("at")).alias("resolved"),
         "outcome",
@@ -165,13 +157,13 @@ def subject_label_index(
     )
 
 
-def phrase_index(terms: DataFrame, *, max_words: int = 8, min_chars: int = 4) -> DataFrame:
-    """``(phrase, words, concepts, first)`` from ``terms(concept_id, text)``."""
+def phrase_index(terms: DataFrame) -> DataFrame:
+    """``(phrase, words, concepts, first)`` from ``terms(concept_id, text)``; texts without a word have no phrase."""
     phrase = normalize.normalize_label(F.col("text"))
     return (
         terms.select("concept_id", phrase.alias("phrase"))
         .withColumn("words", F.size(normalize.tokens(F.col("phrase"))))
-        .filter(F.col("words").between(1, max_words) & (F.length("phrase") >= min_chars))
+        .filter("words > 0")
         .groupBy("phrase", "words")
         .agg(F.count_distinct("concept_id").alias("concepts"), F.min("concept_id").alias("first"))
     )
@@ -201,23 +193,27 @@ def mapping_status(matches: Column) -> Column:
     return F.when(matches == 1, "resolved").when(matches > 1, "ambiguous").otherwise("unresolved")
 
 
-def phrase_matches(texts: DataFrame, index: DataFrame, key: str, *, max_words: int = 8) -> DataFrame:
+def phrase_matches(texts: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """Distinct dictionary phrases in each text, overlaps kept.
 
-    Every run of 1..``max_words`` words becomes a join key, so the work is one hash join and
-    never a text-by-phrase comparison. Only the sizes the dictionary holds need expanding.
+    Every run of as many words as some phrase has becomes a join key, so the work is one hash
+    join and never a text-by-phrase comparison.
     """
     words = texts.select(
         key, normalize.tokens(normalize.normalize_label(F.col("text"))).alias("words")
     )
-    return word_run_matches(words, index, key, max_words=max_words)
+    return word_run_matches(words, index, key)
 
 
-def word_run_matches(texts: DataFrame, index: DataFrame, key: str, *, max_words: int = 8) -> DataFrame:
-    """As :func:`phrase_matches` for texts already split into ``words``."""
-    sizes = sorted(r.words for r in index.select("words").distinct().collect() if r.words <= max_words)
-    runs = F.flatten(F.array(*[normalize.word_ngrams(F.col("words"), n) for n in sizes or [1]]))
-    spans = texts.select(key, F.explode(F.array_distinct(runs)).alias("phrase"))
+def word_run_matches(texts: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """As :func:`phrase_matches` for texts already split into ``words``.
+
+    A row holds the runs of one size at a time; the sizes are read from the dictionary as part of the query.
+    """
+    sizes = index.agg(F.collect_set("words").alias("sizes"))
+    each = texts.select(key, "words", F.explode(sizes.scalar()).alias("size"))
+    runs = normalize.word_ngrams(F.col("words"), F.col("size"))
+    spans = each.select(key, F.explode(F.array_distinct(runs)).alias("phrase"))
     return spans.join(index.select("phrase", "words", "concepts", "first"), "phrase")
 
 
@@ -315,7 +311,7 @@ def with_canonical_id(assertions: DataFrame, *, frequency: str | None = None) ->
         "population": F.array().cast("array<string>"),
     }
     if frequency:
-        names = "category denominator kind lower numerator raw upper".split()
+        names = ("category", "denominator", "kind", "lower", "numerator", "raw", "upper")
         fields["frequency"] = F.struct(*[F.col(f"{frequency}.{n}").alias(n) for n in names])
     qualifiers = F.struct(
         *[fields.get(n, F.lit(None).cast("string")).alias(n) for n in QUALIFIER_FIELDS]

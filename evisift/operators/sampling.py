@@ -36,6 +36,7 @@ def sequential_quota(pools: DataFrame, quotas: list[tuple[str, int]], id_col: st
     head = (
         pools.select("stratum", id_col).distinct()
         .withColumn("_n", F.row_number().over(order))
+        .filter(F.col("_n") <= reach)  # a literal bound, so every task keeps only the head of its strata
         .filter(F.col("_n") <= F.try_element_at(limit, F.col("stratum")))
     )
     head = materialize(head, "quota-head")
@@ -71,6 +72,7 @@ def capped_greedy(
         order = W.partitionBy("topic").orderBy("_h", "id")
         return (
             pool.withColumn("_n", F.row_number().over(order))
+            .filter(F.col("_n") <= per_topic)
             .filter(F.col("_n") <= free)
             .orderBy("_h", "id")
             .limit(size)
@@ -81,10 +83,14 @@ def capped_greedy(
         picked = one_pass(hashed.filter(F.col("domain") == domain), per_domain).withColumn("pass", F.lit(domain))
         picked = materialize(picked, "greedy-pick")
         chosen = picked if chosen is None else chosen.unionByName(picked)
-    rest = total - (chosen.count() if chosen is not None else 0)
     everyone = hashed.select("id", "topic", "_h").distinct()
-    final = one_pass(everyone, max(rest, 0)).withColumn("pass", F.lit("rest"))
-    return final if chosen is None else chosen.unionByName(final)
+    final = one_pass(everyone, total).withColumn("pass", F.lit("rest"))
+    if chosen is None:
+        return final
+    # no more than ``total`` rows are numbered here
+    number = F.row_number().over(W.orderBy(digest(F.col("id")), "id"))
+    room = final.withColumn("_r", number).filter(F.col("_r") <= F.lit(total) - chosen.agg(F.count("*").alias("n")).scalar()).drop("_r")
+    return chosen.unionByName(room)
 
 
 def round_robin(rows: DataFrame, strata: list[str], id_col: str, size: int) -> DataFrame:
@@ -93,6 +99,7 @@ def round_robin(rows: DataFrame, strata: list[str], id_col: str, size: int) -> D
     order = W.partitionBy(*strata).orderBy(digest(F.col(id_col)), F.col(id_col))
     return (
         rows.withColumn("round", F.row_number().over(order))
+        .filter(F.col("round") <= size)
         .withColumn("_key", key)
         .orderBy("round", "_key")
         .limit(size)
@@ -103,25 +110,25 @@ def round_robin(rows: DataFrame, strata: list[str], id_col: str, size: int) -> D
 def control(rows: DataFrame, strata: list[str], id_col: str, rule: str, size: int) -> DataFrame:
     """Round-robin sample with an equal quota per rule, refilled from what is left."""
     rules = rows.select(rule).distinct()
-    n = rules.count()
-    if n == 0:
-        return rows.limit(0)
+    n = rules.agg(F.count("*").alias("n")).scalar()
     index = rules.withColumn("_i", F.row_number().over(W.orderBy(rule)) - 1)
-    quota = F.lit(size // n) + F.when(F.col("_i") < size % n, 1).otherwise(0)
+    quota = F.floor(F.lit(size) / n) + F.when(F.col("_i") < F.lit(size) % n, 1).otherwise(0)
     key = digest(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata]))
     inner = W.partitionBy(rule, *strata).orderBy(digest(F.col(id_col)), F.col(id_col))
     outer = W.partitionBy(rule).orderBy("_round", "_key")
     picked = (
-        rows.join(index, rule)
-        .withColumn("_round", F.row_number().over(inner))
+        rows.withColumn("_round", F.row_number().over(inner))
+        .filter(F.col("_round") <= size)
         .withColumn("_key", key)
         .withColumn("_n", F.row_number().over(outer))
+        .filter(F.col("_n") <= size)
+        .join(index, rule)
         .filter(F.col("_n") <= quota)
         .select(*rows.columns)
     )
     picked = materialize(picked, "control-pick")
-    missing = size - picked.count()
-    if missing <= 0:
-        return picked
     rest = rows.join(picked.select(id_col), id_col, "left_anti")
-    return picked.unionByName(round_robin(rest, strata, id_col, missing).select(*rows.columns))
+    refill = round_robin(rest, strata, id_col, size)
+    order = W.orderBy("round", digest(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata])))
+    room = F.lit(size) - picked.agg(F.count("*").alias("n")).scalar()
+    return picked.unionByName(refill.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= room).select(*rows.columns))

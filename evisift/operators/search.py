@@ -101,13 +101,12 @@ def lexical(prepared: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _prefix_matches(prepared: DataFrame, terms: DataFrame, language: Column | None) -> DataFrame:
-    """Concepts with a term that starts with the query: terms emit their prefixes as join keys."""
+    """Concepts with a term that starts with the query: terms emit prefixes of the queries' lengths as join keys."""
     rows = terms if language is None else terms.filter(F.col("language") == language)
-    prefixes = rows.filter(F.length("normalized") >= 2).select(
-        "concept_id", "language",
-        F.explode(
-            F.transform(F.sequence(F.lit(2), F.length("normalized")), lambda i: F.left("normalized", i))
-        ).alias("q"),
+    lengths = prepared.agg(F.collect_set(F.length("q")).alias("lengths")).scalar()
+    sized = rows.select("concept_id", "language", "normalized", F.explode(lengths).alias("size"))
+    prefixes = sized.filter(F.col("size") <= F.length("normalized")).select(
+        "concept_id", "language", F.left("normalized", F.col("size")).alias("q")
     ).distinct()
     if language is None:
         return prepared.select("query_id", "language", "q").join(prefixes, ["language", "q"]).select(
@@ -195,17 +194,29 @@ def tiered(
     )
 
 
+def _short_runs(word: Column) -> Column:
+    """Every run of one to three characters of a word."""
+    starts = F.sequence(F.lit(1), F.length(word))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(word, i, n)))))
+
+
+def _asked_runs(token: Column) -> Column:
+    """Runs a word must have to contain the token: its runs of three, or the whole of a shorter one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(token) - 2))
+    return F.transform(starts, lambda i: F.substring(token, i, F.lit(3)))
+
+
 def token_contains(
     queries: DataFrame, terms: DataFrame, catalogue: DataFrame, *, limit: int = RESULT_LIMIT
 ) -> DataFrame:
     """The older tiers, where a query token may be any part of a word.
 
-    A token has no space, so it lies inside one word: words emit their substrings and the
-    query joins on its token with the fewest matching terms.
+    A token has no space, so it lies inside one word: words are keyed by their runs of up to three characters
+    and the query joins on the rarest of its own; whole tokens are checked inside the row.
     """
     prepared = (
         queries.withColumn("q", normalize.normalize_search(F.col("text")))
-        .withColumn("q_tokens", F.array_distinct(F.slice(normalize.tokens(F.col("q")), 1, 10)))
+        .withColumn("q_tokens", F.array_distinct(normalize.tokens(F.col("q"))))
         .filter(F.length("q") >= 2)
     )
     words = terms.filter("normalized <> ''").select(
@@ -213,35 +224,21 @@ def token_contains(
         F.explode(F.array_distinct(F.split("normalized", " "))).alias("word"),
     )
     counts = words.groupBy("language", "word").agg(F.count("*").alias("uses"))
-    parts = counts.select(
-        "language", "word", "uses",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length("word")),
-                        lambda i: F.transform(
-                            F.sequence(i, F.length("word")), lambda j: F.substring("word", i, j - i + 1)
-                        ),
-                    )
-                )
-            )
-        ).alias("token"),
-    )
+    keyed = counts.select(F.col("language").alias("target"), "word", "uses", F.explode(_short_runs(F.col("word"))).alias("key"))
+    uses = keyed.groupBy("target", "key").agg(F.sum("uses").alias("uses"))
 
     def contained(side: DataFrame) -> DataFrame:
         """``side(query_id, target, q, q_tokens)``: terms of ``target`` containing every token."""
-        wanted = side.select("query_id", "target", "q", "q_tokens", F.explode("q_tokens").alias("token"))
-        cost = wanted.join(
-            parts.withColumnRenamed("language", "target"), ["target", "token"], "left"
-        ).groupBy("query_id", "target", "q", "q_tokens", "token").agg(
-            F.coalesce(F.sum("uses"), F.lit(0)).alias("uses")
+        asked = F.explode(F.array_distinct(F.flatten(F.transform("q_tokens", _asked_runs)))).alias("key")
+        wanted = side.select("query_id", "target", "q", "q_tokens", asked)
+        rarest = (
+            wanted.join(uses, ["target", "key"], "left")
+            .groupBy("query_id", "target", "q", "q_tokens")
+            .agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "key")).alias("m"))
+            .select("query_id", "target", "q", "q_tokens", F.col("m.key").alias("key"))
         )
-        pivot = cost.groupBy("query_id", "target", "q", "q_tokens").agg(
-            F.min(F.struct("uses", "token")).alias("m")
-        ).select("query_id", "target", "q", "q_tokens", F.col("m.token").alias("token"))
         return (
-            pivot.join(parts.withColumnRenamed("language", "target").drop("uses"), ["target", "token"])
+            rarest.join(keyed.drop("uses"), ["target", "key"])
             .join(words.withColumnRenamed("language", "target"), ["target", "word"])
             .filter(F.forall("q_tokens", lambda t: F.contains(F.col("normalized"), t)))
             .select("query_id", "q", "concept_id", "scope", "normalized")
@@ -367,28 +364,35 @@ def ground_mentions(mentions: DataFrame) -> DataFrame:
     """Exact span of each mention in its narrative.
 
     ``mentions(narrative_id, position, narrative, phrase, status)``. The k-th valid mention of
-    a phrase takes its k-th occurrence, overlapping ones included; mentions without a free
-    occurrence are dropped.
+    a phrase takes its k-th occurrence, overlapping ones included. Other mentions keep a NULL span and
+    say why in ``problem``: length, status or no_occurrence. A narrative is searched once per phrase.
     """
-    valid = mentions.filter(
-        F.length("phrase").between(2, 160) & F.col("status").isin("present", "absent", "unknown")
-    )
-    order = W.partitionBy("narrative_id", "phrase").orderBy("position")
-    nth = valid.withColumn("nth", F.row_number().over(order))
-    start = F.expr(
-        "aggregate(sequence(1, nth), 0, (at, i) -> "
-        "CASE WHEN at < 0 THEN -1 WHEN locate(phrase, narrative, at + 1) = 0 THEN -1 "
-        "ELSE locate(phrase, narrative, at + 1) END)"
-    )
-    return (
-        nth.withColumn("found", start)
-        .filter(F.col("found") > 0)
-        .select(
-            "narrative_id", "position", "phrase", "status",
-            (F.col("found") - 1).alias("start"),
-            (F.col("found") - 1 + F.length("phrase")).alias("end"),
-        )
-    )
+    problem = F.when(~F.col("status").isin("present", "absent", "unknown") | F.col("status").isNull(), "status").when(
+        ~F.coalesce(F.length("phrase").between(2, 160), F.lit(False)), "length"
+    )
+    marked = mentions.withColumn("problem", problem)
+    valid = marked.filter(F.col("problem").isNull())
+    asked = valid.groupBy("narrative_id", "phrase").agg(
+        F.first("narrative").alias("narrative"), F.array_sort(F.collect_list(F.struct("position", "status"))).alias("asked")
+    )
+    next_at = "locate(phrase, narrative, a.at + 1)"
+    starts = F.expr(
+        "aggregate(asked, named_struct('at', 0, 'found', cast(array() AS array<int>)), (a, m) -> CASE WHEN a.at < 0 THEN a "
+        f"WHEN {next_at} = 0 THEN named_struct('at', -1, 'found', a.found) "
+        f"ELSE named_struct('at', {next_at}, 'found', concat(a.found, array({next_at}))) END).found"
+    )
+    placed = asked.select(
+        "narrative_id", "phrase", starts.alias("found"), F.posexplode("asked").alias("i", "m")
+    ).withColumn("at", F.get("found", F.col("i")) - 1)
+    spans = placed.select(
+        "narrative_id", "m.position", "phrase", "m.status", F.col("at").alias("start"), (F.col("at") + F.length("phrase")).alias("end"),
+        F.when(F.col("at").isNull(), "no_occurrence").alias("problem"),
+    )
+    none = F.lit(None).cast("int")
+    rest = marked.filter(F.col("problem").isNotNull()).select(
+        "narrative_id", "position", "phrase", "status", none.alias("start"), none.alias("end"), "problem"
+    )
+    return spans.unionByName(rest)
 
 
 def suggest(options: DataFrame) -> DataFrame:

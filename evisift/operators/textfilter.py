@@ -14,10 +14,10 @@ from evisift.functions import normalize
 from evisift.operators.resolve import word_run_matches
 
 # Term lists of the filter.
-TEMPORAL = "acute chronic recurrent episodic intermittent persistent progressive".split()
-LATERALITY = "right left bilateral unilateral".split()
-GENERIC = "severe mild healthy normal abnormal frequent".split()
-DISEASE_NOUNS = "cancer infection disease disorder syndrome tumor tumour".split()
+TEMPORAL = ["acute", "chronic", "recurrent", "episodic", "intermittent", "persistent", "progressive"]
+LATERALITY = ["right", "left", "bilateral", "unilateral"]
+GENERIC = ["severe", "mild", "healthy", "normal", "abnormal", "frequent"]
+DISEASE_NOUNS = ["cancer", "infection", "disease", "disorder", "syndrome", "tumor", "tumour"]
 
 # Cue patterns over normalised text.
 CUES = {
@@ -55,7 +55,6 @@ BLOCKED_CONTEXT = (
 )
 LEAD_IN_CUES = ("notice", "affect many organs", "may have")
 LIST_STOP_SECTIONS = ("risk", "treat", "prevent", "caus")
-MAX_PHRASE_WORDS = 8
 
 _BLOCK_SCHEMA = "ordinal int, tag string, section string, lead_in string, block string"
 
@@ -167,7 +166,7 @@ def sentences(blocks: DataFrame, keys: list[str]) -> DataFrame:
         & ~lead.rlike(CUES["classification"])
     )
     effective = F.when(
-        symptom_list, F.concat(F.lit("Symptoms list: "), F.left("lead_in", F.lit(120)))
+        symptom_list, F.concat(F.lit("Symptoms list: "), F.col("lead_in"))
     ).otherwise(F.col("section"))
     split = F.split("block", r"(?<=[.!?;])\s+")
     context = F.when(F.col("tag") == "li", F.col("block")).otherwise(F.btrim("sentence"))
@@ -216,8 +215,7 @@ def occurrences(sentence_rows: DataFrame, keys: list[str], index: DataFrame) ->
     """Whole-term occurrences of dictionary phrases, keyed by sentence."""
     rows = sentence_rows.withColumn("_k", F.struct(*keys, "ordinal", "sentence_no"))
     hits = word_run_matches(
-        rows.select("_k", normalize.tokens(F.col("sentence_text")).alias("words")), index, "_k",
-        max_words=MAX_PHRASE_WORDS,
+        rows.select("_k", normalize.tokens(F.col("sentence_text")).alias("words")), index, "_k"
     ).select("_k", "phrase")
     return hits.join(rows, "_k").select(
         *keys, "phrase", "ordinal", "sentence_no", "section", "context", "context_text", "cues", "example",
@@ -294,9 +292,8 @@ def nested_phrases(matches: DataFrame, keys: list[str]) -> DataFrame:
     """
     rows = matches.select(*keys, "phrase").distinct()
     words = F.split("phrase", " ")
-    runs = F.flatten(
-        F.array(*[normalize.word_ngrams(words, n) for n in range(1, MAX_PHRASE_WORDS)])
-    )
+    shorter = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 1))
+    runs = F.filter(F.flatten(F.transform(shorter, lambda n: normalize.word_ngrams(words, n))), lambda run: run != F.col("phrase"))
     inner = (
         rows.filter(F.size(words) > 1)
         .select(*keys, F.col("phrase").alias("outer"), F.explode(F.array_distinct(runs)).alias("phrase"))

@@ -96,13 +96,13 @@ def a4(spark, sf):
     return found.join(subjects, ["domain", "release"])
 
 
-_OPP = """o AS (SELECT finding, count(DISTINCT subject) FILTER (polarity = 'present') AS present,
-    count(DISTINCT subject) FILTER (polarity = 'excluded') AS excluded FROM fx_canonical GROUP BY 1)"""
+_OPP = """o AS (SELECT finding, relation, count(DISTINCT subject) FILTER (polarity = 'present') AS present,
+    count(DISTINCT subject) FILTER (polarity = 'excluded') AS excluded FROM fx_canonical GROUP BY 1, 2)"""
 
 
 @query(
     "a5_opposing",
-    f"WITH {_OPP} SELECT finding, present, excluded, least(present, excluded) AS separation FROM o WHERE present > 0 AND excluded > 0",
+    f"WITH {_OPP} SELECT finding, relation, present, excluded, least(present, excluded) AS separation FROM o WHERE present > 0 AND excluded > 0",
 )
 def a5(spark, sf):
     return audit.opposing_findings(tb.canonical(spark, sf))
@@ -110,20 +110,20 @@ def a5(spark, sf):
 
 @query(
     "a5_strongest",
-    f"""WITH {_OPP} SELECT finding, present, excluded, least(present, excluded) AS separation FROM o
-    WHERE present > 0 AND excluded > 0 ORDER BY separation DESC, present + excluded DESC, finding LIMIT 12""",
+    f"""WITH {_OPP} SELECT finding, relation, present, excluded, least(present, excluded) AS separation FROM o
+    WHERE present > 0 AND excluded > 0 ORDER BY separation DESC, present + excluded DESC, finding, relation LIMIT 12""",
 )
 def a5_top(spark, sf):
     rows = audit.opposing_findings(tb.canonical(spark, sf))
     return audit.top_k(
-        rows, 12, F.col("separation").desc(), (F.col("present") + F.col("excluded")).desc(), F.col("finding")
+        rows, 12, F.col("separation").desc(), (F.col("present") + F.col("excluded")).desc(), F.col("finding"), F.col("relation")
     )
 
 
 @query(
     "a5_subjects_with_discriminant",
     f"""WITH {_OPP} SELECT count(DISTINCT subject) AS subjects FROM fx_canonical
-    WHERE finding IN (SELECT finding FROM o WHERE present > 0 AND excluded > 0)""",
+    WHERE (finding, relation) IN (SELECT (finding, relation) FROM o WHERE present > 0 AND excluded > 0)""",
 )
 def a5_subjects(spark, sf):
     statements = tb.canonical(spark, sf)

@@ -109,13 +109,19 @@ def h6(spark, sf):
 
 @query(
     "h7_family_manifest",
-    """SELECT CAST(NULL AS VARCHAR) AS family, dependency_type, count(*) AS members, true AS summary FROM fx_family GROUP BY 2""",
+    """SELECT family, dependency_type, coalesce(members, 0) AS members FROM fx_family LEFT JOIN (
+      SELECT family, count(DISTINCT (source_id, release)) AS members FROM fx_line GROUP BY 1) USING (family)""",
 )
 def h7(spark, sf):
-    """Family part of the manifest; memberships exceed the limit, so it is a summary."""
+    """Every family with its members."""
     return snapshot.family_manifest(tb.families(spark, sf), resolve.family_members(tb.canonical_bridge(spark, sf)))
 
 
+@query("h7_family_summary", "SELECT dependency_type, count(*) AS families FROM fx_family GROUP BY 1")
+def h7_summary(spark, sf):
+    return snapshot.family_summary(tb.families(spark, sf))
+
+
 @query(
     "h9_rebuild_differences",
     """SELECT subject, relation, finding, polarity, 'pinned' AS side FROM fx_canonical
@@ -249,24 +255,30 @@ def d1(spark, sf):
 
 @query(
     "d2_obsolete_resolution",
-    """WITH RECURSIVE step AS (SELECT p_partkey AS k, p_size > 25 AS obsolete,
-        CASE WHEN p_size > 25 AND p_size <= 45 THEN p_partkey + 1 END AS nxt FROM part),
+    """WITH RECURSIVE chain AS (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt, event_type FROM events),
+      step AS (SELECT 'F:'||p_partkey AS k, p_size > 25 AS obsolete,
+        CASE WHEN p_size > 25 AND p_size <= 45 THEN 'F:'||(p_partkey + 1) END AS nxt FROM part
+        UNION ALL SELECT 'E:'||event_id, nxt IS NOT NULL OR event_type = 'error', 'E:'||nxt FROM chain),
       walk AS (SELECT k, k AS cur, obsolete, nxt, 0 AS hops FROM step
         UNION ALL SELECT w.k, s.k, s.obsolete, s.nxt, hops + 1 FROM walk w JOIN step s ON s.k = w.nxt WHERE w.obsolete AND w.nxt IS NOT NULL)
-    SELECT 'F:'||k AS concept_id, CASE WHEN NOT obsolete THEN 'F:'||cur END AS resolved,
+    SELECT k AS concept_id, CASE WHEN NOT obsolete THEN cur END AS resolved,
       CASE WHEN NOT obsolete AND hops = 0 THEN 'active' WHEN NOT obsolete THEN 'replaced'
         WHEN hops = 0 AND nxt IS NULL THEN 'retired' ELSE 'unknown' END AS outcome
     FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY hops DESC) AS n FROM walk) WHERE n = 1""",
 )
 def d2(spark, sf):
-    """Large parts are obsolete and replaced by the next key; the largest have no replacement."""
+    """Large parts are replaced by the next key, the largest by none; a user's events by the next, a chain of many links."""
     part = tb.table(spark, sf, "part")
-    concepts = part.select(F.concat(F.lit("F:"), "p_partkey").alias("concept_id"), (F.col("p_size") > 25).alias("obsolete"))
-    replacements = part.filter((F.col("p_size") > 25) & (F.col("p_size") <= 45)).select(
-        F.concat(F.lit("F:"), "p_partkey").alias("concept_id"),
-        F.concat(F.lit("F:"), F.col("p_partkey") + 1).alias("replacement"),
+    name = F.concat(F.lit("F:"), "p_partkey")
+    following = F.when(F.col("p_size") <= 45, F.concat(F.lit("F:"), F.col("p_partkey") + 1))
+    parts = part.select(name.alias("concept_id"), (F.col("p_size") > 25).alias("obsolete"), F.when(F.col("p_size") > 25, following).alias("replacement"))
+    later = F.lead("event_id").over(W.partitionBy("user_id").orderBy("event_id"))
+    events = tb.table(spark, sf, "events").withColumn("later", later).select(
+        F.concat(F.lit("E:"), "event_id").alias("concept_id"), (F.col("later").isNotNull() | (F.col("event_type") == "error")).alias("obsolete"),
+        F.concat(F.lit("E:"), "later").alias("replacement"),
     )
-    return resolve.resolve_obsolete(concepts, replacements)
+    rows = parts.unionByName(events)
+    return resolve.resolve_obsolete(rows.select("concept_id", "obsolete"), rows.filter("replacement IS NOT NULL").select("concept_id", "replacement"))
 
 
 @query(
@@ -732,23 +744,25 @@ def c4(spark, sf):
 
 @query(
     "c5_confirmed_mentions",
-    """WITH t AS (SELECT 'V:'||conv_id||':'||turn AS case_id, text, split_part(text, ' ', 1) AS word FROM conversations)
-    SELECT case_id, 'W:'||lower(word) AS concept_id, word AS code FROM t WHERE lower(word) <> 'the'""",
+    """WITH t AS (SELECT 'V:'||conv_id AS case_id, turn, string_split(text, ' ') AS words FROM conversations),
+      w AS (SELECT case_id, turn, i, words[i] AS word FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM t) WHERE words[i] <> ''),
+      o AS (SELECT *, row_number() OVER (PARTITION BY case_id, lower(word) ORDER BY turn, i) AS n FROM w WHERE lower(word) <> 'the')
+    SELECT case_id, 'W:'||lower(word) AS concept_id, word AS code FROM o WHERE n = 1""",
 )
 def c5(spark, sf):
-    """First word of every turn confirmed as a mention; one concept is already observed everywhere."""
+    """Every word of every turn confirmed as a mention; one concept is already observed everywhere."""
     turns = tb.table(spark, sf, "conversations").select(
-        F.concat(F.lit("V:"), "conv_id", F.lit(":"), "turn").alias("case_id"), F.col("text").alias("narrative"),
-        F.split("text", " ")[0].alias("word"),
+        F.concat(F.lit("V:"), "conv_id").alias("case_id"), F.col("turn").cast("long").alias("narrative_id"), F.col("text").alias("narrative"),
     )
-    concept = F.concat(F.lit("W:"), F.lower("word"))
-    confirmed = turns.select(
-        "case_id", F.lit(0).alias("position"), F.lit(0).alias("start"), F.length("word").alias("end"),
-        F.col("word").alias("text"), concept.alias("concept_id"), F.lit("words").alias("system"),
+    words = turns.select("case_id", "narrative_id", F.posexplode(F.split("narrative", " ")).alias("at", "word"), F.split("narrative", " ").alias("all"))
+    before = F.when(F.col("at") == 0, 0).otherwise(F.length(F.array_join(F.slice("all", F.lit(1), F.col("at")), " ")) + 1)
+    confirmed = words.filter("word <> ''").select(
+        "case_id", "narrative_id", F.struct("narrative_id", "at").alias("position"), before.alias("start"), (before + F.length("word")).alias("end"),
+        F.col("word").alias("text"), F.concat(F.lit("W:"), F.lower("word")).alias("concept_id"), F.lit("words").alias("system"),
         F.col("word").alias("code"), F.lit("symptom").alias("kind"), F.lit("present").alias("status"),
     )
     observed = turns.select("case_id", F.lit("W:the").alias("concept_id"))
-    narratives = turns.select("case_id", "narrative", F.lit("en").alias("language"))
+    narratives = turns.select("case_id", "narrative_id", "narrative", F.lit("en").alias("language"))
     return cases.confirm_mentions(observed, confirmed, narratives)["observations"].select("case_id", "concept_id", "code")
 
 

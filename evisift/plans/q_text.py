@@ -16,7 +16,7 @@ oracle.VIEWS["fx_doc_runs"] = """
   FROM fx_doc_words, unnest(range(1, greatest(len(words) - 2, 1))) AS t(i)"""
 oracle.VIEWS["fx_doc_hit"] = """
   SELECT doc_id, lang, phrase, count(DISTINCT concept_id) AS concepts, min(concept_id) AS first
-  FROM fx_doc_runs JOIN fx_phrase USING (phrase) WHERE length(phrase) >= 4 GROUP BY 1, 2, 3"""
+  FROM fx_doc_runs JOIN fx_phrase USING (phrase) GROUP BY 1, 2, 3"""
 oracle.VIEWS["fx_doc_title"] = """
   SELECT doc_id, lang, trim(regexp_replace(strip_accents(lower(replace(split_part(text, chr(10), 1), 'ß', 'ss'))),
     '[^a-z0-9]+', ' ', 'g')) AS label FROM documents"""
@@ -51,7 +51,7 @@ def n3(spark, sf):
 @query(
     "d7_phrase_index",
     """SELECT phrase, 4 AS words, count(DISTINCT concept_id) AS concepts, min(concept_id) AS first
-    FROM fx_phrase WHERE length(phrase) >= 4 GROUP BY 1""",
+    FROM fx_phrase GROUP BY 1""",
 )
 def d7(spark, sf):
     return dictionary(spark, sf)

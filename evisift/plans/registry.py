@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evisift.plans.oracle import compose
-from evisift.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,12 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        def run(spark: SparkSession, sf: str) -> DataFrame:
-            return fn(tune(spark), sf)
-
-        run.__name__ = name
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = compose(sql)
         return fn

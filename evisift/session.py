@@ -19,6 +19,11 @@ def build_session(app: str = "evisift", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # adaptive execution turns a sort-merge join into a hash join once it has seen that
+        # every shuffled partition of one side is small
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "48m")
+        # joins here expand their input many times over, so small shuffles keep their parallelism
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     if master:
         builder = builder.master(master)
@@ -52,20 +57,3 @@ def materialize(df: DataFrame, label: str, *, partition_by: str | None = None) -
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-# Runtime SQL settings the joins are written for; only applied where the user left the default.
-_TUNING = {
-    # adaptive execution turns a sort-merge join into a hash join once it has seen that
-    # every shuffled partition of one side is small
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": ("0b", "48m"),
-    # joins here expand their input many times over, so small shuffles keep their parallelism
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": ("1MB", "64k"),
-}
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    for key, (default, value) in _TUNING.items():
-        if spark.conf.get(key, default).lower() in (default.lower(), default.rstrip("b")):
-            spark.conf.set(key, value)
-    return spark

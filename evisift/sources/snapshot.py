@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from evisift.functions import ids
 
 ROW_GROUP_BYTES = 64 * 1024 * 1024
-MEMBERSHIP_LIMIT = 5000
 # Redistribution terms from least to most restrictive.
 REDISTRIBUTION = ("allowed_with_attribution", "restricted", "prohibited")
 HASH_PREFIXES = (6, 3, 0)
@@ -82,16 +81,14 @@ def most_restrictive(sources: DataFrame) -> DataFrame:
 
 
 def family_manifest(families: DataFrame, members: DataFrame) -> DataFrame:
-    """Families in full while memberships are few, otherwise counts per dependency type."""
-    total = members.count()
-    if total <= MEMBERSHIP_LIMIT:
-        sizes = members.groupBy("family").agg(F.count("*").alias("members"))
-        return families.join(sizes, "family", "left").select(
-            "family", "dependency_type", F.coalesce("members", F.lit(0)).alias("members"), F.lit(False).alias("summary")
-        )
-    return families.groupBy("dependency_type").agg(F.count("*").alias("members")).select(
-        F.lit(None).cast("string").alias("family"), "dependency_type", "members", F.lit(True).alias("summary")
-    )
+    """Every family with its dependency type and number of members."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("members"))
+    return families.join(sizes, "family", "left").select("family", "dependency_type", F.coalesce("members", F.lit(0)).alias("members"))
+
+
+def family_summary(families: DataFrame) -> DataFrame:
+    """Number of families per dependency type."""
+    return families.groupBy("dependency_type").agg(F.count("*").alias("families"))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

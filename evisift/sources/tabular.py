@@ -13,15 +13,15 @@ from evisift.sources.archives import member_lines
 EDGE_PREDICATE = "biolink:has_phenotype"
 EDGE_CATEGORY = "biolink:DiseaseToPhenotypicFeatureAssociation"
 EDGE_REQUIRED = (
-    "id predicate category subject object primary_knowledge_source aggregator_knowledge_source file_source"
-).split()
+    "id", "predicate", "category", "subject", "object", "primary_knowledge_source", "aggregator_knowledge_source", "file_source",
+)
 # RF2 type ids of fully specified names and is-a relationships.
 RF2_FSN = "900000000000003001"
 RF2_IS_A = "116680003"
 
 
 def _blank_to_null(column):
-    return F.nullif(F.btrim(column), F.lit(""))
+    return F.nullif(frequency.strip_blanks(column), F.lit(""))
 
 
 def scan_graph_edges(

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from evisift.session import build_session, tune
+from evisift.session import build_session
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +15,7 @@ def spark():
         **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"},
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield tune(session)
+    yield session
     session.stop()
 
 
