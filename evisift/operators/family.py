@@ -162,17 +162,13 @@ def contribution_id(subject: Column, canonical_id: Column, family: Column) -> Co
 
 
 def family_means(observations: DataFrame, scorable_rows: DataFrame) -> DataFrame:
-    """Mean vote per ``(case_id, subject, family)`` and how many votes it holds.
-
-    Rows are shuffled once by (case, subject); the per-candidate aggregation above this one
-    reuses that layout.
-    """
+    """Mean vote per ``(case_id, subject, family)`` and how many votes it holds; sums are combined before the shuffle."""
     obs = assessed(observations).select("case_id", "finding", "relation", "status")
     vote = F.when((F.col("polarity") == "present") == (F.col("status") == "present"), 1.0).otherwise(-1.0)
     votes = scorable_rows.join(obs, ["finding", "relation"]).select(
         "case_id", "subject", "family", vote.alias("value")
     )
-    return votes.repartition("case_id", "subject").groupBy("case_id", "subject", "family").agg(
+    return votes.groupBy("case_id", "subject", "family").agg(
         F.avg("value").alias("mean"), F.count("value").alias("votes")
     )
 
@@ -384,16 +380,16 @@ def scope_metrics(scoped: DataFrame, bridge: DataFrame, universe: DataFrame, rel
 def summary(ranked: DataFrame, contribution_rows: DataFrame, *, limit: int = RESULT_LIMIT) -> DataFrame:
     """Short form of a result: the first two favorable statements and the number of open ones."""
     rows = ranked.filter(F.col("rank") <= limit).select("case_id", "subject", "rank", "score")
-    first = contribution_rows.filter(F.col("value") > 0).select(
-        "case_id", "subject", F.struct("finding", "family").alias("c")
-    )
-    grouped = first.groupBy("case_id", "subject").agg(F.array_sort(F.collect_set("c")).alias("favorable"))
+    chosen = contribution_rows.filter(F.col("value") > 0).select("case_id", "subject", "finding", "family").distinct()
+    order = W.partitionBy("case_id", "subject").orderBy("finding", "family")
+    first = chosen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= 2)
+    grouped = first.groupBy("case_id", "subject").agg(F.array_sort(F.collect_list(F.struct("finding", "family"))).alias("favorable"))
     open_rows = contribution_rows.groupBy("case_id", "subject").agg(
         F.count_if(F.col("value").isNull()).alias("unknown_count")
     )
     return (
         rows.join(grouped, ["case_id", "subject"], "left")
         .join(open_rows, ["case_id", "subject"], "left")
-        .withColumn("first_two", F.slice(F.coalesce("favorable", F.array()), 1, 2))
+        .withColumn("first_two", F.coalesce("favorable", F.array()))
         .drop("favorable")
     )

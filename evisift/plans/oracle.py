@@ -267,7 +267,7 @@ VIEWS["fx_statement_vote"] = """
       CASE WHEN (f.polarity = 'present') = (o.status = 'present') THEN 1.0 ELSE -1.0 END END AS value
   FROM fx_family_ranked r JOIN fx_statement_family f USING (subject)
     LEFT JOIN fx_obs o ON o.case_id = r.case_id AND o.finding = f.finding
-  WHERE r.rank <= 5 AND f.family IN (SELECT family FROM fx_family WHERE dependency_type <> 'unknown')"""
+  WHERE r.rank <= 20 AND f.family IN (SELECT family FROM fx_family WHERE dependency_type <> 'unknown')"""
 
 
 def compose(sql: str) -> str:

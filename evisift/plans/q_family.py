@@ -44,7 +44,7 @@ oracle.VIEWS["fx_gain"] = """
 oracle.VIEWS["fx_plan"] = """
     WITH head AS (SELECT case_id, subject FROM fx_family_ranked WHERE rank <= 5),
       size AS (SELECT case_id, count(*) AS leaders FROM head GROUP BY 1),
-      m AS (SELECT case_id, finding, count(DISTINCT subject) AS mentions FROM fx_statement_vote
+      m AS (SELECT case_id, finding, count(DISTINCT subject) AS mentions FROM fx_statement_vote JOIN head USING (case_id, subject)
         WHERE reason = 'finding_not_observed' AND polarity = 'present' GROUP BY 1, 2),
       o AS (SELECT case_id, finding, mentions, leaders, row_number() OVER (PARTITION BY case_id
           ORDER BY least(mentions, leaders - mentions) DESC, finding) AS position
@@ -75,12 +75,11 @@ def scorable(spark, sf):
 
 
 def scores(spark, sf):
-    return tb._memo(
-        spark, sf, "family_scores",
-        lambda: family.score_candidates(
-            family.family_means(tb.observations(spark, sf), scorable(spark, sf)), tb.FAMILY_WEIGHTS
-        ),
-    )
+    return tb._memo(spark, sf, "family_scores", lambda: new_scores(spark, sf))
+
+
+def new_scores(spark, sf):
+    return family.score_candidates(family.family_means(tb.observations(spark, sf), scorable(spark, sf)), tb.FAMILY_WEIGHTS)
 
 
 def top(spark, sf):
@@ -88,11 +87,11 @@ def top(spark, sf):
 
 
 def leader_rows(spark, sf):
-    """Every contribution of the five leading candidates of each case."""
+    """Every contribution of all returned candidates of each case."""
     return tb._memo(
         spark, sf, "leader_rows",
         lambda: family.contributions(
-            tb.observations(spark, sf), scorable(spark, sf), top(spark, sf).filter(F.col("rank") <= 5)
+            tb.observations(spark, sf), scorable(spark, sf), top(spark, sf)
         ),
     )
 
@@ -124,13 +123,12 @@ def general_match(spark, sf):
 
 
 def variation(spark, sf):
-    return tb._memo(
-        spark, sf, "variation",
-        lambda: questions.documentation_variation(
-            general_match(spark, sf),
-            resolve.canonical_assertions(general_scope(spark, sf)),
-            tb.observations(spark, sf),
-        ),
+    return tb._memo(spark, sf, "variation", lambda: new_variation(spark, sf))
+
+
+def new_variation(spark, sf):
+    return questions.documentation_variation(
+        general_match(spark, sf), resolve.canonical_assertions(general_scope(spark, sf)), tb.observations(spark, sf)
     )
 
 
@@ -221,7 +219,7 @@ def m18(spark, sf):
     "SELECT case_id, subject, score, evaluated, rank FROM fx_family_ranked WHERE rank <= 20",
 )
 def m19(spark, sf):
-    return top(spark, sf)
+    return family.rank(new_scores(spark, sf))
 
 
 @query(
@@ -441,11 +439,11 @@ def m5(spark, sf):
       o AS (SELECT case_id, subject, count(*) FILTER (value IS NULL) AS unknown_count FROM fx_statement_vote GROUP BY 1, 2)
     SELECT r.case_id, r.subject, r.rank, r.score, coalesce(first_two, '') AS first_two, unknown_count
     FROM fx_family_ranked r LEFT JOIN two USING (case_id, subject) LEFT JOIN o USING (case_id, subject)
-    WHERE r.rank <= 5""",
+    WHERE r.rank <= 20""",
 )
 def m28(spark, sf):
     """Short result rows of the leading candidates."""
-    rows = family.summary(top(spark, sf), leader_rows(spark, sf), limit=5)
+    rows = family.summary(top(spark, sf), leader_rows(spark, sf))
     text = F.array_join(F.transform("first_two", lambda c: F.concat_ws("@", c["finding"], c["family"])), ",")
     return rows.withColumn("first_two", text)
 
@@ -492,18 +490,19 @@ def m30(spark, sf):
 )
 def q1(spark, sf):
     """Most informative open finding of every case."""
-    return gains(spark, sf)
+    return new_gains(spark, sf)
 
 
-def gains(spark, sf):
-    return tb._memo(
-        spark, sf, "gains",
-        lambda: questions.next_by_information_gain(
-            semantic_ranked(spark, sf), tb.observations(spark, sf), index(spark, sf), tb.ROOT
-        ),
+def new_gains(spark, sf):
+    return questions.next_by_information_gain(
+        semantic_ranked(spark, sf), tb.observations(spark, sf), index(spark, sf), tb.ROOT
     )
 
 
+def gains(spark, sf):
+    return tb._memo(spark, sf, "gains", lambda: new_gains(spark, sf))
+
+
 @query(
     "q2_question_status",
     """WITH c AS (SELECT case_id, count(*) FILTER (status = 'unknown') AS answered FROM fx_obs GROUP BY 1),
@@ -578,7 +577,7 @@ def q4(spark, sf):
     "SELECT case_id, finding, documented, matched, variation FROM fx_variation WHERE step = 1",
 )
 def q5(spark, sf):
-    return questions.ordered_by_variation(variation(spark, sf)).drop("step")
+    return questions.ordered_by_variation(new_variation(spark, sf)).drop("step")
 
 
 @query(
@@ -628,9 +627,10 @@ def q8(spark, sf):
 
 def plan(spark, sf):
     def build():
+        five = top(spark, sf).filter(F.col("rank") <= 5).select("case_id", "subject")
         rows = leader_rows(spark, sf).filter(
             (F.col("reason") == "finding_not_observed") & (F.col("polarity") == "present")
-        )
+        ).join(five, ["case_id", "subject"], "left_semi")
         return questions.verification_plan(top(spark, sf), rows, tb.observations(spark, sf))
 
     return tb._memo(spark, sf, "verification_plan", build)

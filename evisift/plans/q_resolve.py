@@ -637,15 +637,23 @@ def m2(spark, sf):
 
 def projected(spark, sf):
     active = family.active_observations(superseding(spark, sf))
-    answers = active.filter(F.lit(False)).select("case_id", F.lit(0).alias("position"), "system", "code", "status")
+    answers = active.filter((F.col("kind") == "phenotype") & (F.col("status") == "absent")).select(
+        "case_id", F.lit(0).alias("position"), "system", "code", F.lit("unknown").alias("status")
+    )
     return active, cases.project_for_semantic(active, answers)
 
 
-@query("m3_semantic_projection", "SELECT case_id, code, status FROM fx_active WHERE kind = 'phenotype'")
+@query("m3_semantic_projection", "SELECT case_id, code, status FROM fx_active WHERE kind = 'phenotype' AND status <> 'absent'")
 def m3(spark, sf):
+    """Observations that no answer replaces; every absent one is answered."""
     return projected(spark, sf)[1]["observations"]
 
 
+@query("m3_answers", "SELECT case_id, code, 'unknown' AS answer FROM fx_active WHERE kind = 'phenotype' AND status = 'absent'")
+def m3_answers(spark, sf):
+    return projected(spark, sf)[1]["answers"]
+
+
 @query(
     "m6_semantic_coverage",
     """SELECT case_id, count(*) AS confirmed, count(*) FILTER (kind = 'phenotype') AS supported,

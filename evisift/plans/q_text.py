@@ -202,13 +202,14 @@ def page_candidates(spark, sf):
     )
 
 
-def decisions(spark, sf):
-    def build():
-        candidates = page_candidates(spark, sf)
-        nested = textfilter.nested_phrases(candidates, ["page_id"])
-        return textfilter.classify(candidates, flagged(spark, sf), nested, ["page_id"])
+def new_decisions(spark, sf):
+    candidates = page_candidates(spark, sf)
+    nested = textfilter.nested_phrases(candidates, ["page_id"])
+    return textfilter.classify(candidates, flagged(spark, sf), nested, ["page_id"])
 
-    return tb._memo(spark, sf, "decisions", build)
+
+def decisions(spark, sf):
+    return tb._memo(spark, sf, "decisions", lambda: new_decisions(spark, sf))
 
 
 @query("x1_visible_blocks")
@@ -279,7 +280,7 @@ def x6(spark, sf):
 
 @query("x7_decisions")
 def x7(spark, sf):
-    return decisions(spark, sf).withColumn("signals", F.array_join("signals", ","))
+    return new_decisions(spark, sf).withColumn("signals", F.array_join("signals", ","))
 
 
 @query("x8_coverage_change")
