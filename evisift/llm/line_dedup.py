@@ -76,7 +76,8 @@ def drop_repeated_lines(
         .groupBy(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).agg(F.collect_set("pos").alias("gone"))
     )
     gone = materialize(gone, "gone_chunks")
-    joined = source.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
+    # Without the hint small tables are joined another way than large ones, and only the latter split hot keys.
+    joined = source.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
 
     def lines_of(chunks: Column) -> Column:
         return F.aggregate(chunks, F.lit(0).cast("long"), lambda total, c: total + c["lines"])
