@@ -2,7 +2,7 @@
 
 Light sets (few shingles) enumerate their subsets of the fixed size that a partner of each possible size must
 share with them. Heavy sets scan inverted lists of single shingles: two sets that link share one of the first
-``n - 85 % n + 1`` shingles of each, in any order common to all sets. The order puts frequent shingles last, so
+``n - s n + 1`` shingles of each (s: the similarity), in any order common to all sets. The order puts frequent shingles last, so
 widespread passages and edited copies of one text hardly open lists. A set is light up to the size where
 enumeration would emit more keys than its lists cost.
 
@@ -31,8 +31,8 @@ from evisift.llm import arrays
 from evisift.llm.components import min_labels
 from evisift.session import materialize
 
-SHINGLE = 4
-SIMILARITY = 85  # per cent
+SHINGLE = 5
+SIMILARITY = 80  # per cent
 # Keys a set may enumerate for each list it would enter: a list row is shuffled, sorted, fetched and verified.
 SCAN_COST = 8
 # Shingles counted as frequent: those found so often, and so many at most (16 MB sent to each task); the most frequent win.
@@ -358,12 +358,14 @@ def similar_documents(
     )
 
 
-def drop_similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_similar(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY
+) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their component: those whose id is its smallest.
 
     Rows without an id stay, as do all rows of an id that stands for a component with one of them.
     """
-    found = similar_documents(docs, key=key, text=text)
+    found = similar_documents(docs, key=key, text=text, shingle=shingle, similarity=similarity)
     rest = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("drop")).filter("drop")
     rest = rest.select(F.col("doc_id").alias("_similar_id"))
     return docs.join(rest, docs[key].cast("long") == rest["_similar_id"], "left_anti")

@@ -87,7 +87,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_i
 
 @query("op1_ngram_jaccard_join", OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), shingle=4, similarity=85)
 
 
 @query("op7_quality_classifier")

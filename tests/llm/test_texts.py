@@ -26,12 +26,12 @@ def ids_of(library, text):
 # n-gram Jaccard join
 
 
-def components(rows):
+def components(rows, shingle=4, similarity=85):
     sets = []
     for _, text in rows:
         lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
         w = re.findall(r"[^\x20\x09-\x0D]+", lower)
-        sets.append({tuple(w[i : i + 4]) for i in range(max(len(w) - 3, 1))} if w else set())
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(len(w) - shingle + 1, 1))} if w else set())
     head = list(range(len(rows)))
 
     def find(i):
@@ -42,7 +42,7 @@ def components(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= similarity * len(sets[i] | sets[j]):
                 head[find(i)] = find(j)
     least = {}
     for i, (doc, _) in enumerate(rows):
@@ -52,16 +52,17 @@ def components(rows):
 
 
 @pytest.mark.parametrize("rows", [odd_rows(), edited_rows(1), edited_rows(2, 6, 90), []])
-def test_jaccard_components_equal_all_pairs(spark, rows):
-    found = jaccard.similar_documents(documents(spark, rows))
-    assert Counter(map(tuple, found.collect())) == components(rows)
+@pytest.mark.parametrize(("shingle", "similarity"), [(4, 85), (5, 80)])
+def test_jaccard_components_equal_all_pairs(spark, rows, shingle, similarity):
+    found = jaccard.similar_documents(documents(spark, rows), shingle=shingle, similarity=similarity)
+    assert Counter(map(tuple, found.collect())) == components(rows, shingle, similarity)
 
 
 def test_jaccard_without_short_lists(spark, monkeypatch):
     """All lists resolved by pivots."""
     monkeypatch.setattr(jaccard, "SHORT", 2)
     rows = edited_rows(3, 6, 60)
-    assert Counter(map(tuple, jaccard.similar_documents(documents(spark, rows)).collect())) == components(rows)
+    assert Counter(map(tuple, jaccard.similar_documents(documents(spark, rows)).collect())) == components(rows, 5, 80)
 
 
 def test_light_sets_enumerate_and_heavy_sets_do_not():
@@ -77,7 +78,7 @@ def test_similar_rows_keep_one_of_each_component(spark):
     docs = documents(spark, rows)
     kept = jaccard.drop_similar(docs)
     assert kept.columns == docs.columns
-    stand = {(i, c) for i, _, c in components(rows)}
+    stand = {(i, c) for i, _, c in components(rows, 5, 80)}
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in stand if i == c or i is None}
 
 
