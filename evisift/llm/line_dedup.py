@@ -1,8 +1,10 @@
 """Repeated passages by content-defined chunks of lines, in DataFrame functions.
 
-A rolling hash over the hashes of two neighbouring lines decides where a chunk ends, so a passage is cut alike wherever
-it stands and a shift of lines moves no boundary but those at its edge. Long lines are chunks of their own. Chunks of
-two lines or more and long lines are compared over the whole table, byte by byte; all but the first occurrence go.
+A line is what ends with a line break or a sentence mark, as passages also stand inside longer lines. A rolling hash
+over the hashes of two neighbouring lines decides where a chunk ends, so a passage is cut alike wherever it
+stands, and what stands before it moves no boundary but those at its edge. Chunks of several lines, and single long
+lines, are compared over the whole table, byte by byte without blanks behind them; all but the first occurrence go.
+The first and last lines of a passage stay where they share a chunk with their surroundings.
 """
 
 from __future__ import annotations
@@ -13,31 +15,43 @@ from pyspark.sql import functions as F
 from evisift.llm.exact_dedup import bound
 from evisift.session import materialize
 
-# One chunk boundary in so many lines on average, characters of a long line, and the multiplier of the rolling hash.
-CHUNK_LINES, LONG_CHARS, ROLL = 3, 200, 31
+# A line with its end marks and the blanks behind them; together the lines are the text.
+LINE = r"[^\n.!?]*[\n.!?]+[ \n]*|[^\n.!?]+"
+BEHIND = r"[ \n]+\z"
+# One hit of the rolling hash in so many lines on average, and the multiplier of the rolling hash.
+CHUNK_LINES, ROLL = 3, 31
+# Characters from which a chunk of several lines may be removed, and from which a line is a chunk of its own and may be.
+LEAST_CHARS, LONG_CHARS = 60, 200
 
 
 def _line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
+    """A number from the first three digits of the line's digest."""
+    digest = F.md5(F.regexp_replace(line, BEHIND, "").cast("binary"))
+    return F.ascii(digest) * ROLL * ROLL + F.ascii(F.substring(digest, 2, 1)) * ROLL + F.ascii(F.substring(digest, 3, 1))
 
 
-def line_chunks(text: Column, chunk_lines: int, long_chars: int) -> Column:
+def line_chunks(text: Column, chunk_lines: int) -> Column:
     """Chunks of a text in order: their text, number of lines, and whether they may be removed."""
 
     def chunk(lines: Column) -> Column:
-        def cut(hashes: Column) -> Column:
+        def rolls(hashes: Column) -> Column:
+            return F.transform(hashes, lambda h, i: (F.coalesce(F.get(hashes, i - 1), F.lit(0)) * ROLL + h) % chunk_lines == 0)
+
+        def cut(hits: Column) -> Column:
             def ends(line: Column, i: Column) -> Column:
-                roll = F.coalesce(F.get(hashes, i - 1), F.lit(0)) * ROLL + F.get(hashes, i)
-                near = (F.length(line) >= long_chars) | (F.length(F.coalesce(F.get(lines, i + 1), F.lit(""))) >= long_chars)
-                return F.when((i == F.size(lines) - 1) | near | (roll % chunk_lines == 0), i + 1)
+                # Of neighbouring hits only the first ends a chunk, so chunks have two lines or more.
+                hit = F.get(hits, i) & ~F.coalesce(F.get(hits, i - 1), F.lit(False))
+                near = (F.length(line) >= LONG_CHARS) | (F.length(F.coalesce(F.get(lines, i + 1), F.lit(""))) >= LONG_CHARS)
+                return F.when((i == F.size(lines) - 1) | near | hit, i + 1)
 
             return F.filter(F.transform(lines, ends), lambda end: end.isNotNull())
 
         def piece(start: Column, end: Column) -> Column:
             return bound(
-                F.array_join(F.slice(lines, start + 1, end - start), "\n"),
+                F.array_join(F.slice(lines, start + 1, end - start), ""),
                 lambda body: F.struct(
-                    body.alias("body"), (end - start).alias("lines"), ((end - start > 1) | (F.length(body) >= long_chars)).alias("may_go")
+                    body.alias("body"), (end - start).alias("lines"),
+                    (F.length(body) >= F.when(end - start > 1, LEAST_CHARS).otherwise(LONG_CHARS)).alias("may_go"),
                 ),
             )
 
@@ -46,25 +60,26 @@ def line_chunks(text: Column, chunk_lines: int, long_chars: int) -> Column:
                 ends, lambda end, j: bound(F.when(j == 0, F.lit(0)).otherwise(F.get(ends, j - 1)), lambda start: piece(start, end))
             )
 
-        return bound(bound(F.transform(lines, _line_hash), cut), pieces)
+        return bound(bound(bound(F.transform(lines, _line_hash), rolls), cut), pieces)
 
-    return bound(F.split(F.coalesce(text, F.lit("")), "\n"), chunk)
+    return bound(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), chunk)
 
 
 def drop_repeated_lines(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", chunk_lines: int = CHUNK_LINES, long_chars: int = LONG_CHARS
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", chunk_lines: int = CHUNK_LINES
 ) -> DataFrame:
     """Every row's text without chunks that occur earlier, by smallest id and then by place in the text.
 
-    Columns: ``doc_id``, ``n_lines``, ``removed_lines``, ``text``. Null text counts as empty and has one empty line. Rows
+    Columns: ``doc_id``, ``n_lines``, ``removed_lines``, ``text``. Null text counts as empty and has no line. Rows
     that repeat id and text are treated alike; a null id comes before all others. Should a hash stand for two
     chunks, neither is removed.
     """
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
     source = source.withColumn("body", F.coalesce("body", F.lit(""))).withColumn("mark", F.xxhash64("body"))
-    chunked = line_chunks(F.col("body"), chunk_lines, long_chars)
+    chunked = line_chunks(F.col("body"), chunk_lines)
     pieces = source.select("doc_id", "mark", F.posexplode(chunked).alias("pos", "chunk")).filter("chunk.may_go")
-    pieces = pieces.select("doc_id", "mark", "pos", F.xxhash64("chunk.body").alias("hash"), F.col("chunk.body").alias("chunk"))
+    pieces = pieces.select("doc_id", "mark", "pos", F.regexp_replace("chunk.body", BEHIND, "").alias("chunk"))
+    pieces = pieces.withColumn("hash", F.xxhash64("chunk"))
     each = pieces.groupBy("hash", "chunk").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     repeated = (
         each.groupBy("hash").agg(F.count(F.lit(1)).alias("chunks"), F.min("first").alias("first"), F.sum("n").alias("n")).filter("chunks = 1 AND n > 1")
@@ -85,11 +100,15 @@ def drop_repeated_lines(
     def result(chunks: Column) -> Column:
         kept = F.filter(chunks, lambda c, i: ~F.array_contains("gone", i))
         return bound(
-            F.when(F.col("gone").isNull(), chunks).otherwise(kept),
+            kept,
             lambda left: F.struct(
                 lines_of(chunks).alias("n_lines"), (lines_of(chunks) - lines_of(left)).alias("removed_lines"),
-                F.array_join(F.transform(left, lambda c: c["body"]), "\n").alias("text"),
+                F.array_join(F.transform(left, lambda c: c["body"]), "").alias("text"),
             ),
         )
 
-    return joined.select("doc_id", bound(chunked, result).alias("r")).select("doc_id", "r.n_lines", "r.removed_lines", "r.text")
+    whole = F.struct(
+        F.size(F.regexp_extract_all("body", F.lit(LINE), F.lit(0))).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("removed_lines"), F.col("body").alias("text")
+    )
+    changed = joined.select("doc_id", F.when(F.col("gone").isNull(), whole).otherwise(bound(chunked, result)).alias("r"))
+    return changed.select("doc_id", "r.n_lines", "r.removed_lines", "r.text")

@@ -231,34 +231,57 @@ def test_copies_drop_but_first_rows_stay(spark):
 def lines_left(rows):
     texts = []
     for i, t in rows:
-        lines, chunks, start = (t or "").split("\n"), [], 0
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        lines, chunks, start = re.findall(r"[^\n.!?]*[\n.!?]+[ \n]*|[^\n.!?]+", t or ""), [], 0
+        digests = [hashlib.md5(re.sub(r"[ \n]+\Z", "", x).encode()).hexdigest() for x in lines]
+        h = [ord(d[0]) * 961 + ord(d[1]) * 31 + ord(d[2]) for d in digests]
+        hit = [((h[k - 1] if k else 0) * 31 + h[k]) % 3 == 0 for k in range(len(lines))]
         for k in range(len(lines)):
             near = len(lines[k]) >= 200 or (k + 1 < len(lines) and len(lines[k + 1]) >= 200)
-            if k == len(lines) - 1 or near or ((h[k - 1] if k else 0) * 31 + h[k]) % 3 == 0:
+            if k == len(lines) - 1 or near or (hit[k] and not (k and hit[k - 1])):
                 chunks.append(lines[start : k + 1])
                 start = k + 1
         texts.append((i, chunks))
+
+    def core(chunk):
+        return re.sub(r"[ \n]+\Z", "", "".join(chunk))
+
+    def may(chunk):
+        return len("".join(chunk)) >= (60 if len(chunk) > 1 else 200)
+
     first = {}
     for i, chunks in texts:
         for pos, c in enumerate(chunks):
             at = (i if i is not None else -1, pos)
-            first["\n".join(c)] = min(first.get("\n".join(c), at), at)
+            if may(c):
+                first[core(c)] = min(first.get(core(c), at), at)
     out = Counter()
     for i, chunks in texts:
-        may = [len(c) > 1 or len(c[0]) >= 200 for c in chunks]
-        left = [c for pos, c in enumerate(chunks) if not may[pos] or first["\n".join(c)] == (i if i is not None else -1, pos)]
+        left = [c for pos, c in enumerate(chunks) if not may(c) or first[core(c)] == (i if i is not None else -1, pos)]
         n, rest = sum(map(len, chunks)), sum(map(len, left))
-        out[i, n, n - rest, "\n".join("\n".join(c) for c in left)] += 1
+        out[i, n, n - rest, "".join("".join(c) for c in left)] += 1
     return out
 
 
+def passage(seed, sentences=14):
+    return " ".join(f"Sentence {seed} number {k} has a few words that belong to it." for k in range(sentences))
+
+
 def test_line_chunks_equal_plain_version(spark):
     shared = "\n".join(f"{SENTENCE} {i}" for i in range(6))
-    rows = [*odd_rows(), (40, f"own start\n{shared}\nown end"), (41, f"other\nlines\n{shared}"), (42, shared + "\n" + shared), (43, "x" * 250 + "\nshort"), (44, "y\n" + "x" * 250)]
+    rows = [*odd_rows(), (40, f"own start\n{shared}\nown end"), (41, f"other\nlines\n{shared}"), (42, shared + "\n" + shared), (43, "x" * 250 + "\nshort"),
+            (44, "y\n" + "x" * 250), (45, f"some words before {passage(1)} and after it"), (46, f"Quite other words. {passage(1)}"), (47, "...\n\n!! ?")]
     assert Counter(map(tuple, line_dedup.drop_repeated_lines(documents(spark, rows)).collect())) == lines_left(rows)
 
 
+def test_passages_inside_lines_go_and_clean_texts_stay(spark):
+    rows = [(i, f"Own words of text {i} come first and {i * 7} ones more {passage(3)} then {i} others follow. Bye.") for i in range(5)]
+    rows += [(100 + i, f"A common line.\nText {i} is clean. " + passage(50 + i)) for i in range(5)]
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(documents(spark, rows)).collect()}
+    for i in range(1, 5):
+        assert len(got[i]["text"]) < 0.7 * len(rows[i][1]) and got[i]["text"].startswith(f"Own words of text {i} ")
+    assert all(got[i]["text"] == t and got[i]["removed_lines"] == 0 for i, t in rows if i == 0 or i >= 100)
+
+
 # classifiers
 
 
