@@ -98,11 +98,8 @@ def h4(spark, sf):
 def h6(spark, sf):
     """Logical hashes of two canonical tables."""
     parts = [
-        snapshot.table_hash(df, key).select(F.lit(name).alias("table"), "rows", "logical_sha256")
-        for name, df, key in (
-            ("canonical_assertion", tb.canonical(spark, sf), "canonical_id"),
-            ("designation", tb.designations(spark, sf), "concept_id"),
-        )
+        snapshot.table_hash(df).select(F.lit(name).alias("table"), "rows", "logical_sha256")
+        for name, df in (("canonical_assertion", tb.canonical(spark, sf)), ("designation", tb.designations(spark, sf)))
     ]
     return parts[0].unionByName(parts[1])
 

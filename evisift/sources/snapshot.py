@@ -28,21 +28,20 @@ def write_tables(tables: dict[str, DataFrame], folder: str, keys: dict[str, str]
 
 
 def read_tables(
-    spark: SparkSession, folder: str, schemas: dict[str, str], expected: dict[str, str] | None = None,
-    keys: dict[str, str] | None = None,
+    spark: SparkSession, folder: str, schemas: dict[str, str], expected: dict[str, str] | None = None
 ) -> dict[str, DataFrame]:
     """Read the tables; with expected logical hashes a changed table is refused."""
     tables = {
         name: spark.read.schema(schema).parquet(os.path.join(folder, name)) for name, schema in schemas.items()
     }
     for name, digest in (expected or {}).items():
-        actual = table_hash(tables[name], keys[name]).first()["logical_sha256"]
+        actual = table_hash(tables[name]).first()["logical_sha256"]
         if actual != digest:
             raise ValueError(f"table {name} does not match its recorded hash")
     return tables
 
 
-def table_hash(df: DataFrame, key: str, prefixes: tuple[int, ...] = HASH_PREFIXES) -> DataFrame:
+def table_hash(df: DataFrame, prefixes: tuple[int, ...] = HASH_PREFIXES) -> DataFrame:
     """Row count and logical hash, independent of file layout.
 
     Rows are digested one by one and the digests combined as a tree over their leading hex

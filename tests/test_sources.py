@@ -211,15 +211,15 @@ def test_cases_and_lexicon(spark, tmp_path):
 def test_snapshot_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([(f"id{i}", i) for i in range(50)], "id string, n int")
     snapshot.write_tables({"t": df}, str(tmp_path / "snap"), {"t": "id"})
-    digest = snapshot.table_hash(df.repartition(7), "id").first()
+    digest = snapshot.table_hash(df.repartition(7)).first()
     assert digest["rows"] == 50
-    back = snapshot.read_tables(spark, str(tmp_path / "snap"), {"t": "id string, n int"}, {"t": digest["logical_sha256"]}, {"t": "id"})
+    back = snapshot.read_tables(spark, str(tmp_path / "snap"), {"t": "id string, n int"}, {"t": digest["logical_sha256"]})
     assert snapshot.rebuild_differences(back["t"], df).count() == 0
     with pytest.raises(ValueError):
-        snapshot.read_tables(spark, str(tmp_path / "snap"), {"t": "id string, n int"}, {"t": "0"}, {"t": "id"})
+        snapshot.read_tables(spark, str(tmp_path / "snap"), {"t": "id string, n int"}, {"t": "0"})
     with pytest.raises(Exception):
         snapshot.write_tables({"t": df}, str(tmp_path / "snap"), {"t": "id"})
-    changed = snapshot.table_hash(df.withColumn("n", F.col("n") + 1), "id").first()
+    changed = snapshot.table_hash(df.withColumn("n", F.col("n") + 1)).first()
     assert changed["logical_sha256"] != digest["logical_sha256"]
 
 
