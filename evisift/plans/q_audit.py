@@ -255,7 +255,23 @@ def a13(spark, sf):
     return sampling.sequential_quota(pools(spark, sf), QUOTAS, "candidate_id")
 
 
-@query("a14_capped_greedy_sample")
+def _greedy_sql(domains: list[str]) -> str:
+    """A pass per domain and one over all, each without what the passes before have taken."""
+    parts = ["c AS (SELECT candidate_id AS id, source||'/'||status AS topic, lang, sha256(candidate_id) AS h FROM fx_candidate)"]
+    before = "SELECT id, topic FROM c WHERE false"
+    for i, (name, pool, size) in enumerate([*((d, f"lang = '{d}'", "12") for d in domains), ("rest", "true", "120 - (SELECT count(*) FROM t)")]):
+        taken = before if i == 0 else " UNION ALL ".join(f"SELECT id, topic FROM p{k}" for k in range(i))
+        parts.append(
+            f"""p{i} AS (WITH t AS ({taken}), f AS (SELECT id, topic, h, row_number() OVER (PARTITION BY topic ORDER BY h, id) AS n
+        FROM (SELECT DISTINCT id, topic, h FROM c WHERE {pool}) WHERE id NOT IN (SELECT id FROM t)),
+      o AS (SELECT id, topic, row_number() OVER (ORDER BY h, id) AS r FROM f WHERE n <= 3 - (SELECT count(*) FROM t WHERE t.topic = f.topic))
+      SELECT id, topic, '{name}' AS pass FROM o WHERE r <= {size})"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(len(domains) + 1))
+    return f"WITH {', '.join(parts)} {every}"
+
+
+@query("a14_capped_greedy_sample", _greedy_sql(["en", "de", "fr", "es"]))
 def a14(spark, sf):
     """At most twelve per language and three per source, one hundred twenty in all."""
     rows = tb.candidates(spark, sf).select(
@@ -278,7 +294,17 @@ def a15(spark, sf):
     return sampling.round_robin(rows, ["lang", "status"], "candidate_id", 180)
 
 
-@query("a16_control_sample")
+@query(
+    "a16_control_sample",
+    """WITH c AS (SELECT candidate_id, lang, source, status, sha256(candidate_id) AS h, sha256(lang||'|'||source) AS k FROM fx_candidate),
+      i AS (SELECT status, row_number() OVER (ORDER BY status) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT status FROM c)),
+      r AS (SELECT *, row_number() OVER (PARTITION BY status, lang, source ORDER BY h, candidate_id) AS turn FROM c),
+      n AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY turn, k) AS place FROM r),
+      p AS (SELECT candidate_id, lang, source, n.status FROM n JOIN i USING (status) WHERE place <= 180 // i.n + CAST(i.i < 180 % i.n AS INT)),
+      l AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY h, candidate_id) AS turn FROM c WHERE candidate_id NOT IN (SELECT candidate_id FROM p)),
+      m AS (SELECT *, row_number() OVER (ORDER BY turn, k) AS place FROM l)
+    SELECT * FROM p UNION ALL SELECT candidate_id, lang, source, status FROM m WHERE place <= 180 - (SELECT count(*) FROM p)""",
+)
 def a16(spark, sf):
     rows = tb.candidates(spark, sf).select("candidate_id", "lang", "source", "status")
     return sampling.control(rows, ["lang", "source"], "candidate_id", "status", 180)

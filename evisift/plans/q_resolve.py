@@ -71,14 +71,14 @@ def h2(spark, sf):
     )
 
 
-@query(
-    "h3_canonical_assertion_id",
-    """SELECT DISTINCT 'canonical_assertion:'||sha256('["'||replace('{"object":{"concept_id":"'||finding||'","kind":"concept"},"qualifiers":{'
+oracle.VIEWS["fx_canonical_id"] = """SELECT DISTINCT 'canonical_assertion:'||sha256('["'||replace('{"object":{"concept_id":"'||finding||'","kind":"concept"},"qualifiers":{'
       ||'"age":null,"clinical_context":null,"evidence_level":null,"evidence_type":null,"frequency":null,"laterality":null,'
       ||'"location":null,"polarity":"'||polarity||'","population":[],"severity":null,"sex":null,"temporal_context":null},'
       ||'"relation":"'||relation||'","schema_version":2,"subject_concept_id":"'||subject||'"}', '"', '\\"')||'"]') AS canonical_id,
-      subject, relation, finding, polarity FROM fx_line""",
-)
+      subject, relation, finding, polarity FROM fx_line"""
+
+
+@query("h3_canonical_assertion_id", "SELECT canonical_id, subject, relation, finding, polarity FROM fx_canonical_id")
 def h3(spark, sf):
     return tb.canonical(spark, sf)
 
@@ -94,16 +94,42 @@ def h4(spark, sf):
     )
 
 
-@query("h6_table_hashes")
+@query(
+    "h6_table_hashes",
+    """WITH leaf AS (
+        SELECT 'designation' AS name, sha256('{"concept_id":"'||concept_id||'","language":"'||language||'","scope":"'||scope||'","text":"'||text||'"}') AS h FROM fx_designation
+        UNION ALL SELECT 'statement', sha256('{"finding":"'||finding||'","polarity":"'||polarity||'","relation":"'||relation||'","subject":"'||subject||'"}') FROM fx_canonical),
+      six AS (SELECT name, left(h, 6) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM leaf GROUP BY 1, 2),
+      three AS (SELECT name, left(p, 3) AS p, sha256(string_agg(h, '' ORDER BY six.p, h)) AS h, sum(n) AS n FROM six GROUP BY 1, left(p, 3))
+    SELECT name AS "table", CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, '' ORDER BY p, h)) AS logical_sha256 FROM three GROUP BY 1""",
+)
 def h6(spark, sf):
     """Logical hashes of two canonical tables."""
+    statement = tb.canonical(spark, sf).select("subject", "relation", "finding", "polarity")
     parts = [
         snapshot.table_hash(df).select(F.lit(name).alias("table"), "rows", "logical_sha256")
-        for name, df in (("canonical_assertion", tb.canonical(spark, sf)), ("designation", tb.designations(spark, sf)))
+        for name, df in (("statement", statement), ("designation", tb.designations(spark, sf)))
     ]
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    "h5_contribution_ids",
+    """SELECT subject, finding, relation, polarity, family, 'reasoning_contribution:'||sha256('["'||subject||'","'||canonical_id||'","'||family||'"]') AS contribution_id
+    FROM fx_statement_family JOIN fx_universe USING (subject) JOIN fx_canonical_id USING (subject, relation, finding, polarity)
+    WHERE family IN (SELECT family FROM fx_family WHERE dependency_type <> 'unknown')""",
+)
+def h5(spark, sf):
+    """Id of every contribution a statement can make through a family."""
+    from evisift.plans.q_family import scorable
+
+    rows = scorable(spark, sf)
+    return rows.select(
+        "subject", "finding", "relation", "polarity", "family",
+        family.contribution_id(F.col("subject"), F.col("canonical_id"), F.col("family")).alias("contribution_id"),
+    )
+
+
 @query(
     "h7_family_manifest",
     """SELECT family, dependency_type, coalesce(members, 0) AS members FROM fx_family LEFT JOIN (
