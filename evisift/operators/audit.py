@@ -95,16 +95,18 @@ def subjects_with_discriminant(statements: DataFrame, opposing: DataFrame) -> Da
     )
 
 
-def dedup_statistics(bridge: DataFrame) -> DataFrame:
-    """Source against canonical counts and statements several releases share."""
+def dedup_statistics(bridge: DataFrame, scorable: DataFrame) -> DataFrame:
+    """Source against canonical counts, statements several releases share, and statements that may score."""
     per = bridge.groupBy("canonical_id").agg(
         F.count_distinct("source_id").alias("sources"), F.count_distinct("release").alias("releases")
     )
-    return per.agg(
+    marked = per.join(scorable.select("canonical_id", F.lit(True).alias("scores")).distinct(), "canonical_id", "left")
+    return marked.agg(
         F.sum("sources").alias("source_assertions"),
         F.count("*").alias("canonical_assertions"),
         (F.sum("sources") - F.count("*")).alias("collapsed"),
         F.count_if(F.col("releases") > 1).alias("multi_release"),
+        F.count("scores").alias("scorable_canonical"),
     )
 
 

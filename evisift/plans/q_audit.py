@@ -135,10 +135,12 @@ def a5_subjects(spark, sf):
     """WITH p AS (SELECT subject, relation, finding, polarity, count(DISTINCT source_id) AS s, count(DISTINCT release) AS r
       FROM fx_line GROUP BY ALL)
     SELECT CAST(sum(s) AS BIGINT) AS source_assertions, count(*) AS canonical_assertions,
-      CAST(sum(s) - count(*) AS BIGINT) AS collapsed, count(*) FILTER (r > 1) AS multi_release FROM p""",
+      CAST(sum(s) - count(*) AS BIGINT) AS collapsed, count(*) FILTER (r > 1) AS multi_release,
+      (SELECT count(DISTINCT (subject, relation, finding, polarity)) FROM fx_statement_family JOIN fx_universe USING (subject)
+        WHERE family IN (SELECT family FROM fx_family WHERE dependency_type <> 'unknown')) AS scorable_canonical FROM p""",
 )
 def a6(spark, sf):
-    return audit.dedup_statistics(bridge(spark, sf))
+    return audit.dedup_statistics(bridge(spark, sf), scorable(spark, sf))
 
 
 @query(
