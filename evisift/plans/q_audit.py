@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evisift.operators import audit, hierarchy, resolve, review, sampling
 from evisift.plans import testbed as tb
 from evisift.plans.q_family import allowed, general_scope, scorable, universe
 from evisift.plans.registry import query
+from evisift.session import checkpoint_dir
+from evisift.streaming import review_stream
 
 STATUS_COLUMNS = ["relation", "polarity", "release", "family"]
 QUOTAS = [("en", 20), ("toxic", 15), ("approved", 30), ("any", 40)]
@@ -418,6 +422,28 @@ def r2(spark, sf):
     return review.agreement(events(spark, sf))
 
 
+@query("r7_agreement_stream", "SELECT * FROM fx_agreement")
+def r7(spark, sf):
+    """The event log as a stream of three files, one a trigger; the last state of every item."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/review-stream-{uuid.uuid4().hex}"
+    log = events(spark, sf)
+    log.repartition(3, "event_hash").write.parquet(f"{folder}/log")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+
+    def keep(batch, number):
+        batch.write.parquet(f"{folder}/states/batch={number}")
+
+    stream = (
+        review_stream.agreement_stream(source).writeStream.outputMode("update").foreachBatch(keep)
+        .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    )
+    stream.awaitTermination()
+    columns = ["item", "reviewers", "reviewed", "agreement", "disagreement", "deferred", "adjudicated", "unresolved"]
+    states = spark.read.parquet(f"{folder}/states")
+    last = states.groupBy("item").agg(F.max_by(F.struct(*columns[1:]), "batch").alias("s"))
+    return last.select("item", *(f"s.{c}" for c in columns[1:]))
+
+
 @query(
     "r3_queue_progress",
     """WITH c AS (SELECT strftime(ts, '%Y-%m-%d')||':'||(user_id // 10) AS item, event_type FROM events GROUP BY 1, 2),

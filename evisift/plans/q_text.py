@@ -271,7 +271,34 @@ def x4(spark, sf):
     )
 
 
-@query("x5_term_flags")
+oracle.VIEWS["fx_page_words"] = """
+  SELECT page_id, string_split(trim(regexp_replace(strip_accents(lower(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')), ' ') AS words,
+    trim(regexp_replace(strip_accents(lower(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')) AS title FROM pages"""
+oracle.VIEWS["fx_page_phrase"] = """
+  SELECT DISTINCT unnest(words) AS phrase FROM fx_bench_words
+  UNION SELECT array_to_string(words[i:i+1], ' ') FROM fx_bench_words, unnest(range(1, len(words))) AS t(i)"""
+oracle.VIEWS["fx_page_candidate"] = """
+  SELECT DISTINCT page_id, title, phrase FROM (
+    SELECT page_id, title, unnest(words) AS phrase FROM fx_page_words
+    UNION ALL SELECT page_id, title, array_to_string(words[i:i+1], ' ') FROM fx_page_words, unnest(range(1, len(words))) AS t(i))
+  WHERE phrase IN (SELECT phrase FROM fx_page_phrase)"""
+
+
+# Words of the flags.
+@query(
+    "x5_term_flags",
+    """WITH c AS (SELECT *, string_split(title, ' ') AS tw, string_split(phrase, ' ') AS pw,
+        phrase IN ('cancer', 'infection', 'disease', 'disorder', 'syndrome', 'tumor', 'tumour') AS noun FROM fx_page_candidate),
+      s AS (SELECT *, phrase = title OR (list_contains(tw, phrase) AND (noun OR length(phrase) > 5)) OR (list_contains(pw, title) AND length(title) > 5) AS own FROM c),
+      f AS (
+        SELECT CASE WHEN phrase IN ('acute', 'chronic', 'recurrent', 'episodic', 'intermittent', 'persistent', 'progressive') THEN 'temporal_modifier' END AS flag FROM s
+        UNION ALL SELECT CASE WHEN phrase IN ('right', 'left', 'bilateral', 'unilateral') THEN 'laterality_modifier' END FROM s
+        UNION ALL SELECT CASE WHEN phrase IN ('severe', 'mild', 'healthy', 'normal', 'abnormal', 'frequent') THEN 'generic_descriptor' END FROM s
+        UNION ALL SELECT CASE WHEN own THEN 'disease_self_reference' END FROM s
+        UNION ALL SELECT CASE WHEN noun AND NOT own THEN 'other_disease_mention' END FROM s
+        UNION ALL SELECT CASE WHEN phrase IN (SELECT title FROM fx_page_words) THEN 'condition_term_as_finding' END FROM s)
+    SELECT flag, count(*) AS candidates FROM f WHERE flag IS NOT NULL GROUP BY 1""",
+)
 def x5(spark, sf):
     return page_candidates(spark, sf).select(F.explode("term_flags").alias("flag")).groupBy("flag").agg(
         F.count("*").alias("candidates")
