@@ -259,13 +259,6 @@ def phrases(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def topics(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as topics: the first line is the title."""
-    return table(spark, sf, "documents").select(
-        F.concat(F.lit("D:"), "doc_id").alias("topic_id"), "lang", "source", "text"
-    )
-
-
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Text-mined candidates: one per document, reviewed where a label exists."""
     document = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")

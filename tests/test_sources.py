@@ -22,16 +22,16 @@ def graph_file(tmp_path):
     def node(code, label, meta=None):
         return {"id": uri(code), "type": "CLASS", "lbl": label, "meta": meta or {}}
 
-    nodes = [node("HP:0000118", "Root"), node("HP:9000001", "Sign 1", {
+    nodes = [node("HP:0000118", "Root"), node("HP:8123401", "Sign 1", {
         "synonyms": [{"pred": "hasExactSynonym", "val": "Alias"}],
-        "basicPropertyValues": [{"pred": "oboInOwl#hasAlternativeId", "val": "HP:9999901"}],
+        "basicPropertyValues": [{"pred": "oboInOwl#hasAlternativeId", "val": "HP:8765401"}],
         "xrefs": [{"val": "Orphanet:77"}, {"val": "MESH:D000001"}]}),
-        node("HP:9000002", "Sign 2"),
-        node("HP:9999998", "Old", {"deprecated": True, "basicPropertyValues": [{"pred": uri("IAO:0100001"), "val": uri("HP:9000001")}]}),
-        node("HP:9999999", "Retired", {"deprecated": True}), {"id": uri("HP:1"), "type": "PROPERTY"}]
-    edges = [{"sub": uri("HP:9000001"), "pred": "is_a", "obj": uri("HP:0000118")},
-             {"sub": uri("HP:9000002"), "pred": "is_a", "obj": uri("MONDO:1")},
-             {"sub": uri("HP:9000002"), "pred": "is_a", "obj": uri("HP:7777777")}]
+        node("HP:8123402", "Sign 2"),
+        node("HP:8765498", "Old", {"deprecated": True, "basicPropertyValues": [{"pred": uri("IAO:0100001"), "val": uri("HP:8123401")}]}),
+        node("HP:8765499", "Retired", {"deprecated": True}), {"id": uri("HP:1"), "type": "PROPERTY"}]
+    edges = [{"sub": uri("HP:8123401"), "pred": "is_a", "obj": uri("HP:0000118")},
+             {"sub": uri("HP:8123402"), "pred": "is_a", "obj": uri("MONDO:1")},
+             {"sub": uri("HP:8123402"), "pred": "is_a", "obj": uri("HP:6543217")}]
     path = tmp_path / "hp.json"
     path.write_text(json.dumps({"graphs": [{"nodes": nodes, "edges": edges}]}, indent=1))
     return str(path)
@@ -41,17 +41,17 @@ def test_ontology(spark, graph_file):
     got = ontology.scan(spark, graph_file, prefix="HP:", kind="phenotype", release="hp:1")
     assert got.concept.count() == 5 and got.concept.filter("obsolete").count() == 2
     assert {(r["text"], r["scope"]) for r in got.term.filter("text LIKE 'A%'").collect()} == {("Alias", "hasExactSynonym")}
-    assert {r["identifier"] for r in got.identifier.filter("relation = 'alternative'").collect()} == {"HP:9999901"}
-    assert [tuple(r) for r in got.replaced_by.collect()] == [("HP:9999998", "HP:9000001")]
-    assert {(r["target"], r["relation"]) for r in got.mapping.collect()} == {("ORPHA:77", "xref"), ("HP:9000001", "replaced_by")}
+    assert {r["identifier"] for r in got.identifier.filter("relation = 'alternative'").collect()} == {"HP:8765401"}
+    assert [tuple(r) for r in got.replaced_by.collect()] == [("HP:8765498", "HP:8123401")]
+    assert {(r["target"], r["relation"]) for r in got.mapping.collect()} == {("ORPHA:77", "xref"), ("HP:8123401", "replaced_by")}
     assert got.edge.count() == 1
-    assert [tuple(r) for r in got.unresolved_edge.collect()] == [("HP:9000002", "HP:7777777")]
+    assert [tuple(r) for r in got.unresolved_edge.collect()] == [("HP:8123402", "HP:6543217")]
     outcome = resolve.resolve_obsolete(
         got.concept.select(F.col("external_id").alias("concept_id"), "obsolete"),
         got.replaced_by.toDF("concept_id", "replacement"),
     )
     by = {r["concept_id"]: (r["resolved"], r["outcome"]) for r in outcome.collect()}
-    assert by["HP:9999998"] == ("HP:9000001", "replaced") and by["HP:9999999"] == (None, "retired")
+    assert by["HP:8765498"] == ("HP:8123401", "replaced") and by["HP:8765499"] == (None, "retired")
     known = got.concept.select("concept_id", F.col("external_id").alias("primary_code"))
     identifiers, mappings = ontology.scan_xrefs(spark, graph_file, known, "x:1")
     assert {r["code"] for r in identifiers.collect()} == {"ORPHA:77", "MESH:D000001"}
@@ -69,7 +69,7 @@ def test_associations_and_projection(spark, tmp_path, graph_file):
     for lang in ("en", "fr"):
         body = "".join(
             f'<Disorder id="{i}"><OrphaCode>{code}</OrphaCode><Name lang="{lang}">{lang} name {code}</Name><ExpertLink>http://x</ExpertLink>'
-            f'<HPODisorderAssociationList count="1"><HPODisorderAssociation id="{i}"><HPO id="1"><HPOId>HP:900000{i}</HPOId>'
+            f'<HPODisorderAssociationList count="1"><HPODisorderAssociation id="{i}"><HPO id="1"><HPOId>HP:812340{i}</HPOId>'
             f'<HPOTerm>{lang} term</HPOTerm></HPO>{freq}</HPODisorderAssociation></HPODisorderAssociationList></Disorder>'
             for i, (code, freq) in enumerate([("900001", '<HPOFrequency id="28412"><Name>often</Name></HPOFrequency>'),
                                               ("900002", '<HPOFrequency id="28440"><Name>never</Name></HPOFrequency>')], 1)
