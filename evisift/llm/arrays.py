@@ -10,8 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 # Odd multipliers of the hashes below; any other odd constants would do.
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -24,17 +25,16 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES):
-    """Pairs (rows of the batch, their texts in UTF-8) of about ``limit`` bytes."""
+    """Pairs (rows of the batch, their texts in UTF-8) of about ``limit`` bytes; a batch is unpacked slice by slice."""
     for batch in batches:
-        values = as_bytes(batch.column(batch.schema.get_field_index(text)))
-        first, size = 0, 0
-        for i, value in enumerate(values):
-            if i > first and size + len(value) > limit:
-                yield batch.slice(first, i - first), values[first:i]
-                first, size = i, 0
-            size += len(value)
-        if first < len(values):
-            yield batch.slice(first), values[first:]
+        column = batch.column(batch.schema.get_field_index(text))
+        sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_pylist()
+        first, held = 0, 0
+        for i, size in enumerate([*sizes, limit + 1]):
+            if i > first and held + size > limit:
+                yield batch.slice(first, i - first), as_bytes(column.slice(first, i - first))
+                first, held = i, 0
+            held += size
 
 
 def mix(x: np.ndarray) -> np.ndarray:

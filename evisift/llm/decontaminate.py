@@ -22,7 +22,7 @@ from evisift.llm.fm_index import FMIndex
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start: long, end: long>>"
 
