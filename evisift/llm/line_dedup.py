@@ -3,7 +3,7 @@
 A line is what ends with a line break or a sentence mark, as passages also stand inside longer lines. A rolling hash
 over the hashes of two neighbouring lines decides where a chunk ends, so a passage is cut alike wherever it
 stands, and what stands before it moves no boundary but those at its edge. Chunks of several lines, and single long
-lines, are compared over the whole table, byte by byte without blanks behind them; all but the first occurrence go.
+lines, are compared over the whole table, byte by byte without blanks around them; all but the first occurrence go.
 The first and last lines of a passage stay where they share a chunk with their surroundings.
 """
 
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from evisift.llm.exact_dedup import bound
 from evisift.session import materialize
 
-# A line with its end marks and the blanks behind them; together the lines are the text.
-LINE = r"[^\n.!?]*[\n.!?]+[ \n]*|[^\n.!?]+"
-BEHIND = r"[ \n]+\z"
+# A line ends with a line break, or with a sentence mark and a blank; together the lines are the text.
+ENDS = ("\n", ". ", "! ", "? ")
+LINE = r"\n|[.!?] |(?s:.+?)(?:\n|[.!?] |\z)"
+CUT = "\uffff"
+AROUND = " \n"
 # One hit of the rolling hash in so many lines on average, and the multiplier of the rolling hash.
 CHUNK_LINES, ROLL = 3, 31
 # Characters from which a chunk of several lines may be removed, and from which a line is a chunk of its own and may be.
@@ -26,10 +28,19 @@ LEAST_CHARS, LONG_CHARS = 60, 200
 
 def _line_hash(line: Column) -> Column:
     """A number from the first three digits of the line's digest."""
-    digest = F.md5(F.regexp_replace(line, BEHIND, "").cast("binary"))
+    digest = F.md5(line.cast("binary"))
     return F.ascii(digest) * ROLL * ROLL + F.ascii(F.substring(digest, 2, 1)) * ROLL + F.ascii(F.substring(digest, 3, 1))
 
 
+def lines_of_text(text: Column) -> Column:
+    """Lines of a text; a mark behind every end and a split by it is much cheaper than the pattern."""
+    marked = text
+    for end in ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + CUT))
+    quick = F.filter(F.split(marked, CUT), lambda line: line != "")
+    return F.when(F.contains(text, F.lit(CUT)), F.regexp_extract_all(text, F.lit(LINE), F.lit(0))).otherwise(quick)
+
+
 def line_chunks(text: Column, chunk_lines: int) -> Column:
     """Chunks of a text in order: their text, number of lines, and whether they may be removed."""
 
@@ -41,8 +52,7 @@ def line_chunks(text: Column, chunk_lines: int) -> Column:
             def ends(line: Column, i: Column) -> Column:
                 # Of neighbouring hits only the first ends a chunk, so chunks have two lines or more.
                 hit = F.get(hits, i) & ~F.coalesce(F.get(hits, i - 1), F.lit(False))
-                near = (F.length(line) >= LONG_CHARS) | (F.length(F.coalesce(F.get(lines, i + 1), F.lit(""))) >= LONG_CHARS)
-                return F.when((i == F.size(lines) - 1) | near | hit, i + 1)
+                return F.when(hit | (F.length(line) >= LONG_CHARS) | (F.length(F.get(lines, i + 1)) >= LONG_CHARS) | (i == F.size(lines) - 1), i + 1)
 
             return F.filter(F.transform(lines, ends), lambda end: end.isNotNull())
 
@@ -62,7 +72,7 @@ def line_chunks(text: Column, chunk_lines: int) -> Column:
 
         return bound(bound(bound(F.transform(lines, _line_hash), rolls), cut), pieces)
 
-    return bound(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), chunk)
+    return bound(lines_of_text(text), chunk)
 
 
 def drop_repeated_lines(
@@ -74,41 +84,38 @@ def drop_repeated_lines(
     that repeat id and text are treated alike; a null id comes before all others. Should a hash stand for two
     chunks, neither is removed.
     """
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
-    source = source.withColumn("body", F.coalesce("body", F.lit(""))).withColumn("mark", F.xxhash64("body"))
-    chunked = line_chunks(F.col("body"), chunk_lines)
-    pieces = source.select("doc_id", "mark", F.posexplode(chunked).alias("pos", "chunk")).filter("chunk.may_go")
-    pieces = pieces.select("doc_id", "mark", "pos", F.regexp_replace("chunk.body", BEHIND, "").alias("chunk"))
-    pieces = pieces.withColumn("hash", F.xxhash64("chunk"))
-    each = pieces.groupBy("hash", "chunk").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = (
-        each.groupBy("hash").agg(F.count(F.lit(1)).alias("chunks"), F.min("first").alias("first"), F.sum("n").alias("n")).filter("chunks = 1 AND n > 1")
-    )
-    repeated = materialize(repeated.select("hash", "first"), "repeated_chunks")
-    late = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))
-    gone = (
-        pieces.select("doc_id", "mark", "pos", "hash").join(repeated, "hash").filter(late)
-        .groupBy(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).agg(F.collect_set("pos").alias("gone"))
-    )
-    gone = materialize(gone, "gone_chunks")
-    # Without the hint small tables are joined another way than large ones, and only the latter split hot keys.
-    joined = source.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    source = source.withColumn("mark", F.xxhash64("body"))
+    def core(chunk: Column) -> Column:
+        return F.btrim(chunk["body"], F.lit(AROUND))
 
     def lines_of(chunks: Column) -> Column:
         return F.aggregate(chunks, F.lit(0).cast("long"), lambda total, c: total + c["lines"])
 
-    def result(chunks: Column) -> Column:
-        kept = F.filter(chunks, lambda c, i: ~F.array_contains("gone", i))
-        return bound(
-            kept,
-            lambda left: F.struct(
-                lines_of(chunks).alias("n_lines"), (lines_of(chunks) - lines_of(left)).alias("removed_lines"),
-                F.array_join(F.transform(left, lambda c: c["body"]), "").alias("text"),
-            ),
-        )
-
-    whole = F.struct(
-        F.size(F.regexp_extract_all("body", F.lit(LINE), F.lit(0))).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("removed_lines"), F.col("body").alias("text")
-    )
-    changed = joined.select("doc_id", F.when(F.col("gone").isNull(), whole).otherwise(bound(chunked, result)).alias("r"))
-    return changed.select("doc_id", "r.n_lines", "r.removed_lines", "r.text")
+    def text_of(chunks: Column) -> Column:
+        return F.array_join(F.transform(chunks, lambda c: c["body"]), "")
+
+    def recipe(chunks: Column) -> Column:
+        keys = F.transform(chunks, lambda c, i: F.when(c["may_go"], F.struct(i.alias("pos"), F.xxhash64(core(c)).alias("hash"))))
+        return F.struct(chunks.alias("chunks"), F.filter(keys, lambda k: k.isNotNull()).alias("keys"))
+
+    # Chunks are cut once and written; what follows reads the columns it needs.
+    recipes = source.select("doc_id", "mark", bound(line_chunks(F.col("body"), chunk_lines), recipe).alias("r"))
+    recipes = materialize(recipes.select("doc_id", "mark", "r.chunks", "r.keys"), "line_recipes")
+
+    # Texts move once, each distinct chunk of a task once, to find hashes that stand for two chunks.
+    texts = recipes.select(F.explode(F.transform(F.filter("chunks", lambda c: c["may_go"]), core)).alias("chunk"))
+    texts = texts.select(F.xxhash64("chunk").alias("hash"), "chunk").distinct()
+    unsure = materialize(texts.groupBy("hash").count().filter("count > 1").select("hash"), "unsure_hashes")
+
+    places = recipes.select("doc_id", "mark", F.inline("keys"))
+    repeated = places.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = materialize(repeated.join(unsure, "hash", "left_anti").select("hash", "first"), "repeated_chunks")
+    late = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))
+    gone = places.join(repeated, "hash").filter(late).groupBy(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"))
+    gone = materialize(gone.agg(F.collect_set("pos").alias("gone")), "gone_chunks")
+    # Without the hint small tables are joined another way than large ones, and only the latter split hot keys.
+    joined = recipes.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")), "left")
+    left = F.when(F.col("gone").isNull(), F.col("chunks")).otherwise(F.filter("chunks", lambda c, i: ~F.array_contains("gone", i)))
+    changed = joined.select("doc_id", lines_of(F.col("chunks")).alias("n_lines"), bound(left, lambda c: F.struct(lines_of(c).alias("left"), text_of(c).alias("text"))).alias("r"))
+    return changed.select("doc_id", "n_lines", (F.col("n_lines") - F.col("r.left")).alias("removed_lines"), "r.text")
