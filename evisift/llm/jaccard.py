@@ -39,6 +39,8 @@ SCAN_COST = 8
 # They only decide the order of shingles; any order gives the same result.
 FREQUENT_FROM = 16
 FREQUENT_MOST = 1 << 20
+# Text that shingles are counted in before the shuffle: the more, the rarer the shingles that are seen to repeat.
+COUNT_BYTES = 4 << 20
 # Members of a list that is paired directly.
 SHORT = 64
 # Sets whose keys a task has sent already; copies of these send none again.
@@ -137,7 +139,7 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in arrays.slices(batches, "body", 2 * arrays.SLICE_BYTES):
+        for _, texts in arrays.slices(batches, "body", COUNT_BYTES):
             value, number = np.unique(ShingleSets(texts, shingle).value, return_counts=True)
             more = number > 1
             yield pa.RecordBatch.from_arrays([pa.array(arrays.signed(value[more])), pa.array(number[more])], ["shingle", "number"])
