@@ -235,7 +235,7 @@ def candidate_lists(keyed: DataFrame, similarity: int) -> DataFrame:
     rows = short.filter("low < high").unionByName(often.join(pivots, "key"))
     return materialize(
         rows.select(
-            "key", "set_id", "n", "pos", "members", F.col("pivot.at").alias("lead"),
+            "key", "set_id", "n", "pos", "members",
             F.col("pivot.set_id").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.pos").alias("pivot_pos"),
         ),
         "lists",
@@ -300,8 +300,9 @@ def linked_sets(docs: DataFrame, keyed: DataFrame, shingle: int, similarity: int
     lists = candidate_lists(keyed, similarity)
     pairs = counted_pairs(lists, similarity)
     # The smaller set of a pair has a shingle of both among its first n - overlap(n, n): if not even the pivot has, no pair may link.
-    share = 1 - 2 * similarity / (100 + similarity)
-    lists = lists.filter((F.col("members") > SHORT) & (F.col("lead") <= share))
+    # In whole numbers, as the place of the first common shingle may be the last one that is allowed.
+    near = (100 + similarity) * F.col("pivot_pos") <= (100 - similarity) * F.col("pivot_n")
+    lists = lists.filter((F.col("members") > SHORT) & near)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(lists.select("set_id")).distinct()
     sets = shingle_sets(docs, keyed, wanted, shingle)
 

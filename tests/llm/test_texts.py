@@ -65,6 +65,14 @@ def test_jaccard_without_short_lists(spark, monkeypatch):
     assert Counter(map(tuple, jaccard.similar_documents(documents(spark, rows)).collect())) == components(rows, 5, 80)
 
 
+def test_jaccard_links_of_exactly_the_share_in_long_lists(spark):
+    """34 of 40 shingles in common, 85 per cent; the first common one stands at place 3 of 37, behind three of the text's own."""
+    shared = " ".join(f"s{i}" for i in range(37))
+    rows = [(i, f"{shared} own{i} end{i} last{i}") for i in range(jaccard.SHORT + 6)]
+    found = jaccard.similar_documents(documents(spark, rows), shingle=4, similarity=85)
+    assert Counter(map(tuple, found.collect())) == components(rows) == Counter((i, 37, 0) for i, _ in rows)
+
+
 def test_light_sets_enumerate_and_heavy_sets_do_not():
     limit = jaccard.light_limit()
     assert 6 <= limit < 30
