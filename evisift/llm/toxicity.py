@@ -3,7 +3,7 @@
 Terms are whole words and word stems that stand out in toxic training texts. Their trie is intersected with a
 Levenshtein automaton once, on the driver, into one deterministic table: a state is the set of (trie node, edits)
 pairs that a prefix can be in. Words of a text then run through the table in lock-step, so a misspelled term costs
-no more than a known one. Hits are scored with the words around them: quotation marks, words of reporting, negation
+no more than a known one; ordinary words of the training texts are no misspellings. Hits are scored with the words around them: quotation marks, words of reporting, negation
 and address shift the weight that a small logistic model has learned for a hit.
 """
 
@@ -97,13 +97,24 @@ class TermAutomaton:
                             out.add((children[child][s], 1, first))
             return close(out)
 
+        def expected(state: frozenset) -> set[int]:
+            """Symbols that lead elsewhere than one outside the alphabet does."""
+            out = {swap for _, _, swap in state if swap >= 0}
+            for node, used, swap in state:
+                if swap < 0:
+                    out.update(children[node])
+                    if used == 0:
+                        out.update(*(children[child] for child in children[node].values() if edits[child]))
+            return out
+
         start = close({(0, 0, -1)})
         numbers, waiting, rows = {frozenset(): 0, start: 1}, [start], [[0] * (len(alphabet) + 1)]
         final, stem_of = [0, 0], [0, 0]
         while waiting:
             state, row = waiting.pop(0), []
+            near, other = expected(state), step(state, len(alphabet))
             for s in range(len(alphabet) + 1):
-                after = step(state, s)
+                after = step(state, s) if s in near else other
                 if after not in numbers:
                     numbers[after] = len(numbers)
                     waiting.append(after)
@@ -146,13 +157,15 @@ class ToxicModel:
     spread: np.ndarray
     slope: np.ndarray
     base: float
+    ordinary: np.ndarray  # hashes of ordinary words that a misspelled term could be taken for
 
     def hits(self, texts: list[bytes]) -> tuple[arrays.Words, np.ndarray, np.ndarray]:
         words = arrays.Words(texts, _WORD)
         if self.automaton is None or not len(words.start):
             return words, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        _, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        term = self.automaton.match(words.data, words.start[at], words.end[at])[back]
+        value, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        term = self.automaton.match(words.data, words.start[at], words.end[at])
+        term = np.where(np.isin(value, self.ordinary), 0, term)[back]
         hit = np.flatnonzero(term)
         return words, hit, term[hit] - 1
 
@@ -211,16 +224,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
-def _choose_terms(table: pa.Table, toxic: int, clean: int) -> list[tuple[bytes, bool, float]]:
-    """Terms by log odds, longest evidence first; a term whose texts a shorter stem explains as well is left out."""
+def _choose_terms(table: pa.Table, toxic: int, clean: int, ordinary: list[bytes]) -> list[tuple[bytes, bool, float]]:
+    """Terms by log odds, longest evidence first; at equal strength whole words come before stems.
+
+    Longer forms of a chosen stem are left out, but not whole words that may be misspelled, as stems must match.
+    No stem is a beginning of an ordinary word.
+    """
+    taken = {word[:n] for word in ordinary for n in range(STEM_FROM, STEM_TO + 1)}
     rows = sorted(
         ((t.encode(), bool(s), int(a), int(b)) for t, s, a, b in zip(*(table[c].to_pylist() for c in ("term", "stem", "toxic", "clean")), strict=True)),
         key=lambda r: (-r[2] / (r[2] + 1 + 4 * r[3]), -r[2], len(r[0]), r[0], r[1]),
     )
     chosen: list[tuple[bytes, bool, float]] = []
     stems: set[bytes] = set()
-    for term, stem, a, b in sorted(rows, key=lambda r: (-np.log((r[2] + 0.5) / (r[3] + 0.5)) * np.sqrt(r[2]), not r[1], -len(r[0]), r[0])):
-        if any(term[:k] in stems for k in range(1, len(term) + 1)):
+    for term, stem, a, b in sorted(rows, key=lambda r: (-np.log((r[2] + 0.5) / (r[3] + 0.5)) * np.sqrt(r[2]), r[1], -len(r[0]), r[0])):
+        if stem and term in taken:
+            continue
+        if (stem or len(term) < EDIT_FROM) and any(term[:k] in stems for k in range(1, len(term) + 1)):
             continue
         odds = float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)))
         chosen.append((term, stem, odds))
@@ -245,32 +265,48 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", tex
             counts: dict[tuple[bytes, bool], list[int]] = {}
             words = arrays.Words(texts, _WORD)
             lower = arrays.LOWER[words.data].tobytes()
+            hashes = arrays.signed(words.hashes()).tolist()
             for i, (a, k) in enumerate(zip(words.first[:-1].tolist(), words.count.tolist(), strict=True)):
-                own = {lower[s:e] for s, e in zip(words.start[a : a + k].tolist(), words.end[a : a + k].tolist(), strict=True)}
-                found = {(w, False) for w in own if STEM_FROM <= len(w) <= 40}
-                found |= {(w[:n], True) for w in own for n in range(STEM_FROM, min(len(w), STEM_TO) + 1)}
-                for term in found:
-                    counts.setdefault(term, [0, 0])[toxic[i] == 0] += 1
-            rows = [(t, s, a, b) for (t, s), (a, b) in counts.items() if _is_text(t)]
+                own = {lower[s:e]: h for s, e, h in zip(words.start[a : a + k].tolist(), words.end[a : a + k].tolist(), hashes[a : a + k], strict=True)}
+                found = {(w, False): (h, h) for w, h in own.items() if STEM_FROM <= len(w) <= 40}
+                for w, h in own.items():
+                    for n in range(STEM_FROM, min(len(w), STEM_TO) + 1):
+                        least, most = found.get((w[:n], True), (h, h))
+                        found[w[:n], True] = min(least, h), max(most, h)
+                for term, (least, most) in found.items():
+                    held = counts.setdefault(term, [0, 0, least, most])
+                    held[toxic[i] == 0] += 1
+                    held[2], held[3] = min(held[2], least), max(held[3], most)
+            rows = [(t, s, *held) for (t, s), held in counts.items() if _is_text(t)]
+            kinds = pa.bool_(), *[pa.int64()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0].decode() for r in rows], pa.string()), *(pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.bool_()), (2, pa.int64()), (3, pa.int64())))],
-                ["term", "stem", "toxic", "clean"],
+                [pa.array([r[0].decode() for r in rows], pa.string()), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds, 1))],
+                ["term", "stem", "toxic", "clean", "least", "most"],
             )
 
-    counted = sample.mapInArrow(terms, "term string, stem boolean, toxic long, clean long").groupBy("term", "stem").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
+    counted = sample.mapInArrow(terms, "term string, stem boolean, toxic long, clean long, least long, most long").groupBy("term", "stem").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.min("least").alias("least"), F.max("most").alias("most")
     )
-    kept = counted.filter((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
+    # A stem stands for two different words or more; the smallest and largest hash of its words tell.
+    several = ~F.col("stem") | (F.col("least") < F.col("most"))
+    toxic = F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))
+    # Words known from as many clean texts are ordinary ones, not misspelled terms.
+    ordinary = ~F.col("stem") & ~toxic & (F.col("clean") >= LEAST_TEXTS)
+    counted = materialize(counted.filter(ordinary | (several & toxic & (F.col("toxic") >= LEAST_TEXTS))).withColumn("ordinary", ordinary), "toxicity_terms")
+    usual = [t.encode() for t in counted.filter("ordinary").select("term").toArrow()["term"].to_pylist()]
+    kept = counted.filter("NOT ordinary")
     strength = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) * F.sqrt("toxic")
     table = kept.orderBy(F.desc(strength), F.length("term"), "term", "stem").limit(64 * TERMS).toArrow()
     sizes = {int(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
-    chosen = _choose_terms(table, sizes.get(1, 0), sizes.get(0, 0))
+    chosen = _choose_terms(table, sizes.get(1, 0), sizes.get(0, 0), usual)
     nothing = np.zeros(len(FEATURES))
     share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
     automaton = TermAutomaton([(t, s) for t, s, _ in chosen]) if chosen else None
-    model = ToxicModel(automaton, np.array([w for _, _, w in chosen]), nothing, nothing + 1, nothing, float(np.log(share / (1 - share))))
+    model = ToxicModel(automaton, np.array([w for _, _, w in chosen]), nothing, nothing + 1, nothing, float(np.log(share / (1 - share))), np.zeros(0, dtype=np.uint64))
     if not chosen or len(sizes) < 2:
         return model
+    known = arrays.Words(usual, _WORD)
+    model.ordinary = np.sort(known.hashes()[automaton.match(known.data, known.start, known.end) > 0])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -327,6 +327,16 @@ def test_toxicity_tolerates_misspelling_and_stems(spark):
     assert terms.match(words.data, words.start, words.end).tolist() == [1, 1, 1, 1, 1, 0, 2, 0, 1, 0]
 
 
+def test_toxicity_scores_texts_whose_only_term_is_misspelled(spark):
+    insult = ["blockheads", "rottenest", "grumblefoot"]
+    toxic = [(f"{SENTENCE[: 20 + i % 40]} {insult[i % 3]} {i}", 1) for i in range(120)]
+    clean = [(f"{SENTENCE[: 20 + i % 40]} nice day {i}", 0) for i in range(240)]
+    model = toxicity.fit_toxicity(*labelled(spark, toxic + clean, "toxic"))
+    rows = [(1, "The quick bl0ckheads"), (2, "The quick rotenest"), (3, "The quick grmublefoot"), (4, "The quick nice day"), (5, "The quick rottenest")]
+    got = {r["doc_id"]: (r["predicted"], len(r["spans"])) for r in toxicity.score_toxicity(documents(spark, rows), model).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (0, 0), 5: (1, 1)}
+
+
 @pytest.mark.parametrize("fit,score,label", [(quality.fit_quality, quality.score_quality, "quality"), (toxicity.fit_toxicity, toxicity.score_toxicity, "toxic")])
 def test_classifiers_without_labels_or_rows(spark, fit, score, label):
     docs = documents(spark, odd_rows())
