@@ -37,7 +37,9 @@ SENSITIVE_CHARS, AROUND_CHARS = 60, 512
 # Added bytes for each character from which a string counts as incompressible: six bits a character would be 0.75.
 NOVEL = 0.6
 # The dictionary: frequent words of the corpus up to this many bytes, behind words of code.
-DICTIONARY_BYTES, WORD_FROM, WORD_TO, SEEN_IN_SLICE = 32 << 10, 5, 40, 4
+DICTIONARY_BYTES, WORD_FROM, WORD_TO, SEEN = 32 << 10, 5, 40, 4
+# Distinct words from which a task passes on its counts and starts again.
+HELD_WORDS = 1 << 17
 CODE_WORDS = (
     "import return function class public private static const string import self None true false null if else for while try except "
     "configuration environment variable api_key access_token secret_key password client_id client_secret authorization bearer https:// "
@@ -84,23 +86,31 @@ class Novelty:
 def word_dictionary(docs: DataFrame, *, text: str = "text") -> bytes:
     """Frequent words of all texts, most frequent last, where the compressor finds them cheapest.
 
-    Every task counts its slices and passes on what a slice has a few times; the driver gets the top of the sums, no
-    more words than the dictionary can hold.
+    Every task passes on the counts of all its words, a bounded number at a time; the driver gets the top of the
+    sums, no more words than the dictionary can hold. Batches and partitions don't matter. Words seen fewer than
+    ``SEEN`` times in all are left out, as a secret must not be known from its own place.
     """
 
+    def counts(held: dict[bytes, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
         for _, texts in arrays.slices(batches, "body"):
             words = arrays.Words(texts, arrays.LETTERS_DIGITS_ANY_CASE)
             size = words.end - words.start
             fit = (size >= WORD_FROM) & (size <= WORD_TO)
             _, at, number = np.unique(words.hashes(lower=False)[fit], return_index=True, return_counts=True)
-            often = number >= SEEN_IN_SLICE
             raw = words.data.tobytes()
-            start, end = words.start[fit][at[often]].tolist(), words.end[fit][at[often]].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip(start, end, strict=True)], pa.binary()), pa.array(number[often])], ["word", "n"])
+            for a, b, n in zip(words.start[fit][at].tolist(), words.end[fit][at].tolist(), number.tolist(), strict=True):
+                held[raw[a:b]] = held.get(raw[a:b], 0) + n
+            if len(held) >= HELD_WORDS:
+                yield counts(held)
+                held = {}
+        yield counts(held)
 
     source = docs.select(F.col(text).cast("string").alias("body"))
-    counted = source.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = source.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= SEEN)
     top = counted.orderBy(F.desc(F.col("n") * F.octet_length("word")), "word").limit(DICTIONARY_BYTES // WORD_FROM).collect()
     held, size = [], 0
     for row in top:

@@ -403,6 +403,17 @@ def test_secrets_base_and_novel_spans(spark):
     assert secret_scan.find_secrets(docs.limit(0), secret_scan.word_dictionary(docs.limit(0))).isEmpty()
 
 
+def test_word_dictionary_counts_every_occurrence(spark, monkeypatch):
+    """However rows are dealt: words seen once in a partition count like words that repeat in one."""
+    rows = [(i, f"{SENTENCE} common{i % 3} {'early ' * 5 if i == 0 else ''}word{i}") for i in range(24)]
+    n = Counter(w for _, t in rows for w in t.split() if len(w) >= 5)
+    want = b" ".join([secret_scan.CODE_WORDS, *reversed([w.encode() for w in sorted((w for w in n if n[w] >= 4), key=lambda w: (-n[w] * len(w), w))])])
+    docs = documents(spark, rows)
+    assert [secret_scan.word_dictionary(docs.repartition(k)) for k in (1, 24)] == [want, want]
+    monkeypatch.setattr(secret_scan, "HELD_WORDS", 2)
+    assert secret_scan.word_dictionary(docs.repartition(2)) == want
+
+
 @pytest.mark.parametrize(
     "run", [lambda d: tokens.token_counts(d, VOCABULARY), lambda d: tokens.pack_documents(d, VOCABULARY), exact_dedup.exact_groups, line_dedup.drop_repeated_lines]
 )
