@@ -137,21 +137,6 @@ def support_scores(pairs: DataFrame, index: SemanticIndex) -> DataFrame:
     return matched.unionByName(_climb(rest, chain, index))
 
 
-def hit_scores(queries: DataFrame, index: SemanticIndex) -> DataFrame:
-    """Candidate hits of each distinct query with their exact support."""
-    hits = candidate_hits(queries, index)
-    chain = _chain(queries, index)
-    own = chain.filter(F.col("anc") == F.col("query")).select("query", "ic")
-    below = hits.filter("at_or_below").join(own, "query", "left").select("query", "subject", "ic")
-    above = hits.filter("NOT at_or_below").select("query", "subject")
-    climbed = above.join(_climb(above, chain, index), ["subject", "query"], "left").select(
-        "query", "subject", "ic"
-    )
-    return below.unionByName(climbed).select(
-        "query", "subject", F.coalesce("ic", F.lit(0.0)).alias("support")
-    )
-
-
 def exclusion_hits(queries: DataFrame, index: SemanticIndex) -> DataFrame:
     """Per ``(query, subject)`` the most informative excluded finding at or above the query."""
     excluded = (
@@ -242,97 +227,6 @@ def contributions(observations: DataFrame, index: SemanticIndex) -> DataFrame:
     return support.unionByName(_penalties(present, _queries(observations, "absent"), index))
 
 
-def top_candidates(
-    observations: DataFrame, index: SemanticIndex, limit: int = RESULT_LIMIT
-) -> DataFrame:
-    """The exact ``limit`` best candidates per case with the case's candidate count.
-
-    Every hit is scored first. What a subject can still gain from the findings it did not hit
-    is bounded by the most informative proper ancestor of each finding, so only subjects whose
-    bound reaches the case's current ``limit``-th score get those findings looked up. Nothing
-    that could enter the result is dropped.
-    """
-    present = _counted_present(observations)
-    absent = _queries(observations, "absent")
-    queries = present.select("query").distinct()
-    hits = materialize(hit_scores(queries, index), "hits")
-    chain = _chain(queries, index)
-    bound = chain.filter(F.col("anc") != F.col("query")).groupBy("query").agg(F.max("ic").alias("bound"))
-    weighted = materialize(
-        present.join(bound, "query", "left").select(
-            "case_id", "query", "n_present",
-            (F.coalesce("bound", F.lit(0.0)) / F.col("n_present")).alias("bound"),
-        ),
-        "weighted",
-    )
-    direct = weighted.join(hits, "query").select(
-        "case_id", "subject", "query",
-        (F.col("support") / F.col("n_present")).alias("value"),
-        F.col("bound").alias("used"), F.lit(1).alias("candidate"),
-    )
-    penalty = _penalties(present, absent, index).select(
-        "case_id", "subject", "query", "value", F.lit(0.0).alias("used"), "candidate"
-    )
-    base = materialize(
-        direct.unionByName(penalty)
-        .groupBy("case_id", "subject")
-        .agg(
-            F.sum("value").alias("lower"), F.sum("used").alias("used"),
-            F.max("candidate").alias("candidate"),
-        )
-        .filter(F.col("candidate") == 1)
-        .drop("candidate"),
-        "base",
-    )
-    totals = weighted.groupBy("case_id").agg(F.sum("bound").alias("reachable"))
-    counts = base.groupBy("case_id").agg(F.count("subject").alias("candidate_count"))
-    rounded = F.round("lower", DIGITS)
-    order = W.partitionBy("case_id").orderBy(rounded.desc(), F.col("subject"))
-    floor = (
-        base.select("case_id", "lower", "subject")
-        .withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= limit)
-        .groupBy("case_id")
-        .agg(
-            F.when(
-                F.count("n") == limit,
-                F.max_by(F.struct(rounded.alias("score"), "subject"), "n"),
-            ).alias("floor")
-        )
-    )
-    per_case = totals.join(floor, "case_id").join(counts, "case_id")
-    room = F.col("reachable") - F.col("used")
-    settled = room < 1e-12  # every finding was hit, so the score is final
-    above = (rounded > F.col("floor.score")) | (
-        (rounded == F.col("floor.score")) & (F.col("subject") <= F.col("floor.subject"))
-    )
-    kept = (
-        base.join(per_case, "case_id")
-        .filter(
-            F.col("floor").isNull()
-            | F.when(settled, above).otherwise(F.col("lower") + room + 1e-8 >= F.col("floor.score"))
-        )
-        .select("case_id", "subject", "lower", "candidate_count")
-    )
-    kept = materialize(kept, "kept")
-    cross = (
-        kept.select("case_id", "subject")
-        .join(weighted.select("case_id", "query", "n_present"), "case_id")
-        .join(hits.select("subject", "query"), ["subject", "query"], "left_anti")
-    )
-    gains = (
-        cross.join(_climb(cross.select("subject", "query").distinct(), chain, index), ["subject", "query"])
-        .groupBy("case_id", "subject")
-        .agg(F.sum(F.col("ic") / F.col("n_present")).alias("gain"))
-    )
-    scores = kept.join(gains, ["case_id", "subject"], "left").select(
-        "case_id", "subject",
-        (F.round(F.col("lower") + F.coalesce("gain", F.lit(0.0)), DIGITS) + F.lit(0.0)).alias("score"),
-        "candidate_count",
-    )
-    return rank(scores, limit)
-
-
 def candidate_scores(observations: DataFrame, index: SemanticIndex) -> DataFrame:
     """``(case_id, subject, score)`` of every candidate; scores rounded so ties are stable."""
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evisift.operators import hierarchy, semantic
+from evisift.operators import hierarchy, ranking, semantic
 from evisift.plans import testbed as tb
 from evisift.plans.registry import query
 
@@ -22,13 +22,21 @@ def index(spark, sf):
 _INDEX: dict = {}
 
 
+def lists(spark, sf):
+    """Bitmaps and lists of subjects for ranking, built once per corpus."""
+    key = (spark.sparkContext.applicationId, sf, "lists")
+    if key not in _INDEX:
+        _INDEX[key] = ranking.build_index(index(spark, sf))
+    return _INDEX[key]
+
+
 def ranked(spark, sf):
     """Ranking that other queries start from; the ranking query itself computes it anew."""
     return tb._memo(spark, sf, "ranked", lambda: new_ranked(spark, sf))
 
 
 def new_ranked(spark, sf):
-    return semantic.top_candidates(tb.observations(spark, sf), index(spark, sf))
+    return ranking.top_candidates(tb.observations(spark, sf), lists(spark, sf))
 
 
 def r9(col):
@@ -155,9 +163,7 @@ def v4(spark, sf):
 )
 def m7(spark, sf):
     """Candidate generation, summed per case."""
-    return semantic.candidate_pairs(tb.observations(spark, sf), index(spark, sf)).groupBy("case_id").agg(
-        F.count("subject").alias("candidates"), F.min("subject").alias("first"), F.max("subject").alias("last")
-    )
+    return ranking.candidate_summary(tb.observations(spark, sf), lists(spark, sf))
 
 
 @query(
