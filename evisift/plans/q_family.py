@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evisift.operators import family, questions, resolve
+from evisift.operators import family, matched, questions, resolve, signatures
 from evisift.plans import oracle
 from evisift.plans import testbed as tb
 from evisift.plans.q_semantic import index, r9, ranked as semantic_ranked
@@ -75,15 +75,22 @@ def scorable(spark, sf):
 
 
 def scores(spark, sf):
-    return tb._memo(spark, sf, "family_scores", lambda: new_scores(spark, sf))
+    """Scores per pattern of observations; the ranking query itself computes them anew."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SCORES:
+        _SCORES[key] = new_scores(spark, sf)
+    return _SCORES[key]
+
+
+_SCORES: dict = {}
 
 
 def new_scores(spark, sf):
-    return family.score_candidates(family.family_means(tb.observations(spark, sf), scorable(spark, sf)), tb.FAMILY_WEIGHTS)
+    return signatures.score(tb.observations(spark, sf), scorable(spark, sf), tb.FAMILY_WEIGHTS)
 
 
 def top(spark, sf):
-    return tb._memo(spark, sf, "family_top", lambda: family.rank(scores(spark, sf)))
+    return tb._memo(spark, sf, "family_top", lambda: signatures.ranked(scores(spark, sf)))
 
 
 def leader_rows(spark, sf):
@@ -113,23 +120,16 @@ def rare_scope(spark, sf):
     return family.release_scope(bridge, "rel:F", "rel:O", ["1-URGENT", "2-HIGH"])
 
 
-def general_match(spark, sf):
+def general_inputs(spark, sf):
+    """Observations of the general scope, all as symptoms, and the statements that match them."""
     scope = general_scope(spark, sf)
-    obs = family.scope_observations(
-        tb.observations(spark, sf), scope, force_relation="has_symptom"
-    )
-    rows = resolve.canonical_assertions(scope).join(universe(spark, sf), "subject", "left_semi")
-    return family.matching_candidates(obs, rows)
-
-
-def variation(spark, sf):
-    return tb._memo(spark, sf, "variation", lambda: new_variation(spark, sf))
+    obs = family.scope_observations(tb.observations(spark, sf), scope, force_relation="has_symptom")
+    return obs, resolve.canonical_assertions(scope).join(universe(spark, sf), "subject", "left_semi")
 
 
-def new_variation(spark, sf):
-    return questions.documentation_variation(
-        general_match(spark, sf), resolve.canonical_assertions(general_scope(spark, sf)), tb.observations(spark, sf)
-    )
+def variation(spark, sf, limit):
+    obs, rows = general_inputs(spark, sf)
+    return matched.questions_by_variation(obs, resolve.canonical_assertions(general_scope(spark, sf)), rows, tb.observations(spark, sf), limit)
 
 
 @query(
@@ -151,10 +151,7 @@ def m14(spark, sf):
 )
 def m15(spark, sf):
     """Candidates sharing an assessed finding and relation, counted per case."""
-    pairs = family.matching_candidates(tb.observations(spark, sf), scorable(spark, sf))
-    return pairs.groupBy("case_id").agg(
-        F.count("subject").alias("candidates"), F.min("subject").alias("first")
-    )
+    return signatures.match_summary(tb.observations(spark, sf), scorable(spark, sf))
 
 
 @query(
@@ -193,10 +190,7 @@ def m16(spark, sf):
 )
 def m17(spark, sf):
     """Contributions of all statements about observed findings, counted per finding and reason."""
-    rows = family.contributions(tb.observations(spark, sf), scorable(spark, sf))
-    return rows.groupBy("finding", "reason").agg(
-        F.count("*").alias("rows"), F.count_distinct("subject").alias("subjects")
-    )
+    return signatures.contribution_counts(tb.observations(spark, sf), scorable(spark, sf))
 
 
 @query(
@@ -207,11 +201,7 @@ def m17(spark, sf):
 )
 def m18(spark, sf):
     """Family-normalised scores of every case and candidate, summed per candidate."""
-    return scores(spark, sf).groupBy("subject").agg(
-        F.count("*").alias("cases"), (F.round(F.sum("score"), 6) + F.lit(0.0)).alias("total"),
-        F.min("score").alias("low"), F.max("score").alias("high"),
-        F.sum("evaluated").cast("bigint").alias("evaluated"),
-    )
+    return signatures.subject_totals(scores(spark, sf))
 
 
 @query(
@@ -219,7 +209,7 @@ def m18(spark, sf):
     "SELECT case_id, subject, score, evaluated, rank FROM fx_family_ranked WHERE rank <= 20",
 )
 def m19(spark, sf):
-    return family.rank(new_scores(spark, sf))
+    return signatures.ranked(new_scores(spark, sf))
 
 
 @query(
@@ -312,7 +302,7 @@ def m22(spark, sf):
         F.count("*").alias("supported"), F.count_if(known).alias("assessed"),
         (F.count_if(known) / F.count("*")).alias("ratio"),
     )
-    found = scores(spark, sf).groupBy("case_id").agg(F.count("*").alias("candidates"))
+    found = signatures.candidate_counts(scores(spark, sf))
     rows = per.join(found, "case_id", "left").withColumn(
         "candidates", F.coalesce("candidates", F.lit(0))
     ).withColumn("population_reason", F.lit(None).cast("string"))
@@ -472,13 +462,13 @@ def m30(spark, sf):
         F.lit("semantic").alias("strategy"), F.max("candidate_count").alias("candidates"),
         leaders(None).alias("top5"),
     )
-    counts = scores(spark, sf).groupBy("case_id").agg(F.count("*").alias("candidates"))
+    counts = signatures.candidate_counts(scores(spark, sf))
     b = (
         top(spark, sf).filter(F.col("rank") <= 5).groupBy("case_id").agg(leaders(None).alias("top5"))
         .join(counts, "case_id")
         .select("case_id", F.lit("family").alias("strategy"), "candidates", "top5")
     )
-    c = general_match(spark, sf).groupBy("case_id").agg(F.count("*").alias("candidates")).select(
+    c = signatures.match_summary(*general_inputs(spark, sf)).select(
         "case_id", F.lit("general_scope").alias("strategy"), "candidates", F.lit("").alias("top5")
     )
     return a.unionByName(b).unionByName(c)
@@ -577,7 +567,7 @@ def q4(spark, sf):
     "SELECT case_id, finding, documented, matched, variation FROM fx_variation WHERE step = 1",
 )
 def q5(spark, sf):
-    return questions.ordered_by_variation(new_variation(spark, sf)).drop("step")
+    return variation(spark, sf, 1).drop("step")
 
 
 @query(
@@ -597,10 +587,7 @@ def q6(spark, sf):
     """Opposing finding inside the matched candidates of a release scope."""
     scope = rare_scope(spark, sf)
     rows = family.scorable(scope, allowed(spark, sf), universe(spark, sf))
-    matched = family.matching_candidates(tb.observations(spark, sf), rows)
-    return questions.opposing_inside_matched(
-        matched, resolve.canonical_assertions(scope), tb.observations(spark, sf)
-    )
+    return matched.question_by_opposition(tb.observations(spark, sf), resolve.canonical_assertions(scope), rows, tb.observations(spark, sf))
 
 
 @query(
@@ -657,6 +644,6 @@ def q9(spark, sf):
 )
 def q10(spark, sf):
     """Six questions in a row, each answered "unknown"."""
-    return questions.ordered_by_variation(variation(spark, sf), 6).select(
+    return variation(spark, sf, 6).select(
         "case_id", "step", "finding", "variation"
     )
