@@ -2,60 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import os
-import tarfile
 import uuid
-import zipfile
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from evisift.session import checkpoint_dir
-
-BATCH = 20_000
-
-
-def _member(path: str, content: bytes, member: str | None, suffix: str):
-    if path.lower().endswith(".zip"):
-        archive = zipfile.ZipFile(io.BytesIO(content))
-        names = [i.filename for i in archive.infolist() if not i.is_dir() and i.filename.lower().endswith(suffix)]
-        if len(names) != 1 or os.path.basename(names[0]) != names[0]:
-            raise ValueError(f"{path} must hold exactly one plain {suffix} member")
-        return archive.open(names[0])
-    if path.lower().endswith((".tar.gz", ".tgz")):
-        archive = tarfile.open(fileobj=io.BytesIO(content), mode="r:gz")
-        found = archive.extractfile(member) if member in archive.getnames() else None
-        if found is None:
-            raise ValueError(f"{path} lacks {member}")
-        return found
-    if path.lower().endswith(".gz"):
-        return gzip.open(io.BytesIO(content))
-    return io.BytesIO(content)
-
-
-def member_lines(
-    spark: SparkSession, path: str, *, member: str | None = None, suffix: str = ""
-) -> DataFrame:
-    """``(ordinal, value)`` lines of one archive member; each archive is one task, archives run in parallel."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                with _member(row.path, row.content, member, suffix) as source:
-                    lines = io.TextIOWrapper(source, encoding="utf-8", newline="\n")
-                    first, chunk = 1, []
-                    for line in lines:
-                        chunk.append(line.rstrip("\r\n"))
-                        if len(chunk) == BATCH:
-                            yield pd.DataFrame({"ordinal": range(first, first + len(chunk)), "value": chunk})
-                            first, chunk = first + len(chunk), []
-                    yield pd.DataFrame({"ordinal": range(first, first + len(chunk)), "value": chunk})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "ordinal bigint, value string")
+from evisift.sources.blocks import member_lines
 
 
 def unpack_lines(spark: SparkSession, path: str, *, member: str | None = None, suffix: str = "") -> str:

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evisift.functions import codes, ids
-
-SCHEMA = """
-graphs array<struct<
-  nodes array<struct<id string, type string, lbl string, meta struct<
-    deprecated boolean,
-    synonyms array<struct<pred string, val string>>,
-    basicPropertyValues array<struct<pred string, val string>>,
-    xrefs array<struct<val string>>>>>,
-  edges array<struct<sub string, pred string, obj string>>>>
+from evisift.sources import blocks
+
+# Nodes and edges of a graph are told apart by their fields.
+ELEMENT = """
+id string, type string, lbl string, meta struct<
+  deprecated boolean,
+  synonyms array<struct<pred string, val string>>,
+  basicPropertyValues array<struct<pred string, val string>>,
+  xrefs array<struct<val string>>>,
+sub string, pred string, obj string
 """
+# The document, its list of graphs, a graph, its list of nodes or edges, a node or edge.
+ELEMENT_DEPTH = 5
 MAPPED_PREFIXES = ("DOID:", "MESH:", "MONDO:")
 
 
@@ -32,14 +35,15 @@ class Ontology:
     unresolved_edge: DataFrame
 
 
-def read_graph(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_graph(spark: SparkSession, path: str, **options: int) -> DataFrame:
+    """Nodes and edges of all graphs of an OBO Graphs document, read in byte ranges."""
+    elements = blocks.json_elements(spark, path, ELEMENT_DEPTH, **options)
+    return elements.select(F.from_json("value", ELEMENT, {"mode": "FAILFAST"}).alias("n")).select("n.*")
 
 
 def _nodes(graph: DataFrame, extended: bool) -> DataFrame:
-    return graph.select(F.explode("graphs").alias("g")).select(F.explode("g.nodes").alias("n")).select(
-        codes.compact(F.col("n.id"), extended=extended).alias("code"), F.col("n.type").alias("type"),
-        F.col("n.lbl").alias("label"), F.col("n.meta").alias("meta"),
+    return graph.filter(F.col("id").isNotNull() & F.col("sub").isNull()).select(
+        codes.compact(F.col("id"), extended=extended).alias("code"), "type", F.col("lbl").alias("label"), "meta"
     )
 
 
@@ -84,9 +88,8 @@ def scan(
         .unionByName(replaced.select("concept_id", "target", F.lit("replaced_by").alias("relation")))
         .distinct()
     )
-    pairs = graph.select(F.explode("graphs").alias("g")).select(F.explode("g.edges").alias("e")).select(
-        codes.compact(F.col("e.sub")).alias("child_code"), F.col("e.pred").alias("pred"),
-        codes.compact(F.col("e.obj")).alias("parent_code"),
+    pairs = graph.filter(F.col("sub").isNotNull()).select(
+        codes.compact(F.col("sub")).alias("child_code"), "pred", codes.compact(F.col("obj")).alias("parent_code")
     ).filter(
         (F.col("pred") == "is_a") & F.col("child_code").startswith(prefix) & F.col("parent_code").startswith(prefix)
     ).drop("pred").distinct()

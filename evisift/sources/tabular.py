@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evisift.functions import codes, frequency, ids
 from evisift.session import materialize
-from evisift.sources.archives import member_lines
+from evisift.sources.blocks import member_lines
 
 # The rows kept from a knowledge-graph edge file.
 EDGE_PREDICATE = "biolink:has_phenotype"

@@ -84,7 +84,9 @@ def association_problems(rows: DataFrame) -> DataFrame:
 
 
 def scan_descriptors(spark: SparkSession, path: str) -> DataFrame:
-    """Descriptor with its terms, preferred first, and sorted tree numbers; gzip is read as is."""
+    """Descriptor with its terms, preferred first, and sorted tree numbers; gzip is unpacked as a stream first."""
+    if path.lower().endswith(".gz"):
+        path = unpack_lines(spark, path)
     rows = _read(spark, path, "DescriptorRecord", DESCRIPTOR_SCHEMA)
     name = F.btrim("DescriptorName.String")
     listed = F.flatten(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evisift.operators import curation, resolve
 from evisift.plans import build
-from evisift.sources import archives, jsonl, ontology, sinks, snapshot, tabular, xmlscan
+from evisift.sources import blocks, jsonl, ontology, sinks, snapshot, tabular, xmlscan
 
 
 def uri(code):
@@ -165,7 +165,48 @@ def test_graph_edges(spark, tmp_path):
     assert by["f2"]["family"] == "shared-family" and by["f2"]["polarity"] == "excluded"
     assert by["f1"]["dependency_type"] == "derived_from"
     with pytest.raises(Exception):
-        archives.member_lines(spark, str(tmp_path / "kg.tar.gz"), member="none.tsv").count()
+        blocks.member_lines(spark, str(tmp_path / "kg.tar.gz"), member="none.tsv").count()
+
+
+@pytest.mark.parametrize("name", ["a.txt.gz", "a.zip", "a.tar.gz"])
+def test_members_come_in_batches_of_lines(spark, tmp_path, name):
+    """About 60 MB of lines unpacked as a stream: no batch holds more than 7000 of them."""
+    lines = [f"{i} {'é' * (i % 300)}" for i in range(200_000)]
+    data = "\r\n".join(lines).encode()
+    path = tmp_path / name
+    if name.endswith("zip"):
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("m.txt", data)
+    elif name.endswith("tar.gz"):
+        with tarfile.open(path, "w:gz", compresslevel=1) as t:
+            for member, body in (("other", b"x" * 5000), ("m.txt", data)):
+                info = tarfile.TarInfo(member)
+                info.size = len(body)
+                t.addfile(info, io.BytesIO(body))
+    else:
+        path.write_bytes(gzip.compress(data, 1))
+    got = blocks.member_lines(spark, str(path), member="m.txt" if "tar" in name else None, suffix=".txt", batch=7000)
+    assert got.agg(F.count("value"), F.sum("ordinal"), F.sum(F.length("value"))).first()[:] == (200_000, 200_000 * 200_001 // 2, sum(map(len, lines)))
+    sizes = [len(b) for b in blocks.MemberReader({"path": str(path), "member": "m.txt", "suffix": ".txt", "batch": "7000"}).read(blocks.FilePart(str(path)))]
+    assert max(sizes) == 7000 and len(sizes) == 29
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
+def test_json_elements_from_byte_ranges(spark, tmp_path, block):
+    """Brackets and quotes inside strings, runs of backslashes and elements over many ranges."""
+    odd = ["{[", 'a"b', "\\", '\\"', "}]", "é😀", "\\\\", ""]
+    inner = [{"id": f"n{i}", "lbl": odd[i % len(odd)] * (i % 3 + 1), "meta": {"x": [{"y": odd[(i * 3) % len(odd)]}]}} for i in range(12)]
+    document = {"graphs": [{"meta": {"note": "{\"graphs\": ["}, "nodes": inner, "edges": [{"sub": "a", "obj": "}"}]}, {"nodes": inner[:2], "edges": []}]}
+    for form in ({"indent": 1}, {"ensure_ascii": False, "separators": (",", ":")}):
+        path = tmp_path / f"{len(form)}.json"
+        path.write_text(json.dumps(document, **form))
+        if block == 1 and len(form) == 1:
+            continue  # the same again in many more ranges
+        got = sorted(r["value"] for r in blocks.json_elements(spark, str(path), 5, block=max(block, 3)).collect())
+        assert sorted(map(json.dumps, map(json.loads, got))) == sorted(map(json.dumps, [*inner, *inner[:2], {"sub": "a", "obj": "}"}]))
+    with pytest.raises(ValueError):
+        (tmp_path / "cut.json").write_text('{"graphs": [{"nodes": [{"id": 1}')
+        blocks.json_elements(spark, str(tmp_path / "cut.json"), 5)
 
 
 def test_rf2(spark, tmp_path):
