@@ -334,6 +334,21 @@ def test_curation_gate(spark, tmp_path):
     assert skipped == {"artifact_verification_skipped"}
 
 
+def test_publishing_moves_the_manifest_only_without_blockers(spark, tmp_path):
+    data, seg, files = package(spark, tmp_path)
+    folder = str(tmp_path / "published")
+    assert curation.published(spark, folder) is None
+    refused = curation.publish({**data, "sources": data["sources"].withColumn("redistribution", F.lit("unknown"))}, seg, files, folder)
+    assert not refused["blockers"].isEmpty() and curation.published(spark, folder) is None
+    assert curation.publish(data, seg, files, folder)["blockers"].isEmpty()
+    first = [tuple(r) for r in curation.published(spark, folder).collect()]
+    assert len(first) == 1 and curation.manifest(spark, folder).first()["rows"] == 1
+    curation.publish({**data, "manifest": data["manifest"].withColumn("status", F.lit("draft"))}, seg, files, folder)
+    assert [tuple(r) for r in curation.published(spark, folder).collect()] == first
+    curation.publish(data, seg, files, folder)
+    assert [r["sequence"] for r in curation.manifest(spark, folder).orderBy("sequence").collect()] == [1, 2]
+
+
 def test_pending_package_tables(spark, tmp_path):
     data, _, _ = package(spark, tmp_path, reviewed=False)
     tables = build.canonicalize_package(data, assertions_sha256="ff", prefix="pkg")
