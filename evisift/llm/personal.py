@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evisift.llm import arrays
-from evisift.llm.spans import Span, digest, free, listed
+from evisift.llm.spans import Marks, Span, digest, listed
 from evisift.session import materialize
 
 KINDS = ("email", "ip", "card", "phone", "account")
@@ -101,17 +101,23 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str, base: list[Span]) -> list[Span]:
     """Looser candidates that overlap no base span and none before them, and the base spans."""
-    out = list(base)
+    out, marks = list(base), Marks(len(text), base)
+
+    def take(span: Span) -> None:
+        if marks.free(span):
+            marks.add(span)
+            out.append(span)
+
     lower = text.lower()
     if any(w in lower for w in ("dot", "punto", "punkt", "point")):
-        out += [s for m in _SPELLED.finditer(text) if free(s := ("email", *m.span()), out)]
+        for m in _SPELLED.finditer(text):
+            take(("email", *m.span()))
     for m in _ACCOUNT.finditer(text):
-        if free(s := ("account", *m.span()), out):
-            out.append(s)
+        take(("account", *m.span()))
     for m in _GROUPED.finditer(text):
         kind = "card" if len(_digits(m[0])) >= 14 else "phone"
-        if len(_digits(m[0])) >= 7 and free(s := (kind, *m.span()), out):
-            out.append(s)
+        if len(_digits(m[0])) >= 7:
+            take((kind, *m.span()))
     return out
 
 

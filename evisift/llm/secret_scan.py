@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evisift.llm import arrays
-from evisift.llm.spans import Span, digest, free, listed
+from evisift.llm.spans import Marks, Span, digest, listed
 
 KINDS = ("assign", "access", "hex", "novel")
 BASE_KINDS = KINDS[:3]
@@ -76,9 +76,10 @@ class Novelty:
         if not _SENSITIVE.search(text):
             return []
         out: list[Span] = []
+        marks = Marks(len(text), base)
         for m in _STRING.finditer(text):
             a, b = m.span()
-            if free(("novel", a, b), base) and _SENSITIVE.search(text, max(0, a - SENSITIVE_CHARS), a) and self.added(text, a, b) >= NOVEL * (b - a):
+            if marks.free(("novel", a, b)) and _SENSITIVE.search(text, max(0, a - SENSITIVE_CHARS), a) and self.added(text, a, b) >= NOVEL * (b - a):
                 out.append(("novel", a, b))
         return out
 

@@ -17,6 +17,17 @@ def digest(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return hashlib.sha256(listed(spans, kinds).encode()).hexdigest()
 
 
-def free(span: Span, taken: list[Span]) -> bool:
-    """Whether the span overlaps none of the others."""
-    return all(span[2] <= a or b <= span[1] for _, a, b in taken)
+class Marks:
+    """Characters of a text that spans have taken; a look costs as much as the span looked for is long."""
+
+    def __init__(self, size: int, spans: list[Span]) -> None:
+        self.taken = bytearray(size)
+        for span in spans:
+            self.add(span)
+
+    def add(self, span: Span) -> None:
+        self.taken[span[1] : span[2]] = b"\x01" * (span[2] - span[1])
+
+    def free(self, span: Span) -> bool:
+        """Whether the span overlaps none of the others."""
+        return self.taken.find(1, span[1], span[2]) < 0

@@ -419,3 +419,19 @@ def test_word_dictionary_counts_every_occurrence(spark, monkeypatch):
 )
 def test_no_rows_give_no_rows(spark, run):
     assert run(documents(spark, odd_rows()).limit(0)).isEmpty()
+
+
+def test_dense_spans_of_a_long_text_take_linear_time():
+    """5 MB of digit groups that all are candidates, and 3 MB of secrets."""
+    import time
+
+    took = []
+    for n in (50_000, 350_000):
+        text = "12 345 67 89; " * n
+        start = time.process_time()
+        assert len(personal.candidates(text, personal.base_spans(text))) == n
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * took[0] + 1
+    novelty = secret_scan.Novelty(secret_scan.CODE_WORDS)
+    text = 'password="hunter22abcdef99" ' * 100_000
+    assert novelty.spans(text, secret_scan.base_spans(text)) == []
