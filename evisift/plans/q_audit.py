@@ -471,6 +471,42 @@ def r4(spark, sf):
     )
 
 
+LOG = ["item", "reviewer", "stage", "decision", "category", "sequence", "event_hash"]
+
+
+@query("r4_individual_export", "SELECT item, reviewer, stage, decision, category, sequence, event_hash FROM fx_review WHERE stage <> 'adjudication'")
+def r4_individual(spark, sf):
+    log = events(spark, sf)
+    return review.export(log, log, "individual_decisions").select(*LOG)
+
+
+@query("r4_adjudication_export", "SELECT item, reviewer, stage, decision, category, sequence, event_hash FROM fx_review WHERE stage = 'adjudication'")
+def r4_adjudications(spark, sf):
+    log = events(spark, sf)
+    return review.export(log, log, "adjudications").select(*LOG)
+
+
+@query(
+    "r4_summary_export",
+    """SELECT count(*) AS total, count(*) FILTER (reviewed) AS reviewed, count(*) FILTER (agreement) AS agreement, count(*) FILTER (disagreement) AS disagreement,
+      count(*) FILTER (deferred) AS deferred, count(*) FILTER (unresolved) AS unresolved, count(*) FILTER (adjudicated) AS adjudicated FROM fx_agreement""",
+)
+def r4_summary(spark, sf):
+    log = events(spark, sf)
+    return review.export(log, review.agreement(log), "summary")
+
+
+@query(
+    "r4_control_export",
+    "SELECT decision, count(*) AS reviews FROM fx_latest WHERE item IN (SELECT item FROM fx_review WHERE category = 'minor') GROUP BY 1",
+)
+def r4_control(spark, sf):
+    """Current reviews of the items with any minor event, which stand in for a control sample."""
+    log = events(spark, sf)
+    samples = log.filter("category = 'minor'").select("item").distinct()
+    return review.export(log, log, "control", samples)
+
+
 @query(
     "r5_current_decision",
     """SELECT item, stage, arg_max(decision, sequence) AS decision, max(sequence) AS sequence,

@@ -535,10 +535,10 @@ def q3(spark, sf):
 
 @query(
     "q3_next_per_case",
-    f"""WITH {_OPPOSING}, c AS (SELECT DISTINCT case_id FROM fx_obs),
+    f"""WITH {_OPPOSING}, c AS (SELECT case_id, count(DISTINCT finding) AS k FROM fx_obs GROUP BY 1),
       top AS (SELECT *, row_number() OVER (ORDER BY separation DESC, documented DESC, finding) AS pos FROM o),
       b AS (SELECT c.case_id, top.*, row_number() OVER (PARTITION BY c.case_id ORDER BY pos) AS n
-        FROM c, top WHERE pos <= 40 AND NOT EXISTS (SELECT 1 FROM fx_obs x WHERE x.case_id = c.case_id
+        FROM c JOIN top ON pos <= k + 1 WHERE NOT EXISTS (SELECT 1 FROM fx_obs x WHERE x.case_id = c.case_id
           AND x.finding = top.finding))
     SELECT case_id, finding, separation, documented FROM b WHERE n = 1""",
 )
