@@ -116,29 +116,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(docs, secret_scan.word_dictionary(docs))
 
 
-OP9 = r"""
-WITH l AS (
-  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '\n|[.!?] |(?s:.+?)(?:\n|[.!?] |\z)') AS lines FROM documents
-), u AS (SELECT r, i, lines[i] AS line, len(lines) AS n FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l)),
-m AS (SELECT *, md5(line) AS m, length(line) >= 200 AS long FROM u),
-h AS (SELECT *, ascii(m) * 961 + ascii(m[2]) * 31 + ascii(m[3]) AS h FROM m),
-t AS (SELECT *, (coalesce(lag(h) OVER (PARTITION BY r ORDER BY i), 0) * 31 + h) % 3 = 0 AS hit FROM h),
-c AS (
-  SELECT *, i = n OR long OR coalesce(lead(long) OVER w, false) OR (hit AND NOT coalesce(lag(hit) OVER w, false)) AS cut
-  FROM t WINDOW w AS (PARTITION BY r ORDER BY i)
-), g AS (SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM c),
-k AS (SELECT r, pos, count(*) AS lines, string_agg(line, '' ORDER BY i) AS body FROM g GROUP BY r, pos),
-q AS (SELECT k.*, doc_id, length(body) >= CASE WHEN k.lines > 1 THEN 60 ELSE 200 END AS may FROM k JOIN l USING (r)),
-o AS (SELECT *, may AND row_number() OVER (PARTITION BY trim(body, ' ' || chr(10)), may ORDER BY doc_id, pos) > 1 AS gone FROM q),
-s AS (
-  SELECT r, CAST(sum(lines) AS BIGINT) AS n_lines, CAST(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS removed_lines,
-    coalesce(string_agg(body, '' ORDER BY pos) FILTER (NOT gone), '') AS text FROM o GROUP BY r
-)
-SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines, coalesce(s.text, '') AS text FROM l LEFT JOIN s USING (r)
-"""
-
-
-@query("op9_line_dedup", OP9)
+@query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
 

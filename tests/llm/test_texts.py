@@ -1,10 +1,13 @@
+import bisect
 import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from evisift.llm import arrays, decontaminate, exact_dedup, jaccard, line_dedup, personal, quality, secret_scan, tokens, toxicity
@@ -236,37 +239,69 @@ def test_copies_drop_but_first_rows_stay(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 4, 6, 7, 7, 9, 10, 11, 12, 13]
 
 
-def lines_left(rows):
-    texts = []
-    for i, t in rows:
-        lines, chunks, start = re.findall(r"\n|[.!?] |(?s:.+?)(?:\n|[.!?] |\Z)", t or ""), [], 0
-        digests = [hashlib.md5(x.encode()).hexdigest() for x in lines]
-        h = [ord(d[0]) * 961 + ord(d[1]) * 31 + ord(d[2]) for d in digests]
-        hit = [((h[k - 1] if k else 0) * 31 + h[k]) % 3 == 0 for k in range(len(lines))]
-        for k in range(len(lines)):
-            near = len(lines[k]) >= 200 or (k + 1 < len(lines) and len(lines[k + 1]) >= 200)
-            if k == len(lines) - 1 or near or (hit[k] and not (k and hit[k - 1])):
-                chunks.append(lines[start : k + 1])
-                start = k + 1
-        texts.append((i, chunks))
-
-    def core(chunk):
-        return "".join(chunk).strip(" \n")
-
-    def may(chunk):
-        return len("".join(chunk)) >= (60 if len(chunk) > 1 else 200)
+def least(values, width):
+    """Places of the first least value of every window, shorter ones at the edges included."""
+    return {min(range(max(0, i), min(len(values), i + width)), key=lambda k: (values[k], k)) for i in range(1 - width, len(values)) if values}
+
+
+def one_hash(data):
+    return arrays.span_hashes(arrays.BYTE_VALUES[np.frombuffer(data, dtype=np.uint8)], np.array([0]), np.array([len(data)]))
 
+
+def lines_and_spans(body):
+    words = [m.span() for m in re.finditer(rb"\S+", body)]
+    soft = least([int(one_hash(body[s:e])[0]) >> 1 for s, e in words], 5)
+    lines, first = [], 0
+    for k, (s, e) in enumerate(words):
+        gap = body[e : words[k + 1][0]] if k + 1 < len(words) else b"\n"
+        if k in soft or body[e - 1 : e] in (b".", b"!", b"?") or b"\n" in gap:
+            lines.append((words[first][0], e))
+            first = k + 1
+    own = [one_hash(body[s:e]) for s, e in lines]
+    rolled = [int(arrays.mix(h * np.uint64(31) + (own[k - 1] if k else np.uint64(0)))[0]) >> 1 for k, h in enumerate(own)]
+    ends = sorted(least(rolled, 4) | ({len(lines) - 1} if lines else set()))
+    spans = []
+    for a in [0, *[e + 1 for e in ends[:-1]]] if ends else []:
+        for b in ends[bisect.bisect_left(ends, a) :]:
+            size = lines[b][1] - lines[a][0]
+            if (size >= 60 and b > a) or size >= 200:
+                spans.append((lines[a][0], lines[b][1]))
+                break
+    return lines, spans
+
+
+def lines_left(rows):
+    texts = [(-1 if i is None else i, (t or "").encode()) for i, t in rows]
+    cut = [lines_and_spans(body) for _, body in texts]
+    marks = [np.array(xxhash.xxh64_intdigest(body, seed=42), dtype=np.uint64).view(np.int64).item() for _, body in texts]
     first = {}
-    for i, chunks in texts:
-        for pos, c in enumerate(chunks):
-            at = (i if i is not None else -1, pos)
-            if may(c):
-                first[core(c)] = min(first.get(core(c), at), at)
+    for n, (i, body) in enumerate(texts):
+        for s, e in cut[n][1]:
+            at = (i, marks[n], s, body)
+            first[body[s:e]] = min(first.get(body[s:e], at), at)
     out = Counter()
-    for i, chunks in texts:
-        left = [c for pos, c in enumerate(chunks) if not may(c) or first[core(c)] == (i if i is not None else -1, pos)]
-        n, rest = sum(map(len, chunks)), sum(map(len, left))
-        out[i, n, n - rest, "".join("".join(c) for c in left)] += 1
+    for n, (i, body) in enumerate(texts):
+        lines, spans = cut[n]
+        late = [(s, e) for s, e in spans if first[body[s:e]] != (i, marks[n], s, body)]
+        gone = bytearray(len(body))
+        for k, (s, e) in enumerate(late):
+            _, _, fs, other = first[body[s:e]]
+            fe, a, b = fs + e - s, s, e
+            if k == 0 or late[k - 1][1] < s:
+                for own, its in list(zip(re.findall(rb"\S+\s+", body[:s])[::-1], re.findall(rb"\S+\s+", other[:fs])[::-1]))[:40]:
+                    if own != its:
+                        break
+                    a -= len(own)
+            if k == len(late) - 1 or late[k + 1][0] > e:
+                for own, its in list(zip(re.findall(rb"\s+\S+", body[e:]), re.findall(rb"\s+\S+", other[fe:])))[:40]:
+                    if own != its:
+                        break
+                    b += len(own)
+            b += len(re.match(rb"\s*", body[b:])[0])
+            gone[a:b] = b"\1" * (b - a)
+        text = bytes(c for c, g in zip(body, gone) if not g).decode()
+        removed = sum(all(gone[s:e]) for s, e in lines)
+        out[None if i < 0 else i, len(lines), removed, text] += 1
     return out
 
 
@@ -274,7 +309,7 @@ def passage(seed, sentences=14):
     return " ".join(f"Sentence {seed} number {k} has a few words that belong to it." for k in range(sentences))
 
 
-def test_line_chunks_equal_plain_version(spark):
+def test_repeated_passages_equal_plain_version(spark):
     shared = "\n".join(f"{SENTENCE} {i}" for i in range(6))
     rows = [*odd_rows(), (40, f"own start\n{shared}\nown end"), (41, f"other\nlines\n{shared}"), (42, shared + "\n" + shared), (43, "x" * 250 + "\nshort"),
             (44, "y\n" + "x" * 250), (45, f"some words before {passage(1)} and after it"), (46, f"Quite other words. {passage(1)}"), (47, "...\n\n!! ? .  . a"), (48, f"mark \uffff inside. {passage(1)}")]
@@ -283,13 +318,39 @@ def test_line_chunks_equal_plain_version(spark):
 
 def test_passages_inside_lines_go_and_clean_texts_stay(spark):
     rows = [(i, f"Own words of text {i} come first and {i * 7} ones more {passage(3)} then {i} others follow. Bye.") for i in range(5)]
-    rows += [(100 + i, f"A common line.\nText {i} is clean. " + passage(50 + i)) for i in range(5)]
+    rows += [(100 + i, f"A common line.\nText {i} is clean. " + " ".join(f"w{i}x{k}" for k in range(80))) for i in range(5)]
     got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(documents(spark, rows)).collect()}
     for i in range(1, 5):
-        assert len(got[i]["text"]) < 0.7 * len(rows[i][1]) and got[i]["text"].startswith(f"Own words of text {i} ")
+        # "ones more" and "then" stand next to the passage in all texts
+        assert got[i]["text"] == f"Own words of text {i} come first and {i * 7} {i} others follow. Bye."
     assert all(got[i]["text"] == t and got[i]["removed_lines"] == 0 for i, t in rows if i == 0 or i >= 100)
 
 
+@pytest.mark.parametrize("marks", [True, False])
+def test_nearly_all_of_short_repeated_passages_goes(spark, marks):
+    """Passages of 51 words inside two texts each, with and without sentence marks: share of words that goes, and none else."""
+    rnd, rows, planted = random.Random(17), [], 200
+
+    def prose(n, tag):
+        return " ".join(f"{rnd.choice('abcdefgh')}{tag}{rnd.randrange(10**6)}" + ("." if marks and rnd.random() < 0.1 else "") for _ in range(n))
+
+    for k in range(planted):
+        shared = prose(51, "p")
+        rows += [(2 * k + j, f"{prose(rnd.randrange(3, 90), 'q')} {shared} {prose(rnd.randrange(3, 90), 'q')}") for j in range(2)]
+    got = {r["doc_id"]: r["text"].split() for r in line_dedup.drop_repeated_lines(documents(spark, rows)).collect()}
+    left = [sum(w[1] == "p" for w in got[2 * k + 1]) for k in range(planted)]
+    assert sum(n == 0 for n in left) >= 0.97 * planted
+    assert all([w for w in got[i] if w[1] == "q"] == [w for w in t.split() if w[1] == "q"] for i, t in rows)
+    assert all(got[i] == t.split() for i, t in rows if i % 2 == 0)
+
+
+def test_repeated_spans_of_random_rows_equal_plain_version(spark):
+    rnd = random.Random(5)
+    pool = [" ".join(rnd.choice(["ab", "cde.", "f\n", "ghij", "k!", "日本", "lmnopq"]) + str(rnd.randrange(4)) for _ in range(rnd.randrange(1, 60))) for _ in range(12)]
+    rows = [(rnd.choice([None, k, k // 2]), "  ".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 5)))) for k in range(60)]
+    assert Counter(map(tuple, line_dedup.drop_repeated_lines(documents(spark, rows)).collect())) == lines_left(rows)
+
+
 # classifiers
 
 
