@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,11 @@ from evisift.llm import arrays
 from evisift.session import materialize
 
 # Words of a line and lines of a chunk, at most.
-LINE_WORDS, CHUNK_LINES = 5, 4
+LINE_WORDS, CHUNK_LINES = 5, 6
 # A span that may go has two lines or more and so many bytes, or is one line of so many.
 LEAST_BYTES, LONG_BYTES = 60, 200
-# Words on either side that are compared where a repeated stretch ends; more than a chunk with its windows holds.
-AROUND_WORDS = 2 * LINE_WORDS * CHUNK_LINES
+# Words on either side that are compared where a repeated stretch ends: as many as a chunk holds at most.
+AROUND_WORDS = LINE_WORDS * CHUNK_LINES
 _ROLL = np.uint64(31)
 _MARKS = np.isin(np.arange(256), list(b".!?"))
 _BEFORE, _BEHIND = re.compile(rb"\S+\s+"), re.compile(rb"\s+\S+")
@@ -96,6 +97,28 @@ def _lists(column: pa.ListArray) -> tuple[pa.StructArray, np.ndarray]:
     return column.flatten(), np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in compressed form, as they move twice."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for rows, texts in arrays.slices(batches, "body"):
+        columns = [rows.column(0), rows.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([pack.compress(t) for t in texts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "size", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows and their texts, so many that the texts have about ``arrays.SLICE_BYTES``."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        total = np.cumsum(np.asarray(batch.column(batch.schema.get_field_index("size"))) + 1)
+        first = 0
+        while first < batch.num_rows:
+            reach = (total[first - 1] if first else 0) + arrays.SLICE_BYTES
+            last = max(first + 1, int(np.searchsorted(total, reach, side="right")))
+            rows = batch.slice(first, last - first)
+            yield rows, [unpack.decompress(t) for t in rows.column(rows.schema.get_field_index("packed")).to_pylist()]
+            first = last
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in arrays.slices(batches, "body"):
         lines = Lines(texts)
@@ -108,7 +131,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of every repeated span; with the words around it where it is a first one or what repeats ends there."""
     names = ["doc_id", "mark", "start", "stop", "hash", "late", "before", "bytes", "behind"]
-    for rows, texts in arrays.slices(batches, "body"):
+    for rows, texts in _unpacked(batches):
         hits, counts = _lists(rows.column(rows.schema.get_field_index("hits")))
         row, _ = arrays.runs(counts)
         start, stop = np.asarray(hits.field("start")), np.asarray(hits.field("stop"))
@@ -142,7 +165,7 @@ def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, texts in arrays.slices(batches, "body"):
+    for rows, texts in _unpacked(batches):
         gone, counts = _lists(rows.column(rows.schema.get_field_index("gone")))
         lines = Lines(texts)
         row, _ = arrays.runs(counts)
@@ -176,20 +199,21 @@ def drop_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     source = source.select("doc_id", F.xxhash64("body").alias("mark"), "body")
     places = materialize(source.mapInArrow(_places, "doc_id long, mark long, start long, stop long, hash long"), "line_spans")
 
-    at = F.struct("doc_id", "mark", "start")
-    repeated = places.groupBy("hash").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeated = materialize(repeated.select("hash", "first"), "repeated_spans")
-    # ids and marks of the two sides may both be null or equal by chance, so all three are compared
+    repeated = materialize(places.groupBy("hash").count().filter("count > 1").select("hash"), "repeated_hashes")
+    places = materialize(places.join(repeated, "hash"), "repeated_places")
+    first = places.groupBy("hash").agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"))
     late = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("start") == F.col("first.start")))
-    hits = places.join(repeated, "hash").select(
+    hits = places.join(first, "hash").select(
         F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), F.struct("start", "stop", "hash", late.alias("late")).alias("hit")
     )
     hits = hits.groupBy("own_id", "own_mark").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
 
+    packed = source.mapInArrow(_packed, "doc_id long, mark long, size long, packed binary")
+
     def with_texts(lists: DataFrame, how: str) -> DataFrame:
         # Without the hint small tables are joined another way than large ones, and only the latter split hot keys.
         same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))
-        return source.join(lists.hint("merge"), same, how).drop("own_id", "own_mark")
+        return packed.join(lists.hint("merge"), same, how).drop("own_id", "own_mark")
 
     spans = with_texts(hits, "inner").mapInArrow(
         _contexts, "doc_id long, mark long, start long, stop long, hash long, late boolean, before binary, bytes binary, behind binary"

@@ -250,7 +250,7 @@ def one_hash(data):
 
 def lines_and_spans(body):
     words = [m.span() for m in re.finditer(rb"\S+", body)]
-    soft = least([int(one_hash(body[s:e])[0]) >> 1 for s, e in words], 5)
+    soft = least([int(one_hash(body[s:e])[0]) >> 1 for s, e in words], line_dedup.LINE_WORDS)
     lines, first = [], 0
     for k, (s, e) in enumerate(words):
         gap = body[e : words[k + 1][0]] if k + 1 < len(words) else b"\n"
@@ -259,7 +259,7 @@ def lines_and_spans(body):
             first = k + 1
     own = [one_hash(body[s:e]) for s, e in lines]
     rolled = [int(arrays.mix(h * np.uint64(31) + (own[k - 1] if k else np.uint64(0)))[0]) >> 1 for k, h in enumerate(own)]
-    ends = sorted(least(rolled, 4) | ({len(lines) - 1} if lines else set()))
+    ends = sorted(least(rolled, line_dedup.CHUNK_LINES) | ({len(lines) - 1} if lines else set()))
     spans = []
     for a in [0, *[e + 1 for e in ends[:-1]]] if ends else []:
         for b in ends[bisect.bisect_left(ends, a) :]:
@@ -288,12 +288,12 @@ def lines_left(rows):
             _, _, fs, other = first[body[s:e]]
             fe, a, b = fs + e - s, s, e
             if k == 0 or late[k - 1][1] < s:
-                for own, its in list(zip(re.findall(rb"\S+\s+", body[:s])[::-1], re.findall(rb"\S+\s+", other[:fs])[::-1]))[:40]:
+                for own, its in list(zip(re.findall(rb"\S+\s+", body[:s])[::-1], re.findall(rb"\S+\s+", other[:fs])[::-1]))[: line_dedup.AROUND_WORDS]:
                     if own != its:
                         break
                     a -= len(own)
             if k == len(late) - 1 or late[k + 1][0] > e:
-                for own, its in list(zip(re.findall(rb"\s+\S+", body[e:]), re.findall(rb"\s+\S+", other[fe:])))[:40]:
+                for own, its in list(zip(re.findall(rb"\s+\S+", body[e:]), re.findall(rb"\s+\S+", other[fe:])))[: line_dedup.AROUND_WORDS]:
                     if own != its:
                         break
                     b += len(own)
