@@ -1,6 +1,6 @@
 """Repeated passages by content-defined chunks of lines, widened word by word.
 
-A line ends with a line break, a sentence mark, or after the word whose hash is least in some window of words; so a
+A line ends with a line break, a sentence mark, or after the word whose rolling hash with its left neighbour is least in some window of words; so a
 line holds at most ``LINE_WORDS`` words, also in prose without marks. A rolling hash over the hashes of two
 neighbouring lines, least in some window of lines, ends a chunk, so a chunk holds at most ``CHUNK_LINES`` lines and a
 passage is cut alike wherever it stands, but for a window at either edge. From every chunk's start a span runs to the
@@ -47,6 +47,13 @@ def least_in_window(values: np.ndarray, counts: np.ndarray, width: int) -> np.nd
     return chosen[place]
 
 
+def rolled(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hash over every value and its left neighbour, which the first of a group lacks; frequent values alone would end too much."""
+    before = np.append(np.uint64(0), hashes)[:-1].copy()
+    before[begin] = 0
+    return arrays.mix(hashes * _ROLL + before)
+
+
 class Lines:
     """Lines of a list of texts: byte spans in ``words.data`` and the text of each."""
 
@@ -55,7 +62,7 @@ class Lines:
         breaks = np.append(0, np.cumsum(words.data == ord("\n")))
         follows = np.append(words.start[1:], len(words.data))
         ends = (breaks[follows[: len(words.end)]] > breaks[words.end]) | _MARKS[words.data[words.end - 1]]
-        ends |= least_in_window(words.hashes(lower=False), words.count, LINE_WORDS)
+        ends |= least_in_window(rolled(words.hashes(lower=False), words.first[:-1][words.count > 0]), words.count, LINE_WORDS)
         ends[words.first[1:][words.count > 0] - 1] = True
         last = np.flatnonzero(ends)
         self.text = words.text[last]
@@ -66,10 +73,8 @@ class Lines:
         """Text, start and end in ``words.data``, and hash of every span that may go."""
         symbols = arrays.BYTE_VALUES[self.words.data]
         own = arrays.span_hashes(symbols, self.start, self.end)
-        before = np.append(np.uint64(0), own)[:-1].copy()
         begin = np.flatnonzero(np.diff(self.text, prepend=-1))
-        before[begin] = 0
-        cut = least_in_window(arrays.mix(own * _ROLL + before), self.count, CHUNK_LINES)
+        cut = least_in_window(rolled(own, begin), self.count, CHUNK_LINES)
         cut[np.append(begin[1:], len(own))[: len(begin)] - 1] = True
         last = np.flatnonzero(cut)
         first = np.append(0, last[:-1] + 1)[: len(last)]

@@ -248,9 +248,13 @@ def one_hash(data):
     return arrays.span_hashes(arrays.BYTE_VALUES[np.frombuffer(data, dtype=np.uint8)], np.array([0]), np.array([len(data)]))
 
 
+def rolls(hashes):
+    return [int(arrays.mix(h * np.uint64(31) + (hashes[k - 1] if k else np.uint64(0)))[0]) >> 1 for k, h in enumerate(hashes)]
+
+
 def lines_and_spans(body):
     words = [m.span() for m in re.finditer(rb"\S+", body)]
-    soft = least([int(one_hash(body[s:e])[0]) >> 1 for s, e in words], line_dedup.LINE_WORDS)
+    soft = least(rolls([one_hash(body[s:e]) for s, e in words]), line_dedup.LINE_WORDS)
     lines, first = [], 0
     for k, (s, e) in enumerate(words):
         gap = body[e : words[k + 1][0]] if k + 1 < len(words) else b"\n"
@@ -258,8 +262,7 @@ def lines_and_spans(body):
             lines.append((words[first][0], e))
             first = k + 1
     own = [one_hash(body[s:e]) for s, e in lines]
-    rolled = [int(arrays.mix(h * np.uint64(31) + (own[k - 1] if k else np.uint64(0)))[0]) >> 1 for k, h in enumerate(own)]
-    ends = sorted(least(rolled, line_dedup.CHUNK_LINES) | ({len(lines) - 1} if lines else set()))
+    ends = sorted(least(rolls(own), line_dedup.CHUNK_LINES) | ({len(lines) - 1} if lines else set()))
     spans = []
     for a in [0, *[e + 1 for e in ends[:-1]]] if ends else []:
         for b in ends[bisect.bisect_left(ends, a) :]:
