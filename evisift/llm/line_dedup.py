@@ -4,8 +4,8 @@ A line ends with a line break, a sentence mark, or after the word whose rolling
 line holds at most ``LINE_WORDS`` words, also in prose without marks. A rolling hash over the hashes of two
 neighbouring lines, least in some window of lines, ends a chunk, so a chunk holds at most ``CHUNK_LINES`` lines and a
 passage is cut alike wherever it stands, but for a window at either edge. From every chunk's start a span runs to the
-first chunk end that gives it ``LEAST_BYTES``. Equal spans are found by hash over the whole table and compared byte by
-byte with their first occurrence; at the edges of what repeats, the neighbouring words are compared as well.
+first chunk end that gives it ``LEAST_BYTES``. Equal spans are found by hash over the whole table; every byte that goes
+is compared with that of a first occurrence; at the edges of what repeats, the neighbouring words are compared as well.
 """
 
 from __future__ import annotations
@@ -146,18 +146,22 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = np.maximum(np.searchsorted(words.start, start + base) - AROUND_WORDS, words.first[row])
         right = np.minimum(np.searchsorted(words.end, stop + base) + AROUND_WORDS, words.first[row + 1] - 1)
         left, right = words.start[left] - base, words.end[right] - base
-        # spans that are late stand in order; an edge is where none of the neighbours reaches over
+        # late spans stand in order; where the next one begins inside, the rest is left to it, so each byte is compared once
         at = np.flatnonzero(late)
         edge_left, edge_right = ~late, ~late
         if len(at):
             border = np.flatnonzero(np.diff(row[at], prepend=-1, append=-1))[:-1]
             edge_left[at], edge_right[at] = np.append(True, stop[at][:-1] < start[at][1:]), np.append(start[at][1:] > stop[at][:-1], True)
             edge_left[at[border]] = edge_right[at[border - 1]] = True
+        if len(at):
+            inside = ~edge_right[at[:-1]] & (start[at[1:]] < stop[at[:-1]])
+            stop = stop.copy()
+            stop[at[:-1][inside]] = start[at[1:][inside]]
         body = [texts[r][s:e] for r, s, e in zip(row, start, stop)]
         before = [texts[r][s:e] if edge else None for r, s, e, edge in zip(row, left, start, edge_left)]
         behind = [texts[r][s:e] if edge else None for r, s, e, edge in zip(row, stop, right, edge_right)]
         index = pa.array(row)
-        columns = [rows.column(0).take(index), rows.column(1).take(index), hits.field("start"), hits.field("stop"), hits.field("hash"), hits.field("late")]
+        columns = [rows.column(0).take(index), rows.column(1).take(index), hits.field("start"), pa.array(stop), hits.field("hash"), hits.field("late")]
         yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.binary()) for c in (before, body, behind))], names)
 
 
@@ -226,7 +230,7 @@ def drop_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     spans = materialize(spans, "repeated_texts")
     firsts = spans.filter("NOT late").groupBy("hash").agg(F.min(F.struct("bytes", "before", "behind")).alias("f"))
     firsts = firsts.select("hash", F.col("f.bytes").alias("first_bytes"), F.col("f.before").alias("first_before"), F.col("f.behind").alias("first_behind"))
-    same = spans.filter("late").join(firsts, "hash").filter(F.col("bytes") == F.col("first_bytes"))
+    same = spans.filter("late").join(firsts, "hash").filter(F.startswith("first_bytes", "bytes"))
     wider = same.select("doc_id", "mark", "start", "stop", "before", "behind", "first_before", "first_behind")
     gone = wider.mapInArrow(_widened, "doc_id long, mark long, start long, stop long")
     gone = gone.groupBy(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark")).agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
