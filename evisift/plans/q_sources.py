@@ -256,21 +256,22 @@ def v16_receipt(spark, sf):
     """SELECT p.s_suppkey AS profile_id, c.c_custkey AS snapshot_id, CASE WHEN p.s_nationkey > 19 THEN 'strategy' WHEN p.s_suppkey % 3 = 0 THEN 'strategy_version'
       WHEN p.s_suppkey % 5 = 0 THEN 'score_scale' WHEN p.s_suppkey % 7 = 0 THEN 'score_kind' WHEN p.s_suppkey % 11 = 0 THEN 'calibrated_scale'
       WHEN p.s_suppkey % 13 = 0 AND c.c_custkey % 2 = 0 THEN 'snapshot' WHEN p.s_suppkey % 17 = 0 THEN 'profile_not_declared' END AS reason
-    FROM supplier p JOIN customer c ON c.c_custkey % 100 IN (p.s_suppkey % 100, (p.s_suppkey + 1) % 100)""",
+    FROM supplier p JOIN customer c ON c.c_custkey // 15 IN (p.s_suppkey, p.s_suppkey + 1)""",
 )
 def v17(spark, sf):
-    """Suppliers as profiles, nations as strategies, customers as snapshots of a hundred schema versions."""
-    n, even = F.col("s_suppkey"), F.col("s_suppkey") % 13 == 0
-    odd = tb.table(spark, sf, "customer").filter("c_custkey % 2 = 1").agg(F.collect_list("c_custkey").alias("ids")).scalar()
-    profiles = tb.table(spark, sf, "supplier").select(
+    """Suppliers as profiles, nations as strategies, customers as snapshots, fifteen of a schema version; a profile reads two versions."""
+    n, version = F.col("s_suppkey"), F.floor(F.col("c_custkey") / 15)
+    suppliers = tb.table(spark, sf, "supplier")
+    profiles = suppliers.select(
         n.alias("profile_id"), F.col("s_nationkey").alias("strategy_id"), F.when(n % 3 == 0, "2").otherwise("1").alias("strategy_version"),
         F.when(n % 5 == 0, "y").otherwise("x").alias("scale_id"), F.when(n % 7 == 0, "b").otherwise("a").alias("scale_kind"), (n % 11 == 0).alias("calibrated"),
-        F.array(n % 100, (n + 1) % 100).alias("compatible_schema_versions"), F.when(even, odd).otherwise(F.array().cast("array<bigint>")).alias("compatible_snapshot_ids"),
+        F.explode(F.array(n, n + 1)).alias("snapshot_schema_version"),
     )
-    declared = tb.table(spark, sf, "supplier").filter("s_suppkey % 17 <> 0").groupBy("s_nationkey").agg(F.collect_list("s_suppkey").alias("declared_profiles"))
-    strategies = tb.table(spark, sf, "nation").filter("n_nationkey <= 19").join(declared, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(
-        F.col("n_nationkey").alias("strategy_id"), F.lit("1").alias("descriptor_version"), F.lit("x").alias("descriptor_scale_id"),
-        F.lit("a").alias("descriptor_scale_kind"), F.coalesce("declared_profiles", F.array().cast("array<bigint>")).alias("declared_profiles"),
+    snapshots = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("snapshot_id"), version.alias("snapshot_schema_version"))
+    # every thirteenth profile is limited to the snapshots of odd number among those it can read
+    allowed = profiles.filter("profile_id % 13 = 0").join(snapshots.filter("snapshot_id % 2 = 1"), "snapshot_schema_version").select("profile_id", "snapshot_id")
+    declared = suppliers.filter("s_suppkey % 17 <> 0").select(F.col("s_nationkey").alias("strategy_id"), n.alias("profile_id"))
+    strategies = tb.table(spark, sf, "nation").filter("n_nationkey <= 19").select(
+        F.col("n_nationkey").alias("strategy_id"), F.lit("1").alias("descriptor_version"), F.lit("x").alias("descriptor_scale_id"), F.lit("a").alias("descriptor_scale_kind"),
     )
-    snapshots = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("snapshot_id"), (F.col("c_custkey") % 100).alias("snapshot_schema_version"))
-    return validate.profile_compatibility(profiles, strategies, snapshots)
+    return validate.profile_compatibility(profiles, strategies, snapshots, allowed, declared)

@@ -217,14 +217,20 @@ def test_safeguards_and_profiles(spark):
             ("d-dev-unreviewed", *full, [], ["y"]), ("e", None, None, None, None, None, False, [], [])]
     got = {tuple(r) for r in validate.unreviewed_manifest_problem(spark.createDataFrame(rows, schema)).collect()}
     assert got == {("b-dev-unreviewed", "unreviewed_name_without_safeguards"), ("c", "safeguards_without_unreviewed_name"), ("d-dev-unreviewed", "pending_items_not_listed")}
+    rows = [("p1", "s", "1"), ("p2", "s", "2"), ("p3", "s", "1"), ("p4", "s", "1"), ("p5", "t", "1")]
     profiles = spark.createDataFrame(
-        [("p1", "s", "1", "sc", "compatibility", False, [2], []), ("p2", "s", "2", "sc", "compatibility", False, [2], []), ("p3", "s", "1", "sc", "compatibility", False, [2], ["other"])],
-        "profile_id string, strategy_id string, strategy_version string, scale_id string, scale_kind string, calibrated boolean, compatible_schema_versions array<int>, compatible_snapshot_ids array<string>",
+        [(*r, "sc", "compatibility", False, v) for r in rows for v in (2, 3)],
+        "profile_id string, strategy_id string, strategy_version string, scale_id string, scale_kind string, calibrated boolean, snapshot_schema_version int",
     )
     strategies = spark.createDataFrame([("s", "1", "sc", "compatibility")], "strategy_id string, descriptor_version string, descriptor_scale_id string, descriptor_scale_kind string")
-    snapshots = spark.createDataFrame([("snap", 2, ["p1", "p3"])], "snapshot_id string, snapshot_schema_version int, declared_profiles array<string>")
-    got = {r["profile_id"]: r["reason"] for r in validate.profile_compatibility(profiles, strategies, snapshots).collect()}
-    assert got == {"p1": None, "p2": "strategy_version", "p3": "snapshot"}
+    snapshots = spark.createDataFrame([("snap", 2), ("later", 4)], "snapshot_id string, snapshot_schema_version int")
+    allowed = spark.createDataFrame([("p3", "other"), ("p1", "snap"), ("p1", "snap")], "profile_id string, snapshot_id string")
+    declared = spark.createDataFrame([("s", p) for p in ("p1", "p2", "p3", "p3")], "strategy_id string, profile_id string")
+    result = validate.profile_compatibility(profiles, strategies, snapshots, allowed, declared)
+    got = {(r["profile_id"], r["snapshot_id"]): r["reason"] for r in result.collect()}
+    want = {"p1": None, "p2": "strategy_version", "p3": "snapshot", "p4": "profile_not_declared", "p5": "strategy"}
+    assert got == {(p, "snap"): reason for p, reason in want.items()}
+    assert result.count() == 5
 
 
 def test_migration_ids(spark):
