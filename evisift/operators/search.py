@@ -7,11 +7,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evisift.functions import normalize
+from evisift.session import materialize
 
 K1 = 1.2
 B = 0.75
@@ -19,6 +22,8 @@ RESULT_LIMIT = 20
 PREFERRED_SCOPES = ("preferred", "ui_preferred")
 ALIAS_SCOPES = ("ui_alias", "ui_preferred")
 FUZZY_MIN_LENGTH = 5
+# Documents of a posting block.
+BLOCK_DOCS = 1 << 16
 
 
 def search_terms(designations: DataFrame, aliases: DataFrame | None, codes: DataFrame) -> DataFrame:
@@ -57,6 +62,43 @@ def language_stats(documents: DataFrame) -> DataFrame:
     )
 
 
+class TermIndex(NamedTuple):
+    """Written tables of a term corpus.
+
+    documents(doc, concept_id, language, scope, normalized), postings(language, token, block, doc, concept_id, impact),
+    blocks(language, token, block, n) and languages(language, n, avgdl). ``impact`` is what a token adds to a score
+    before its rarity is multiplied in. A block is a fixed share of the documents, about ``block_docs`` of them, so the list
+    of a frequent token is many join keys.
+    """
+
+    documents: DataFrame
+    postings: DataFrame
+    blocks: DataFrame
+    languages: DataFrame
+
+
+def term_index(terms: DataFrame, block_docs: int = BLOCK_DOCS) -> TermIndex:
+    numbered = bm25_documents(terms).withColumn("doc", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "term-documents")  # numbers must not change when a task runs again
+    languages = materialize(language_stats(numbered), "term-languages")
+    shares = languages.agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / block_docs)).alias("shares")).scalar()
+    norm = (K1 + 1) / (1 + K1 * ((1 - B) + B * F.col("doc_length") / F.col("avgdl")))
+    postings = (
+        numbered.join(languages.select("language", "avgdl"), "language")
+        .select(
+            "language", "doc", "concept_id", "tokens", norm.alias("norm"),
+            F.coalesce(F.pmod(F.xxhash64("doc"), shares), F.lit(0)).alias("block"), F.explode(F.array_distinct("tokens")).alias("token"),
+        )
+        .select(
+            "language", "token", "block", "doc", "concept_id",
+            ((F.size("tokens") - F.size(F.array_remove("tokens", F.col("token")))) * F.col("norm")).alias("impact"),
+        )
+    )
+    postings = materialize(postings, "term-postings")
+    blocks = materialize(postings.groupBy("language", "token", "block").agg(F.count("*").alias("n")), "term-blocks")
+    return TermIndex(numbered.drop("tokens", "doc_length"), postings, blocks, languages)
+
+
 def prepare_queries(queries: DataFrame) -> DataFrame:
     """Normalised text and distinct meaningful tokens; empty and negated queries drop out."""
     return (
@@ -66,38 +108,100 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     )
 
 
-def lexical(prepared: DataFrame, documents: DataFrame) -> DataFrame:
-    """Documents holding every query token, with their BM25 score.
-
-    Only the rarest token of a query is joined; the others are checked inside the row, so a
-    token found in a large share of the documents never drives the join on its own.
-    """
-    stats = token_stats(documents)
-    corpus = language_stats(documents)
-    weighted = (
-        prepared.select("query_id", "language", "q", F.size("q_tokens").alias("wanted"),
-                        F.explode("q_tokens").alias("token"))
+def _weighted(prepared: DataFrame, index: TermIndex) -> DataFrame:
+    """Queries whose tokens all occur in their language, with ``asked``: (df, token, idf), rarest first."""
+    stats = index.blocks.groupBy("language", "token").agg(F.sum("n").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return (
+        prepared.select("query_id", "language", "q", F.size("q_tokens").alias("wanted"), F.explode("q_tokens").alias("token"))
         .join(stats, ["language", "token"])
-        .join(corpus, "language")
-        .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .groupBy("query_id", "language", "q", "wanted", "avgdl")
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("idf"),
-            F.min(F.struct("df", "token")).alias("rarest"),
-        )
-        .filter(F.size("idf") == F.col("wanted"))
-        .select("query_id", "language", "q", "avgdl", "idf", F.col("rarest.token").alias("token"))
+        .join(index.languages.select("language", "n"), "language")
+        .groupBy("query_id", "language", "q", "wanted")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "token", idf.alias("idf")))).alias("asked"))
+        .filter(F.size("asked") == F.col("wanted"))
+        .drop("wanted")
     )
-    postings = documents.select("*", F.explode(F.array_distinct("tokens")).alias("token"))
-    hits = weighted.join(postings, ["language", "token"]).filter(
-        F.size(F.array_except(F.map_keys("idf"), "tokens")) == 0
+
+
+def _scores(weighted: DataFrame, index: TermIndex) -> DataFrame:
+    """(query_id, q, doc, concept_id, bm25) of the documents that hold every token of a query.
+
+    The rarest token of a query is joined block by block; each further one is looked up by token and document, so
+    no posting list but the shortest is read for a query, and none is one join key.
+    """
+    rarest = F.col("asked")[0]
+    first = weighted.select(
+        "query_id", "q", "language", rarest["token"].alias("token"), rarest["idf"].alias("idf"),
+        F.slice("asked", 2, F.size("asked")).alias("others"),
+    ).join(index.blocks.drop("n"), ["language", "token"])
+    found = first.join(index.postings, ["language", "token", "block"]).select(
+        "query_id", "q", "language", "block", "doc", "concept_id", "others", (F.col("idf") * F.col("impact")).alias("weight")
+    )
+    alone = found.filter(F.size("others") == 0).select("query_id", "q", "doc", "concept_id", F.col("weight").alias("bm25"))
+    more = found.filter(F.size("others") > 0).select(
+        "query_id", "q", "language", "block", "doc", "concept_id", "weight", F.size("others").alias("wanted"), F.explode("others").alias("o")
+    ).select("*", F.col("o.token").alias("token"), F.col("o.idf").alias("idf")).drop("o")
+    all_held = (
+        more.join(index.postings.drop("concept_id"), ["language", "token", "block", "doc"])
+        .groupBy("query_id", "q", "doc", "concept_id", "weight", "wanted")
+        .agg(F.count("*").alias("held"), F.sum(F.col("idf") * F.col("impact")).alias("rest"))
+        .filter(F.col("held") == F.col("wanted"))
+        .select("query_id", "q", "doc", "concept_id", (F.col("weight") + F.col("rest")).alias("bm25"))
+    )
+    return alone.unionByName(all_held)
+
+
+def lexical(prepared: DataFrame, index: TermIndex) -> DataFrame:
+    """Documents holding every query token, with their BM25 score; texts join the matches only."""
+    return _scores(_weighted(prepared, index), index).drop("concept_id").join(
+        index.documents.select("doc", "concept_id", "scope", "normalized"), "doc"
+    ).drop("doc")
+
+
+def token_heads(index: TermIndex, catalogue: DataFrame, limit: int = RESULT_LIMIT) -> DataFrame:
+    """The first ``limit`` concepts of every token: by best impact, then in catalogue order.
+
+    A window with a literal bound keeps ``limit`` rows a token in each task before rows move.
+    """
+    order = W.partitionBy("language", "token").orderBy(F.round("impact", 11).desc(), F.lower("label"), "code", "concept_id")
+    return (
+        _concept_impacts(index).join(catalogue.select("concept_id", "label", "code"), "concept_id")
+        .withColumn("_n", F.row_number().over(order))
+        .filter(F.col("_n") <= limit)
+        .select("language", "token", "concept_id", "impact")
     )
-    matched = F.filter("tokens", lambda t: F.map_contains_key("idf", t))
-    weight = F.aggregate(
-        F.transform(matched, lambda t: F.element_at("idf", t)), F.lit(0.0), lambda a, x: a + x
+
+
+def _concept_impacts(index: TermIndex) -> DataFrame:
+    return index.postings.groupBy("language", "token", "concept_id").agg(F.max("impact").alias("impact"))
+
+
+def _ranked_lexical(prepared: DataFrame, better: DataFrame, index: TermIndex, catalogue: DataFrame, limit: int) -> DataFrame:
+    """(query_id, concept_id, bm25) of every lexical match that can be among a query's first ``limit``, and of ``better``.
+
+    ``better(query_id, concept_id)`` match in an earlier tier. A query of one token reads the head of that token: the
+    concepts before a head's end fill the result, whatever follows it, even where some of them are in ``better``. The scores
+    of ``better`` are looked up by token and concept. Several tokens are intersected.
+    """
+    weighted = _weighted(prepared, index)
+    several = _scores(weighted.filter(F.size("asked") > 1), index).select("query_id", "concept_id", "bm25")
+    only = F.col("asked")[0]
+    single = weighted.filter(F.size("asked") == 1).select(
+        "query_id", "language", only["token"].alias("token"), only["idf"].alias("idf")
     )
-    norm = (K1 + 1) / (1 + K1 * ((1 - B) + B * F.col("doc_length") / F.col("avgdl")))
-    return hits.select("query_id", "q", "concept_id", "scope", "normalized", (weight * norm).alias("bm25"))
+    score = (F.col("idf") * F.col("impact")).alias("bm25")
+    heads = single.join(token_heads(index, catalogue, limit), ["language", "token"]).select("query_id", "concept_id", score)
+    known = single.join(better.select("query_id", "concept_id").distinct(), "query_id").join(
+        _concept_impacts(index), ["language", "token", "concept_id"]
+    ).select("query_id", "concept_id", score)
+    return several.unionByName(heads).unionByName(known)
+
+
+def _same_text(prepared: DataFrame, terms: DataFrame) -> DataFrame:
+    """Concepts with a term equal to the query: tier 0 where the term is a preferred one, else 1."""
+    preferred = F.col("scope").isin(*PREFERRED_SCOPES)
+    rows = terms.select("concept_id", "language", F.col("normalized").alias("q"), F.when(preferred, 0).otherwise(1).alias("tier"))
+    return prepared.select("query_id", "language", "q").join(rows, ["language", "q"]).select("query_id", "concept_id", "tier")
 
 
 def _prefix_matches(prepared: DataFrame, terms: DataFrame, language: Column | None) -> DataFrame:
@@ -164,19 +268,18 @@ def tiered(
     Tiers: 0 exact preferred, 1 exact alias, 2 prefix, 3 lexical, 4 safe fuzzy, 5 English.
     """
     prepared = prepare_queries(queries)
-    lex = lexical(prepared, bm25_documents(terms))
-    tier = (
-        F.when((F.col("normalized") == F.col("q")) & F.col("scope").isin(*PREFERRED_SCOPES), 0)
-        .when(F.col("normalized") == F.col("q"), 1)
-        .when(F.col("normalized").startswith(F.col("q")), 2)
-        .otherwise(3)
-    )
-    rows = lex.select("query_id", "concept_id", tier.alias("tier"), "bm25")
+    index = term_index(terms)
 
     def fixed(df: DataFrame, value: int) -> DataFrame:
         return df.select("query_id", "concept_id", F.lit(value).alias("tier"), F.lit(0.0).alias("bm25"))
 
-    rows = rows.unionByName(fixed(_prefix_matches(prepared, terms, None), 2))
+    better = _same_text(prepared, terms).unionByName(
+        _prefix_matches(prepared, terms, None).withColumn("tier", F.lit(2))
+    )
+    matched = _ranked_lexical(prepared, better, index, catalogue, limit)
+    rows = better.withColumn("bm25", F.lit(0.0)).unionByName(
+        matched.select("query_id", "concept_id", F.lit(3).alias("tier"), "bm25")
+    )
     rows = rows.unionByName(fixed(_prefix_matches(prepared, terms, F.lit("en")), 5))
     if fuzzy:
         rows = rows.unionByName(fixed(fuzzy_unique(prepared, terms), 4))
