@@ -47,7 +47,7 @@ SHORT = 64
 SEEN_SETS = 1 << 18
 _U = np.uint64
 
-KEYED = "doc_id long, n long, set_id long, rare array<long>, frequent array<long>, subsets array<long>"
+KEYED = "doc_id long, text_hash long, n long, set_id long, rare array<long>, frequent array<long>, subsets array<long>"
 
 
 def overlap(n: int, m: int, similarity: int = SIMILARITY) -> int:
@@ -190,11 +190,12 @@ def keyed_sets(docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
 
             subsets = [sets.subset_keys(i, similarity, limit) if new else [] for i, new in enumerate(fresh.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(sets.count), pa.array(ids), lists(~often), lists(often), pa.array(subsets, pa.list_(pa.int64()))],
-                ["doc_id", "n", "set_id", "rare", "frequent", "subsets"],
+                [rows.column(0), rows.column(1), pa.array(sets.count), pa.array(ids), lists(~often), lists(often), pa.array(subsets, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n", "set_id", "rare", "frequent", "subsets"],
             )
 
-    return materialize(docs.mapInArrow(keys, KEYED), "keyed_sets")
+    rows = docs.select("doc_id", F.xxhash64("body").alias("text_hash"), "body")
+    return materialize(rows.mapInArrow(keys, KEYED), "keyed_sets")
 
 
 def _needed(n: Column, m: Column, similarity: int) -> Column:
@@ -265,19 +266,34 @@ def counted_pairs(lists: DataFrame, similarity: int) -> DataFrame:
     return materialize(pairs.filter(light | (F.col("shared") + more >= least)).select("a", "b"), "counted_pairs")
 
 
+def owner_texts(docs: DataFrame, keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted, body): for every wanted set the texts of one owner, known by id and text hash as ids may be null or repeat."""
+    owners = keyed.groupBy(F.col("set_id").alias("wanted")).agg(
+        F.min("doc_id").alias("owner"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("owner_hash")
+    ).join(wanted.withColumnRenamed("set_id", "wanted"), "wanted", "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("owner")) & (F.xxhash64("body") == F.col("owner_hash"))
+    return docs.join(owners, same).select("wanted", "body")
+
+
 def shingle_sets(docs: DataFrame, keyed: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """The shingles of the wanted sets, each from one document that has it."""
-    owners = keyed.groupBy("set_id").agg(F.min("doc_id").alias("owner")).join(wanted, "set_id", "left_semi")
-    texts = docs.join(owners.withColumnRenamed("set_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("owner"))).select("wanted", "body")
+    texts = owner_texts(docs, keyed, wanted)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for rows, bodies in arrays.slices(batches, "body"):
             sets = ShingleSets(bodies, shingle)
             ids = arrays.signed(sets.set_ids())
-            right = pa.array(ids == rows.column(0).to_numpy(zero_copy_only=False))  # ids may repeat with other texts
+            right = ids == rows.column(0).to_numpy(zero_copy_only=False)  # hashes of texts may be equal by chance
+            if len(seen) > SEEN_SETS:
+                seen.clear()
+            for i, own in enumerate(ids.tolist()):  # an owner's row may be repeated
+                right[i] &= own not in seen
+                if right[i]:
+                    seen.add(own)
             ends = np.append(0, np.cumsum(sets.count))
             elements = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(arrays.signed(sets.value)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), elements], ["set_id", "elements"]).filter(right)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), elements], ["set_id", "elements"]).filter(pa.array(right))
 
     return materialize(texts.mapInArrow(read, "set_id long, elements array<long>"), "shingle_sets")
 

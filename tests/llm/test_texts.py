@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evisift.llm import arrays, decontaminate, exact_dedup, jaccard, line_dedup, personal, quality, secret_scan, tokens, toxicity
@@ -68,6 +69,20 @@ def test_jaccard_without_short_lists(spark, monkeypatch):
     assert Counter(map(tuple, jaccard.similar_documents(documents(spark, rows)).collect())) == components(rows, 5, 80)
 
 
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_jaccard_rows_of_one_id_are_read_once(spark, doc_id):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(doc_id, " ".join([*base[: i % 40], f"own{i // 2}", *base[i % 40 :]])) for i in range(400)]
+    docs = documents(spark, rows).select("doc_id", F.col("text").alias("body"))
+    keyed = jaccard.keyed_sets(docs, 4, 80)
+    wanted = keyed.select("set_id").distinct()
+    assert jaccard.owner_texts(docs, keyed, wanted).count() <= len(rows)
+    sets = jaccard.shingle_sets(docs, keyed, wanted, 4)
+    assert sets.count() >= sets.select("set_id").distinct().count() == wanted.count()
+    found = jaccard.similar_documents(documents(spark, rows), shingle=4, similarity=80)
+    assert Counter(map(tuple, found.collect())) == components(rows, 4, 80)
+
+
 def test_jaccard_links_of_exactly_the_share_in_long_lists(spark):
     """34 of 40 shingles in common, 85 per cent; the first common one stands at place 3 of 37, behind three of the text's own."""
     shared = " ".join(f"s{i}" for i in range(37))
