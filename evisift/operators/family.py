@@ -299,6 +299,32 @@ def abstention(cases: DataFrame, *, minimum_findings: int, minimum_coverage: flo
     )
 
 
+def policy_rows(
+    strategy: str, cases: DataFrame, counts: DataFrame, ranked: DataFrame, asked: DataFrame, *,
+    minimum_findings: int, minimum_coverage: float, leaders: int = 5,
+) -> DataFrame:
+    """One row per case for a strategy, comparable with those of others.
+
+    ``cases(case_id, supported, assessed)``, ``counts(case_id, candidates)``, ``ranked(case_id, subject, rank)`` and the
+    first question ``asked(case_id, finding)``. A case without supported findings has coverage 0.
+    """
+    best = ranked.filter(F.col("rank") <= leaders).groupBy("case_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "subject"))).alias("best")
+    )
+    ratio = F.coalesce(F.try_divide("assessed", "supported"), F.lit(0.0))
+    rows = (
+        cases.withColumn("ratio", ratio).withColumn("population_reason", F.lit(None).cast("string"))
+        .join(counts.select("case_id", "candidates"), "case_id", "left")
+        .withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
+        .join(best, "case_id", "left")
+        .join(asked.select("case_id", F.col("finding").alias("first_question")), "case_id", "left")
+    )
+    return abstention(rows, minimum_findings=minimum_findings, minimum_coverage=minimum_coverage).select(
+        "case_id", F.lit(strategy).alias("strategy"), "status", "reason", F.col("ratio").alias("coverage"), "candidates",
+        F.coalesce(F.transform("best", lambda x: x["subject"]), F.array().cast("array<string>")).alias("leaders"), "first_question",
+    )
+
+
 def receipts(
     case_inputs: DataFrame, used: DataFrame, inputs: DataFrame | None, profile_sha: str
 ) -> DataFrame:

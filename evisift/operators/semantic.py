@@ -330,6 +330,24 @@ def important_unknowns(
     )
 
 
+def source_views(explained: DataFrame, unknowns: DataFrame, assertions: DataFrame) -> DataFrame:
+    """What each release adds to a candidate: (case_id, subject, release) with counts by direction and the subtotal.
+
+    ``explained`` as from ``evidence``, ``unknowns`` as from ``important_unknowns``: open findings belong to the release
+    that states them and add nothing. Contributions of zero are left out.
+    """
+    none = F.lit(None).cast("double")
+    stated = assertions.select("source_id", "release")
+    open_rows = unknowns.select("case_id", "subject", "source_id").join(stated, "source_id").withColumn("contribution", none)
+    rows = explained.filter(F.col("contribution") != 0).select("case_id", "subject", "source_id", "release", "contribution")
+    value = F.col("contribution")
+    return rows.unionByName(open_rows).groupBy("case_id", "subject", "release").agg(
+        F.count_if(value > 0).alias("favorable"), F.count_if(value < 0).alias("unfavorable"),
+        F.count_if(value.isNull()).alias("unknown"), F.count_distinct("source_id").alias("statements"),
+        F.coalesce(F.sum("contribution"), F.lit(0.0)).alias("subtotal"),
+    )
+
+
 def observation_problems(observations: DataFrame, closure: DataFrame, root: str) -> DataFrame:
     """Cases that must be refused: findings outside the root, or present under an absent ancestor."""
     inside = closure.filter((F.col("ancestor") == root) & (F.col("node") != root)).select(

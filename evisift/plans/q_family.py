@@ -342,24 +342,55 @@ def m23(spark, sf):
     )
 
 
+# The statement that explains a contribution, and the open findings of a candidate, with their release.
+oracle.VIEWS["fx_explained"] = """
+    WITH r AS (SELECT case_id, subject FROM fx_ranked WHERE rank <= 20),
+      pair AS (SELECT DISTINCT subject, query FROM r JOIN fx_present USING (case_id)),
+      s AS (SELECT subject, query, release, source_id, row_number() OVER (PARTITION BY subject, query ORDER BY i.ic DESC, source_id) AS n
+        FROM pair JOIN fx_closure up ON up.node = query JOIN fx_ic i ON i.node = up.ancestor AND i.ic > 0
+          JOIN fx_closure down ON down.ancestor = up.ancestor JOIN fx_line l USING (subject)
+        WHERE l.finding = down.node AND l.polarity = 'present'),
+      x AS (SELECT query, a.subject, a.release, a.source_id, row_number() OVER (PARTITION BY query, a.subject ORDER BY coalesce(i.ic, 0.0) DESC, a.source_id) AS n
+        FROM (SELECT DISTINCT query FROM fx_present) JOIN fx_closure c ON query = c.node JOIN fx_line a ON a.finding = c.ancestor AND a.polarity = 'excluded'
+          LEFT JOIN fx_ic i ON i.node = a.finding
+        WHERE (a.subject, a.finding) NOT IN (SELECT (subject, finding) FROM fx_conflict)),
+      g AS (SELECT query, a.subject, l.release, a.source_id, row_number() OVER (PARTITION BY query, a.subject ORDER BY a.estimate DESC, a.source_id) AS n
+        FROM (SELECT DISTINCT query FROM fx_absent) JOIN fx_closure c ON query = c.ancestor
+          JOIN fx_assertion a ON a.finding = c.node AND a.polarity = 'present' AND a.estimate IS NOT NULL JOIN fx_line l USING (source_id)
+        WHERE (a.subject, a.finding) NOT IN (SELECT (subject, finding) FROM fx_conflict)),
+      w AS (SELECT 'maximum_resnik_divided_by_present_count' AS reason, subject, query, release, source_id FROM s WHERE n = 1
+        UNION ALL SELECT 'source_exclusion', subject, query, release, source_id FROM x WHERE n = 1
+        UNION ALL SELECT 'explicit_absence_frequency_penalty', subject, query, release, source_id FROM g WHERE n = 1)
+    SELECT case_id, subject, release, source_id, value FROM fx_contribution JOIN r USING (case_id, subject) JOIN w USING (reason, subject, query) WHERE value <> 0
+    UNION ALL
+    SELECT case_id, subject, release, source_id, NULL FROM (
+      SELECT r.case_id, r.subject, a.release, a.source_id, row_number() OVER (PARTITION BY r.case_id, r.subject ORDER BY i.ic DESC, a.finding, a.source_id) AS n
+      FROM r JOIN fx_line a ON a.subject = r.subject AND a.polarity = 'present' LEFT JOIN fx_ic i ON i.node = a.finding
+        LEFT JOIN fx_obs o ON o.case_id = r.case_id AND o.finding = a.finding AND o.status <> 'unknown'
+      WHERE o.case_id IS NULL) WHERE n <= 10"""
+
+
 @query(
     "m24_semantic_source_views",
-    """WITH best AS (SELECT c.case_id, c.subject, c.query, c.value FROM fx_contribution c
-        JOIN fx_ranked r USING (case_id, subject) WHERE r.rank <= 20 AND value <> 0)
-    SELECT subject, count(*) AS rows, round(sum(value), 6) + 0.0 AS subtotal,
-      count(*) FILTER (value > 0) AS supporting, count(*) FILTER (value < 0) AS contradicting
-    FROM best GROUP BY 1""",
+    """WITH v AS (SELECT case_id, subject, release, count(*) FILTER (value > 0) AS favorable, count(*) FILTER (value < 0) AS unfavorable,
+        count(*) FILTER (value IS NULL) AS unknown, count(DISTINCT source_id) AS statements, coalesce(sum(value), 0.0) AS subtotal
+      FROM fx_explained GROUP BY 1, 2, 3)
+    SELECT subject, release, count(*) AS views, CAST(sum(favorable) AS BIGINT) AS favorable, CAST(sum(unfavorable) AS BIGINT) AS unfavorable,
+      CAST(sum(unknown) AS BIGINT) AS unknown, CAST(sum(statements) AS BIGINT) AS statements, round(sum(subtotal), 6) + 0.0 AS subtotal,
+      round(max(subtotal), 6) + 0.0 AS highest FROM v GROUP BY 1, 2""",
 )
 def m24(spark, sf):
-    """The information-content result in the common contribution shape, summed per candidate."""
+    """Views by release of all returned candidates, open findings included, summed per subject and release."""
     from evisift.operators import semantic
 
-    rows = semantic.evidence(semantic_ranked(spark, sf), tb.observations(spark, sf), index(spark, sf))
-    return rows.filter(F.col("contribution") != 0).groupBy("subject").agg(
-        F.count("*").alias("rows"),
-        (F.round(F.sum("contribution"), 6) + F.lit(0.0)).alias("subtotal"),
-        F.count_if(F.col("contribution") > 0).alias("supporting"),
-        F.count_if(F.col("contribution") < 0).alias("contradicting"),
+    top20, obs, idx = semantic_ranked(spark, sf), tb.observations(spark, sf), index(spark, sf)
+    views = semantic.source_views(
+        semantic.evidence(top20, obs, idx), semantic.important_unknowns(top20, obs, idx), idx.assertions
+    )
+    sums = [F.sum(c).alias(c) for c in ("favorable", "unfavorable", "unknown", "statements")]
+    return views.groupBy("subject", "release").agg(
+        F.count("*").alias("views"), *sums, (F.round(F.sum("subtotal"), 6) + F.lit(0.0)).alias("subtotal"),
+        (F.round(F.max("subtotal"), 6) + F.lit(0.0)).alias("highest"),
     )
 
 
@@ -438,40 +469,79 @@ def m28(spark, sf):
     return rows.withColumn("first_two", text)
 
 
+_OPPOSING = """o AS (SELECT finding, least(count(DISTINCT subject) FILTER (polarity = 'present'),
+        count(DISTINCT subject) FILTER (polarity = 'excluded')) AS separation,
+      count(DISTINCT subject) AS documented,
+      count(DISTINCT subject) / (SELECT count(*) FROM fx_universe) AS coverage
+    FROM fx_canonical JOIN fx_universe USING (subject) GROUP BY 1
+    HAVING count(*) FILTER (polarity = 'present') > 0 AND count(*) FILTER (polarity = 'excluded') > 0)"""
+oracle.VIEWS["fx_next_opposing"] = f"""
+    WITH {_OPPOSING}, c AS (SELECT case_id, count(DISTINCT finding) AS k FROM fx_obs GROUP BY 1),
+      top AS (SELECT *, row_number() OVER (ORDER BY separation DESC, documented DESC, finding) AS pos FROM o),
+      b AS (SELECT c.case_id, top.*, row_number() OVER (PARTITION BY c.case_id ORDER BY pos) AS n
+        FROM c JOIN top ON pos <= k + 1 WHERE NOT EXISTS (SELECT 1 FROM fx_obs x WHERE x.case_id = c.case_id
+          AND x.finding = top.finding))
+    SELECT case_id, finding, separation, documented FROM b WHERE n = 1"""
+oracle.VIEWS["fx_general_ranked"] = """
+    WITH v AS (SELECT o.case_id, s.subject, s.family, CASE WHEN s.polarity = 'present' THEN 1.0 ELSE -1.0 END * CASE o.status WHEN 'present' THEN 1 ELSE -1 END AS vote
+        FROM (SELECT DISTINCT subject, finding, polarity, family FROM fx_scope WHERE relation = 'has_symptom') s JOIN fx_universe USING (subject)
+          JOIN fx_family f ON f.family = s.family AND f.dependency_type <> 'unknown' JOIN fx_obs o USING (finding) WHERE o.status <> 'unknown'),
+      per AS (SELECT case_id, subject, family, avg(vote) AS mean, count(*) AS votes FROM v GROUP BY 1, 2, 3),
+      total AS (SELECT case_id, subject, round(sum(mean * weight) / sum(weight), 9) + 0.0 AS score, sum(votes) AS votes
+        FROM per LEFT JOIN fx_weight USING (family) GROUP BY 1, 2 HAVING sum(weight) IS NOT NULL)
+    SELECT case_id, subject, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, votes DESC, subject) AS rank FROM total"""
+
+
 @query(
     "m30_policy_comparison",
-    """WITH s AS (SELECT case_id, 'semantic' AS strategy, any_value(candidate_count) AS candidates,
-        string_agg(subject, ',' ORDER BY rank) AS top5 FROM fx_ranked WHERE rank <= 5 GROUP BY 1),
-      n AS (SELECT case_id, count(*) AS candidates FROM fx_family_score GROUP BY 1),
-      f AS (SELECT r.case_id, 'family' AS strategy, any_value(n.candidates) AS candidates,
-        string_agg(subject, ',' ORDER BY rank) AS top5 FROM fx_family_ranked r JOIN n USING (case_id)
-        WHERE rank <= 5 GROUP BY 1),
-      g AS (SELECT m.case_id, 'general_scope' AS strategy, count(*) AS candidates, '' AS top5
-        FROM fx_general_match m GROUP BY 1)
-    SELECT * FROM s UNION ALL SELECT * FROM f UNION ALL SELECT * FROM g""",
+    """WITH strategy AS (SELECT unnest(['semantic', 'family', 'general_scope']) AS strategy),
+      k AS (SELECT strategy, case_id, count(*) FILTER (here) AS supported, count(*) FILTER (here AND status <> 'unknown') AS assessed
+        FROM (SELECT strategy, case_id, status, strategy <> 'general_scope' OR finding IN (SELECT finding FROM fx_scope) AS here FROM strategy CROSS JOIN fx_obs)
+        GROUP BY 1, 2),
+      n AS (SELECT 'semantic' AS strategy, case_id, count(*) AS candidates FROM fx_ranked GROUP BY 2
+        UNION ALL SELECT 'family', case_id, count(*) FROM fx_family_score GROUP BY 2
+        UNION ALL SELECT 'general_scope', case_id, count(*) FROM fx_general_match GROUP BY 2),
+      t AS (SELECT strategy, case_id, string_agg(subject, ',' ORDER BY rank) AS top5 FROM (
+          SELECT 'semantic' AS strategy, case_id, subject, rank FROM fx_ranked
+          UNION ALL SELECT 'family', case_id, subject, rank FROM fx_family_ranked
+          UNION ALL SELECT 'general_scope', case_id, subject, rank FROM fx_general_ranked) WHERE rank <= 5 GROUP BY 1, 2),
+      q AS (SELECT 'semantic' AS strategy, case_id, finding FROM fx_gain
+        UNION ALL SELECT 'family', case_id, finding FROM fx_next_opposing
+        UNION ALL SELECT 'general_scope', case_id, finding FROM fx_variation WHERE step = 1),
+      r AS (SELECT case_id, strategy, coalesce(candidates, 0) AS candidates, coalesce(top5, '') AS top5, finding AS first_question,
+        CASE WHEN supported = 0 THEN 0 ELSE assessed / supported END AS coverage, supported, assessed
+        FROM k LEFT JOIN n USING (strategy, case_id) LEFT JOIN t USING (strategy, case_id) LEFT JOIN q USING (strategy, case_id)),
+      a AS (SELECT *, CASE WHEN supported = 0 THEN 'no_supported_present_observation' WHEN coverage < 0.5 THEN 'insufficient_case_coverage'
+        WHEN assessed < 2 THEN 'insufficient_supported_findings' WHEN candidates = 0 THEN 'insufficient_snapshot_coverage' END AS reason FROM r)
+    SELECT case_id, strategy, if(reason IS NULL, 'ranked', 'abstained') AS status, reason, round(coverage, 9) AS coverage, candidates, top5, first_question FROM a""",
 )
 def m30(spark, sf):
-    """Three scorers side by side: candidate counts and leading five per case."""
+    """Three scorers side by side: status, coverage, candidates, leading five and first question of every case."""
+    obs = tb.observations(spark, sf)
+    known = F.col("status") != "unknown"
 
-    def leaders(rows):
-        return F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", "subject"))), lambda x: x["subject"]), ","
-        )
+    def per_case(rows):
+        return rows.groupBy("case_id").agg(F.count("*").alias("supported"), F.count_if(known).alias("assessed"))
 
-    a = semantic_ranked(spark, sf).filter(F.col("rank") <= 5).groupBy("case_id").agg(
-        F.lit("semantic").alias("strategy"), F.max("candidate_count").alias("candidates"),
-        leaders(None).alias("top5"),
-    )
-    counts = signatures.candidate_counts(scores(spark, sf))
-    b = (
-        top(spark, sf).filter(F.col("rank") <= 5).groupBy("case_id").agg(leaders(None).alias("top5"))
-        .join(counts, "case_id")
-        .select("case_id", F.lit("family").alias("strategy"), "candidates", "top5")
+    zero = F.lit(0).cast("long")
+    scoped, rows = general_inputs(spark, sf)
+    in_scope = obs.select("case_id").distinct().join(per_case(scoped), "case_id", "left").select(
+        "case_id", F.coalesce("supported", zero).alias("supported"), F.coalesce("assessed", zero).alias("assessed")
     )
-    c = signatures.match_summary(*general_inputs(spark, sf)).select(
-        "case_id", F.lit("general_scope").alias("strategy"), "candidates", F.lit("").alias("top5")
+    semantic_counts = semantic_ranked(spark, sf).groupBy("case_id").agg(F.max("candidate_count").alias("candidates"))
+    options = questions.opposing_polarity(tb.canonical(spark, sf), universe(spark, sf))
+    general_votes = family.scorable(general_scope(spark, sf), allowed(spark, sf), universe(spark, sf))
+    general_top = signatures.ranked(signatures.score(scoped, general_votes, tb.FAMILY_WEIGHTS), 5)
+    parts = [
+        ("semantic", per_case(obs), semantic_counts, semantic_ranked(spark, sf), gains(spark, sf)),
+        ("family", per_case(obs), signatures.candidate_counts(scores(spark, sf)), top(spark, sf), questions.next_by_opposing_polarity(options, obs)),
+        ("general_scope", in_scope, signatures.match_summary(scoped, rows), general_top, variation(spark, sf, 1)),
+    ]
+    out = [family.policy_rows(*p, minimum_findings=MIN_FINDINGS, minimum_coverage=MIN_COVERAGE) for p in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select(
+        "case_id", "strategy", "status", "reason", F.round("coverage", 9).alias("coverage"), "candidates",
+        F.array_join("leaders", ",").alias("top5"), "first_question",
     )
-    return a.unionByName(b).unionByName(c)
 
 
 @query(
@@ -516,14 +586,6 @@ def q2(spark, sf):
     return out.withColumn("question_number", F.coalesce("question_number", F.lit(0)))
 
 
-_OPPOSING = """o AS (SELECT finding, least(count(DISTINCT subject) FILTER (polarity = 'present'),
-        count(DISTINCT subject) FILTER (polarity = 'excluded')) AS separation,
-      count(DISTINCT subject) AS documented,
-      count(DISTINCT subject) / (SELECT count(*) FROM fx_universe) AS coverage
-    FROM fx_canonical JOIN fx_universe USING (subject) GROUP BY 1
-    HAVING count(*) FILTER (polarity = 'present') > 0 AND count(*) FILTER (polarity = 'excluded') > 0)"""
-
-
 @query(
     "q3_opposing_polarity",
     f"WITH {_OPPOSING} SELECT finding, separation, documented, round(coverage, 9) AS coverage FROM o",
@@ -533,15 +595,7 @@ def q3(spark, sf):
     return out.withColumn("coverage", F.round("coverage", 9))
 
 
-@query(
-    "q3_next_per_case",
-    f"""WITH {_OPPOSING}, c AS (SELECT case_id, count(DISTINCT finding) AS k FROM fx_obs GROUP BY 1),
-      top AS (SELECT *, row_number() OVER (ORDER BY separation DESC, documented DESC, finding) AS pos FROM o),
-      b AS (SELECT c.case_id, top.*, row_number() OVER (PARTITION BY c.case_id ORDER BY pos) AS n
-        FROM c JOIN top ON pos <= k + 1 WHERE NOT EXISTS (SELECT 1 FROM fx_obs x WHERE x.case_id = c.case_id
-          AND x.finding = top.finding))
-    SELECT case_id, finding, separation, documented FROM b WHERE n = 1""",
-)
+@query("q3_next_per_case", "SELECT case_id, finding, separation, documented FROM fx_next_opposing")
 def q3_case(spark, sf):
     """Best opposing finding each case has not recorded."""
     options = questions.opposing_polarity(tb.canonical(spark, sf), universe(spark, sf))
