@@ -213,14 +213,20 @@ def decisions(spark, sf):
 
 
 # Pages are flat: a block's text runs from its tag to the next tag of a block, list or section.
-oracle.VIEWS["fx_block"] = r"""
+# As an HTML parser reads them, these references need no semicolon (titles end within one).
+def _plain(text):
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{name};?', '{char}', 'g')"
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
+oracle.VIEWS["fx_block"] = rf"""
   SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS ordinal, tag,
     CASE WHEN heading_at < i THEN heading ELSE '' END AS section,
     coalesce(last_value(CASE WHEN tag = 'p' THEN block END IGNORE NULLS) OVER (
       PARTITION BY page_id, heading_at < i ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lead_in, block
-  FROM (SELECT page_id, i, tag, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'),
-        '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS block FROM fx_segment WHERE tag IN ('p', 'li'))
-    JOIN (SELECT page_id, max(i) AS heading_at, max(trim(replace(replace(body, '&quot;', '"'), '&amp;', '&'))) AS heading FROM fx_segment WHERE tag = 'h1' GROUP BY 1) USING (page_id)"""
+  FROM (SELECT page_id, i, tag, {_plain("regexp_replace(body, '<[^>]*>', '', 'g')")} AS block FROM fx_segment WHERE tag IN ('p', 'li'))
+    JOIN (SELECT page_id, max(i) AS heading_at, max({_plain("body")}) AS heading FROM fx_segment WHERE tag = 'h1' GROUP BY 1) USING (page_id)"""
 oracle.VIEWS["fx_segment"] = r"""
   SELECT page_id, i, split_part(piece, chr(2), 1) AS tag, substring(piece, strpos(piece, chr(2)) + 1) AS body
   FROM (SELECT page_id, i, pieces[i] AS piece FROM (SELECT *, unnest(range(2, len(pieces) + 1)) AS i FROM (
