@@ -27,12 +27,45 @@ def seven(key):
 oracle.VIEWS["fx_hp"] = "SELECT *, 'HP:'||lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS code FROM part"
 
 
-def one_document(spark, head, rows, tail, name, suffix="", **options):
-    """Lines ``rows(place, line)`` in order between a head and a tail, written as one file."""
-    ends = spark.createDataFrame([(-1, 0, head), (1 << 40, 0, tail)], "place long, at long, line string")
-    lines = ends.unionByName(rows.select("place", "at", "line")).orderBy("place", "at").select("line").coalesce(1)
-    folder = fresh_folder(spark, name) + suffix
-    lines.write.options(**options).text(folder)
+DOCUMENT_ROWS = 50_000
+
+
+def documents(head, rows, tail, folder, *, size=DOCUMENT_ROWS, **options):
+    """Lines ``rows(line)`` as whole documents of at most ``size`` lines between a head and a tail, added to a folder.
+
+    Every task writes its own lines, in documents one after the other, so none holds or reads all of them. A document whose
+    head opens a list begins without the comma of its first line.
+    """
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(lines):
+            return pa.RecordBatch.from_arrays([lines], ["line"])
+
+        def ends(line):
+            return out(pa.array([line], pa.string()))
+
+        left = 0
+        for batch in batches:
+            lines, at = batch.column(0).cast(pa.string()), 0
+            while at < len(lines):
+                if not left:
+                    yield ends(head)
+                    left = size
+                    if head.endswith("["):
+                        yield ends(lines[at].as_py().removeprefix(","))
+                        at, left = at + 1, left - 1
+                piece = lines.slice(at, left)
+                if len(piece):
+                    yield out(piece)
+                at, left = at + len(piece), left - len(piece)
+                if not left:
+                    yield ends(tail)
+        if left:
+            yield ends(tail)
+
+    # files roll over with their documents
+    framed_rows = rows.select("line").mapInArrow(framed, "line string")
+    framed_rows.write.mode("append").option("maxRecordsPerFile", size + 2).options(**options).text(folder)
     return folder
 
 
@@ -53,11 +86,11 @@ def graph(spark, sf):
         )
         node = F.to_json(F.struct(iri(key).alias("id"), F.lit("CLASS").alias("type"), F.col("p_name").alias("lbl"), meta.alias("meta")))
         edge = F.to_json(F.struct(iri(key).alias("sub"), F.lit("is_a").alias("pred"), iri(key + 1).alias("obj")))
-        nodes = part.select(F.lit(0).cast("long").alias("place"), key.alias("at"), F.concat(F.lit(","), node).alias("line"))
-        middle = spark.createDataFrame([(1, 0, '],"edges":[{"sub":"x:0","pred":"none","obj":"x:1"}')], "place long, at long, line string")
-        edges = part.select(F.lit(2).cast("long").alias("place"), key.alias("at"), F.concat(F.lit(","), edge).alias("line"))
-        rows = nodes.unionByName(middle).unionByName(edges)
-        return one_document(spark, '{"graphs":[{"meta":{},"nodes":[{"id":"x:0","type":"PROPERTY"}', rows, "]}]}", "graph")
+        # documents of nodes and documents of edges; each graph has both lists
+        start, between = '{"graphs":[{"meta":{},"nodes":[{"id":"x:0","type":"PROPERTY"}', '],"edges":[{"sub":"x:0","pred":"none","obj":"x:1"}'
+        folder = fresh_folder(spark, "graph")
+        documents(start, part.select(F.concat(F.lit(","), node).alias("line")), between + "]}]}", folder)
+        return documents(start + between, part.select(F.concat(F.lit(","), edge).alias("line")), "]}]}", folder)
 
     return ontology.scan(spark, path := build_graph(), prefix=HP, kind="phenotype", release="hp:1"), path
 
@@ -137,8 +170,8 @@ def associations(spark, sf):
             tag("OrphaCode", F.col("l_suppkey").cast("string")), tag("Name", F.concat(F.lit(f"{language} name "), "l_suppkey")),
             F.lit("<ExpertLink>http://x</ExpertLink>"), tag("HPODisorderAssociationList", inner),
         )
-        rows = line.select(F.lit(0).cast("long").alias("place"), F.col("l_orderkey").alias("at"), tag("Disorder", body).alias("line"))
-        folder = one_document(spark, "<JDBOR><DisorderList>", rows, "</DisorderList></JDBOR>", f"associations-{language}")
+        rows = line.select(tag("Disorder", body).alias("line"))
+        folder = documents("<JDBOR><DisorderList>", rows, "</DisorderList></JDBOR>", fresh_folder(spark, f"associations-{language}"))
         parts.append(xmlscan.scan_associations(spark, folder, source="orpha", release="orpha:1", language=language))
     return parts[0].unionByName(parts[1])
 
@@ -164,7 +197,7 @@ def s3(spark, sf):
       p_brand||'.'||p_partkey||'|'||p_type||'.'||p_brand AS tree_numbers FROM part""",
 )
 def s4(spark, sf):
-    """Parts as descriptors in a gzip archive."""
+    """Parts as descriptors in gzip archives."""
     part = tb.table(spark, sf, "part")
     key = F.col("p_partkey").cast("string")
     name = F.concat_ws(" ", "p_name", "p_partkey")
@@ -174,8 +207,8 @@ def s4(spark, sf):
         tag("DescriptorUI", F.concat(F.lit("D"), key)), tag("DescriptorName", tag("String", name)), tag("TreeNumberList", numbers),
         tag("ConceptList", tag("Concept", tag("TermList", terms))),
     )
-    rows = part.select(F.lit(0).cast("long").alias("place"), F.col("p_partkey").alias("at"), tag("DescriptorRecord", body).alias("line"))
-    folder = one_document(spark, "<DescriptorRecordSet>", rows, "</DescriptorRecordSet>", "descriptors", ".xml.gz", compression="gzip")
+    rows = part.select(tag("DescriptorRecord", body).alias("line"))
+    folder = documents("<DescriptorRecordSet>", rows, "</DescriptorRecordSet>", fresh_folder(spark, "descriptors") + ".xml.gz", compression="gzip")
     got = xmlscan.scan_descriptors(spark, folder)
     return got.select("descriptor", F.array_join("terms", "|").alias("terms"), F.array_join("tree_numbers", "|").alias("tree_numbers"))
 
@@ -388,14 +421,14 @@ def s9(spark, sf):
     "SELECT CAST(doc_id AS VARCHAR) AS segment_id, source AS artifact_id, 'line '||n_chars AS locator, text FROM documents WHERE text IS NOT NULL",
 )
 def s10(spark, sf):
-    """Documents as the segments of one JSON document, read back in byte ranges."""
+    """Documents as the segments of JSON documents, read back in byte ranges."""
     docs = tb.table(spark, sf, "documents").filter("text IS NOT NULL")
     segment = F.to_json(F.struct(
         F.col("doc_id").cast("string").alias("segment_id"), F.col("source").alias("artifact_id"), F.concat(F.lit("line "), "n_chars").alias("locator"), "text"
     ))
-    rows = docs.select(F.lit(0).cast("long").alias("place"), F.col("doc_id").alias("at"), F.concat(F.lit(","), segment).alias("line"))
-    # the first segment has no id: it is listed as a problem and left out of the comparison
-    folder = one_document(spark, '{"segments":[{"text":"first"}', rows, "]}", "segments")
+    rows = docs.select(F.concat(F.lit(","), segment).alias("line"))
+    # the first segment of a document has no id: it is listed as a problem and left out of the comparison
+    folder = documents('{"segments":[{"text":"first"}', rows, "]}", fresh_folder(spark, "segments"))
     return jsonl.read_segments(spark, folder)[0].filter("segment_id IS NOT NULL").select("segment_id", "artifact_id", "locator", "text")
 
 
@@ -413,8 +446,8 @@ def s13(spark, sf):
         F.concat(F.lit("P:"), "p_partkey").alias("code"), per(lambda lang: F.concat(F.lit(f"{lang} "), "p_name")).alias("labels"),
         per(lambda lang: F.array("p_brand")).alias("aliases"), per(lambda lang: F.concat("p_name", F.lit("?"))).alias("questions"),
     ))
-    rows = part.select(F.lit(0).cast("long").alias("place"), F.col("p_partkey").alias("at"), F.concat(F.when(F.row_number().over(tb.W.orderBy("p_partkey")) == 1, "").otherwise(","), entry).alias("line"))
-    folder = one_document(spark, '{"version":"1","entries":[', rows, "]}", "lexicon")
+    rows = part.select(F.concat(F.lit(","), entry).alias("line"))
+    folder = documents('{"version":"1","entries":[', rows, "]}", fresh_folder(spark, "lexicon"))
     return jsonl.read_lexicon(spark, folder)
 
 

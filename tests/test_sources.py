@@ -361,3 +361,16 @@ def test_pending_package_tables(spark, tmp_path):
         data["sources"], data["reviews"],
     )
     assert book.first()["reviewed_by"] == ""
+
+
+def test_documents_hold_a_bounded_number_of_lines(spark, tmp_path):
+    from evisift.plans import q_scans
+
+    rows = spark.range(0, 1003, 1, 3).select(F.concat(F.lit(',{"n":'), "id", F.lit("}")).alias("line"))
+    for head, first in (('{"a":[{"n":-1}', -1), ('{"a":[', None)):
+        folder = tmp_path / f"documents{first}"
+        q_scans.documents(head, rows, "]}", str(folder), size=100)
+        held = [[e["n"] for e in json.loads(p.read_text())["a"]] for p in folder.glob("part-*")]
+        assert len(held) == 12 and all(0 < len(h) <= 101 for h in held)
+        assert sorted(n for h in held for n in h if n >= 0) == list(range(1003))
+        assert all((h[0] == -1) == (first == -1) for h in held)
