@@ -171,7 +171,7 @@ def associations(spark, sf):
             F.lit("<ExpertLink>http://x</ExpertLink>"), tag("HPODisorderAssociationList", inner),
         )
         rows = line.select(tag("Disorder", body).alias("line"))
-        folder = documents("<JDBOR><DisorderList>", rows, "</DisorderList></JDBOR>", fresh_folder(spark, f"associations-{language}"))
+        folder = documents("<JDBOR><DisorderList>", rows, "</DisorderList></JDBOR>", fresh_folder(spark, f"associations-{language}"), compression="gzip")
         parts.append(xmlscan.scan_associations(spark, folder, source="orpha", release="orpha:1", language=language))
     return parts[0].unionByName(parts[1])
 

@@ -374,3 +374,14 @@ def test_documents_hold_a_bounded_number_of_lines(spark, tmp_path):
         assert len(held) == 12 and all(0 < len(h) <= 101 for h in held)
         assert sorted(n for h in held for n in h if n >= 0) == list(range(1003))
         assert all((h[0] == -1) == (first == -1) for h in held)
+
+
+def test_association_documents_are_compressed(spark, tmp_path, monkeypatch):
+    from evisift.plans import q_scans
+
+    monkeypatch.setattr(q_scans, "fresh_folder", lambda _, name: str(tmp_path / name))
+    rows = q_scans.associations(spark, "/root/testdata/sf0.001")
+    assert rows.count() == 2 * spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    for language in ("en", "fr"):
+        files = list((tmp_path / f"associations-{language}").glob("part-*"))
+        assert files and all(f.suffix == ".gz" for f in files)
