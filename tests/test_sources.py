@@ -385,3 +385,20 @@ def test_association_documents_are_compressed(spark, tmp_path, monkeypatch):
     for language in ("en", "fr"):
         files = list((tmp_path / f"associations-{language}").glob("part-*"))
         assert files and all(f.suffix == ".gz" for f in files)
+
+
+def test_archive_is_copied_from_files_that_several_tasks_sorted(spark, tmp_path, monkeypatch):
+    from evisift.plans import q_scans
+
+    monkeypatch.setattr(q_scans, "fresh_folder", lambda _, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = spark.range(0, 5000).select(F.format_string("%05d é", "id").alias("line"))
+        size = lines.agg(F.sum(F.octet_length("line") + 1)).first()[0]
+        path = str(tmp_path / "a.tar.gz")
+        q_scans.write_archive(lines.orderBy("line"), path, "m.txt", size)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(list((tmp_path / "sorted-lines").glob("part-*"))) > 1
+    got = blocks.member_lines(spark, path, member="m.txt").orderBy("ordinal").collect()
+    assert [r["value"] for r in got] == [f"{i:05d} é" for i in range(5000)]
