@@ -24,6 +24,8 @@ ALIAS_SCOPES = ("ui_alias", "ui_preferred")
 FUZZY_MIN_LENGTH = 5
 # Documents of a posting block.
 BLOCK_DOCS = 1 << 16
+# Longest run of characters that words are keyed by.
+KEY_RUN = 16
 
 
 def search_terms(designations: DataFrame, aliases: DataFrame | None, codes: DataFrame) -> DataFrame:
@@ -297,16 +299,36 @@ def tiered(
     )
 
 
-def _short_runs(word: Column) -> Column:
-    """Every run of one to three characters of a word."""
-    starts = F.sequence(F.lit(1), F.length(word))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(word, i, n)))))
+def _runs(word: Column, size: Column) -> Column:
+    """Every run of ``size`` characters of a word that has so many."""
+    starts = F.sequence(F.lit(1), F.length(word) - size + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(word, i, size)))
 
 
 def _asked_runs(token: Column) -> Column:
-    """Runs a word must have to contain the token: its runs of three, or the whole of a shorter one."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(token) - 2))
-    return F.transform(starts, lambda i: F.substring(token, i, F.lit(3)))
+    """Runs a word must have to contain the token: the token itself, or the longest runs of a very long one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(token) - KEY_RUN + 1))
+    return F.transform(starts, lambda i: F.substring(token, i, F.lit(KEY_RUN)))
+
+
+def _words_to_read(side: DataFrame, words: DataFrame) -> DataFrame:
+    """``side(query_id, target, q, q_tokens)`` with each word that has the query's rarest run.
+
+    ``words(language, word, uses)``. A run is as long as the token asked for, so short runs of long tokens, which a
+    share of all words have, pair no query with them.
+    """
+    asked = side.select("*", F.explode(F.array_distinct(F.flatten(F.transform("q_tokens", _asked_runs)))).alias("key"))
+    sizes = asked.agg(F.collect_set(F.length("key")).alias("sizes")).scalar()
+    sized = words.select(F.col("language").alias("target"), "word", "uses", F.explode(sizes).alias("size")).filter(F.col("size") <= F.length("word"))
+    keyed = sized.select("target", "word", "uses", F.explode(_runs(F.col("word"), F.col("size"))).alias("key"))
+    uses = keyed.groupBy("target", "key").agg(F.sum("uses").alias("uses"))
+    rarest = (
+        asked.join(uses, ["target", "key"], "left")
+        .groupBy("query_id", "target", "q", "q_tokens")
+        .agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "key")).alias("m"))
+        .select("query_id", "target", "q", "q_tokens", F.col("m.key").alias("key"))
+    )
+    return rarest.join(keyed.drop("uses"), ["target", "key"]).drop("key")
 
 
 def token_contains(
@@ -314,8 +336,8 @@ def token_contains(
 ) -> DataFrame:
     """The older tiers, where a query token may be any part of a word.
 
-    A token has no space, so it lies inside one word: words are keyed by their runs of up to three characters
-    and the query joins on the rarest of its own; whole tokens are checked inside the row.
+    A token has no space, so it lies inside one word: words are keyed by their runs of the tokens' lengths and the
+    query joins on the rarest of its own; whole tokens are checked inside the row.
     """
     prepared = (
         queries.withColumn("q", normalize.normalize_search(F.col("text")))
@@ -327,21 +349,11 @@ def token_contains(
         F.explode(F.array_distinct(F.split("normalized", " "))).alias("word"),
     )
     counts = words.groupBy("language", "word").agg(F.count("*").alias("uses"))
-    keyed = counts.select(F.col("language").alias("target"), "word", "uses", F.explode(_short_runs(F.col("word"))).alias("key"))
-    uses = keyed.groupBy("target", "key").agg(F.sum("uses").alias("uses"))
 
     def contained(side: DataFrame) -> DataFrame:
         """``side(query_id, target, q, q_tokens)``: terms of ``target`` containing every token."""
-        asked = F.explode(F.array_distinct(F.flatten(F.transform("q_tokens", _asked_runs)))).alias("key")
-        wanted = side.select("query_id", "target", "q", "q_tokens", asked)
-        rarest = (
-            wanted.join(uses, ["target", "key"], "left")
-            .groupBy("query_id", "target", "q", "q_tokens")
-            .agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "key")).alias("m"))
-            .select("query_id", "target", "q", "q_tokens", F.col("m.key").alias("key"))
-        )
         return (
-            rarest.join(keyed.drop("uses"), ["target", "key"])
+            _words_to_read(side, counts)
             .join(words.withColumnRenamed("language", "target"), ["target", "word"])
             .filter(F.forall("q_tokens", lambda t: F.contains(F.col("normalized"), t)))
             .select("query_id", "q", "concept_id", "scope", "normalized")

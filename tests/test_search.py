@@ -81,3 +81,18 @@ def test_heads_hold_a_bounded_number_of_concepts(spark):
     heads = search.token_heads(index, catalogue, LIMIT)
     assert heads.groupBy("language", "token").count().agg({"count": "max"}).first()[0] == LIMIT
     assert "WindowGroupLimit" in heads._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_number_is_compared_with_the_words_that_contain_it(spark):
+    words = [str(n) for n in range(10000, 13000)] + ["1" * 20 + "2" * 20, "1" * 19 + "2" * 20]
+    rows = [(f"C{w}", "de", "preferred", f"part {w}", f"part {w}") for w in words]
+    terms = spark.createDataFrame(rows, "concept_id string, language string, scope string, text string, normalized string")
+    texts = [*(f"art {w}" for w in words[:3000:10]), "art 1" + "2" * 20, "part " + "1" * 20 + "2" * 18, "2345", "x"]
+    queries = spark.createDataFrame([(t, "de", t) for t in texts], "query_id string, language string, text string")
+    catalogue = spark.createDataFrame([(f"C{w}", f"part {w}", w) for w in words], "concept_id string, label string, code string")
+    got = {(r["query_id"], r["concept_id"]) for r in search.token_contains(queries, terms, catalogue, limit=9999).collect() if r["tier"] != 4}
+    assert got == {(t, f"C{w}") for t in texts if len(t) > 1 for w in words if all(x in f"part {w}" for x in t.split())}
+    counts = terms.selectExpr("language", "explode(split(normalized, ' ')) AS word").groupBy("language", "word").agg({"*": "count"})
+    side = queries.selectExpr("query_id", "language AS target", "text AS q", "split(text, ' ') AS q_tokens")
+    read = search._words_to_read(side, counts.toDF("language", "word", "uses"))
+    assert read.count() < 2 * len(texts)
