@@ -109,7 +109,7 @@ def checksum_violations(actual: DataFrame, expected: DataFrame) -> DataFrame:
 def rebuild_differences(rebuilt: DataFrame, pinned: DataFrame) -> DataFrame:
     """Rows only one of the two builds has."""
     columns = pinned.columns
-    rebuilt = rebuilt.select(*columns)
-    return rebuilt.exceptAll(pinned).withColumn("side", F.lit("rebuilt")).unionByName(
-        pinned.exceptAll(rebuilt).withColumn("side", F.lit("pinned"))
-    )
+    both = rebuilt.select(*columns, F.lit(1).alias("more")).unionByName(pinned.select(*columns, F.lit(-1).alias("more")))
+    more = both.groupBy(*columns).agg(F.sum("more").alias("more")).filter("more <> 0")
+    times = F.explode(F.sequence(F.lit(1), F.abs("more")))
+    return more.select(*columns, F.when(F.col("more") > 0, "rebuilt").otherwise("pinned").alias("side"), times.alias("time")).drop("time")
