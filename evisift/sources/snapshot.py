@@ -49,8 +49,14 @@ def table_hash(df: DataFrame, prefixes: tuple[int, ...] = HASH_PREFIXES) -> Data
     share six digits, so no group grows with the table beyond rows / 16**6.
     """
     columns = sorted(df.columns)
-    level = df.select(ids.row_sha(*columns).alias("h"), F.lit(1).cast("bigint").alias("n")).withColumn("at", F.col("h"))
-    for length in prefixes:
+    # digests move as bytes, whose order is that of their hex digits
+    sha = df.select(ids.row_sha(*columns).alias("sha"))
+    length, *rest = prefixes
+    level = sha.select(F.left("sha", F.lit(length)).alias("at"), F.unhex("sha").alias("h")).groupBy("at").agg(
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("h")), lambda x: F.lower(F.hex(x))), ""), 256).alias("h"),
+        F.count("*").alias("n"),
+    )
+    for length in rest:
         level = level.groupBy(F.left("at", F.lit(length)).alias("at")).agg(
             F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), ""), 256)
             .alias("h"),
