@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from evisift.operators import audit, resolve
-from evisift.plans import catalog
+from evisift.plans import catalog, q_family
 from evisift.plans import testbed as tb
 from evisift.sources import snapshot
 
@@ -18,11 +18,12 @@ def refused(*_):
     raise AssertionError("table of statement ids built")
 
 
-@pytest.mark.parametrize("name", ["a5_subjects_with_discriminant", "a19_dependency_rows", "d21_observable_catalogue", "h6_table_hashes", "h9_rebuild_differences"])
+@pytest.mark.parametrize("name", ["a5_subjects_with_discriminant", "a19_dependency_rows", "d21_observable_catalogue", "h6_table_hashes", "h9_rebuild_differences", "m15_matching_candidates", "m17_polarity_contributions", "m22_abstention"])
 def test_no_statement_ids_are_written(spark, monkeypatch, name):
     monkeypatch.setattr(tb, "canonical_bridge", refused)
     monkeypatch.setattr(tb, "canonical", refused)
     monkeypatch.setattr(tb, "assertions", refused)
+    monkeypatch.setattr(q_family, "scorable", refused)
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
