@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evisift.functions.normalize import fold
+from evisift.session import materialize
 
 # Decisions that leave an item open.
 OPEN_DECISIONS = ("defer", "needs_second_review")
@@ -175,21 +176,23 @@ def chain_violations(events: DataFrame, rows: DataFrame, recompute: Column, gene
     """Broken links of an append-only hash chain.
 
     ``events(sequence, previous_hash, event_hash, row_id, ...)``. Each event is joined with the
-    one before it by sequence number, so the log needs no global sort.
+    one before it by sequence number, so the log needs no global sort. Hashes are recomputed and rows
+    looked up before, so the join carries a sequence number, a hash and two flags; the log is written
+    once for both of its sides.
     """
-    before = events.select(
-        (F.col("sequence") + 1).alias("sequence"), F.col("event_hash").alias("expected_previous")
-    )
     known = rows.select("row_id").distinct().withColumn("_known", F.lit(True))
-    joined = events.join(before, "sequence", "left").join(known, "row_id", "left")
+    checked = events.select("sequence", "previous_hash", "event_hash", "row_id", (F.col("event_hash") != recompute).alias("_altered"))
+    checked = materialize(checked.join(known, "row_id", "left").drop("row_id"), "chain_events")
+    before = checked.select((F.col("sequence") + 1).alias("sequence"), F.col("event_hash").alias("expected_previous"))
+    joined = checked.drop("event_hash").join(before, "sequence", "left")
     expected = F.when(F.col("sequence") == 1, F.lit(genesis)).otherwise(F.col("expected_previous"))
     problem = (
         F.when(expected.isNull(), "sequence_gap")
         .when(F.col("previous_hash") != expected, "previous_hash")
-        .when(F.col("event_hash") != recompute, "event_hash")
+        .when(F.col("_altered"), "event_hash")
         .when(F.col("_known").isNull(), "unknown_row")
     )
-    repeated = events.groupBy("sequence").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(
+    repeated = checked.groupBy("sequence").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(
         "sequence", F.lit("sequence_repeated").alias("problem")
     )
     return (
