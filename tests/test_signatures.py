@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evisift.operators import family, matched, questions, signatures
+from evisift.operators import family, leading, matched, questions, signatures
 
 WEIGHTS = {"f0": 2.0, "f1": 1.0}
 
@@ -87,3 +88,37 @@ def test_no_assessed_observation(spark, corpus):
     scored = signatures.score(none, statements, WEIGHTS)
     assert signatures.ranked(scored).isEmpty() and signatures.candidate_counts(scored).isEmpty()
     assert matched.questions_by_variation(none, statements, statements, obs).isEmpty()
+
+
+def test_no_table_of_patterns_and_subjects_without_common_findings(spark, corpus, monkeypatch):
+    """Lists of votes stay arrays: of 40 cases only the leaders, or the subjects that several votes name, become rows."""
+    obs, statements = corpus
+    pairs = family.family_means(obs, statements).select("case_id", "subject").distinct().count()
+    written = {}
+    kept = signatures.materialize
+
+    def counting(df, label, **options):
+        out = kept(df, label, **options)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(signatures, "materialize", counting)
+    scored = signatures.score(obs, statements.limit(500), WEIGHTS)
+    assert max(written.values()) <= 500 < pairs and "pattern_scores" not in written and scored.own is None
+    leaders = signatures._leaders(scored, 2).count()
+    assert leaders < pairs / 2
+
+
+def test_equal_values_go_by_votes_and_number_before_they_are_cut():
+    rows = [
+        {"pattern": 1, "cases": 3, "seen": True, "s": [5, 3, 8], "code": [1, 1, 3]}, {"pattern": 1, "cases": 3, "seen": False, "s": [8, 2, 9], "code": [2, 1, 5]},
+    ]
+    types = [("pattern", pa.int64()), ("cases", pa.int64()), ("seen", pa.bool_()), ("s", pa.list_(pa.int32())), ("code", pa.list_(pa.int32()))]
+    for size in (1, 2):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + size], schema=pa.schema(types)) for i in range(0, 2, size)]
+        weights = {0: 2.0, 1: 1.0}
+        got = [tuple(r.values()) for b in leading.leaders_of_votes(weights, float("nan"), 2)(batches) for r in b.to_pylist()]
+        # 8 agrees twice, 3 and 5 once, 2 is refuted; the family of 9 has no weight
+        assert got == [(1, 8, 1.0, 2, 4), (1, 3, 1.0, 1, 4)]
+        again = [tuple(r.values()) for b in leading.repeated_votes(weights, float("nan"))(batches) for r in b.to_pylist()]
+        assert again == [(8, 3, 1.0, 2, True, 2, 0)]
