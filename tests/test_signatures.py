@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,24 @@ def test_equal_values_go_by_votes_and_number_before_they_are_cut():
         assert got == [(1, 8, 1.0, 2, 4), (1, 3, 1.0, 1, 4)]
         again = [tuple(r.values()) for b in leading.repeated_votes(weights, float("nan"))(batches) for r in b.to_pylist()]
         assert again == [(8, 3, 1.0, 2, True, 2, 0)]
+
+
+def test_options_of_patterns_end_at_the_deepest_case(spark, corpus):
+    """Only leading options become rows; what subjects several lists hold is taken off where lists meet, batches or not."""
+    pack = leading._pack
+    rows = [
+        {"pattern": 1, "factor": 1, "size": 3, "of": pack(np.array([2, 1, 400])), "documented": pack(np.array([3, 1, 1])), "deepest": 2},
+        {"pattern": 1, "factor": 1, "size": 2, "of": pack(np.array([3, 4])), "documented": pack(np.array([2, 1])), "deepest": 2},
+        {"pattern": 1, "factor": -1, "size": -1, "of": pack(np.array([3])), "documented": pack(np.array([1])), "deepest": 2},
+        {"pattern": 2, "factor": 1, "size": 1, "of": None, "documented": None, "deepest": 1},
+    ]
+    types = [("pattern", pa.int64()), ("factor", pa.int64()), ("size", pa.int64()), ("of", pa.binary()), ("documented", pa.binary()), ("deepest", pa.int64())]
+    for size in (1, 3, 4):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + size], schema=pa.schema(types)) for i in range(0, 4, size)]
+        got = [tuple(r.values()) for b in leading.options_of_lists(["documented"], leading.by_variation)(batches) for r in b.to_pylist()]
+        # of four matched subjects 2 is documented by three, 3 by two: 1 + 2 less the one counted twice
+        assert got == [(1, 3, 4, 2), (1, 2, 4, 3)]
+    obs, statements = corpus
+    present = statements.filter("polarity = 'present'").select("subject", "finding").distinct().withColumn("documented", F.lit(1))
+    depth, options = matched.counts(obs, statements, present, obs, leading.by_variation, 1)
+    assert options.count() <= depth.groupBy("pattern").agg(F.max("depth").alias("d")).agg(F.sum("d")).collect()[0][0]
