@@ -215,10 +215,10 @@ def _prefix_matches(prepared: DataFrame, terms: DataFrame, language: Column | No
         "concept_id", "language", F.left("normalized", F.col("size")).alias("q")
     ).distinct()
     if language is None:
-        return prepared.select("query_id", "language", "q").join(prefixes, ["language", "q"]).select(
+        return prepared.select("query_id", "language", "q").join(_shuffled(prefixes), ["language", "q"]).select(
             "query_id", "concept_id"
         )
-    return prepared.select("query_id", "q").join(prefixes.drop("language"), "q").select(
+    return prepared.select("query_id", "q").join(_shuffled(prefixes.drop("language")), "q").select(
         "query_id", "concept_id"
     )
 
@@ -249,7 +249,7 @@ def fuzzy_unique(prepared: DataFrame, terms: DataFrame) -> DataFrame:
     )
     right = alias.select("*", F.explode(deletion_variants(F.col("normalized"))).alias("variant"))
     pairs = (
-        left.join(right, ["language", "variant"])
+        left.join(_shuffled(right), ["language", "variant"])
         .filter(F.levenshtein("q", "normalized", 1) == 1)
         .select("query_id", "concept_id")
     )
@@ -299,6 +299,11 @@ def tiered(
     )
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Rows that no join broadcasts: Spark guesses the size of exploded words and variants from that of compressed files."""
+    return rows.hint("merge")
+
+
 def _runs(word: Column, size: Column) -> Column:
     """Every run of ``size`` characters of a word that has so many."""
     starts = F.sequence(F.lit(1), F.length(word) - size + 1)
@@ -323,12 +328,12 @@ def _words_to_read(side: DataFrame, words: DataFrame) -> DataFrame:
     keyed = sized.select("target", "word", "uses", F.explode(_runs(F.col("word"), F.col("size"))).alias("key"))
     uses = keyed.groupBy("target", "key").agg(F.sum("uses").alias("uses"))
     rarest = (
-        asked.join(uses, ["target", "key"], "left")
+        asked.join(_shuffled(uses), ["target", "key"], "left")
         .groupBy("query_id", "target", "q", "q_tokens")
         .agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "key")).alias("m"))
         .select("query_id", "target", "q", "q_tokens", F.col("m.key").alias("key"))
     )
-    return rarest.join(keyed.drop("uses"), ["target", "key"]).drop("key")
+    return rarest.join(_shuffled(keyed.drop("uses")), ["target", "key"]).drop("key")
 
 
 def token_contains(
@@ -354,7 +359,7 @@ def token_contains(
         """``side(query_id, target, q, q_tokens)``: terms of ``target`` containing every token."""
         return (
             _words_to_read(side, counts)
-            .join(words.withColumnRenamed("language", "target"), ["target", "word"])
+            .join(_shuffled(words.withColumnRenamed("language", "target")), ["target", "word"])
             .filter(F.forall("q_tokens", lambda t: F.contains(F.col("normalized"), t)))
             .select("query_id", "q", "concept_id", "scope", "normalized")
         )
@@ -380,7 +385,7 @@ def token_contains(
     )
     order = W.partitionBy("query_id").orderBy("tier", F.lower("label"), "code", "concept_id")
     return (
-        safe.join(catalogue.select("concept_id", "label", "code"), "concept_id")
+        safe.join(_shuffled(catalogue.select("concept_id", "label", "code")), "concept_id")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)
         .select("query_id", "rank", "concept_id", "tier")
@@ -397,7 +402,7 @@ def _near_aliases(prepared: DataFrame, terms: DataFrame) -> DataFrame:
         F.explode(deletion_variants(F.col("normalized"))).alias("variant"),
     )
     return (
-        left.join(right, ["language", "variant"])
+        left.join(_shuffled(right), ["language", "variant"])
         .filter(F.levenshtein("q", "normalized", 1) == 1)
         .select("query_id", "concept_id")
         .distinct()
